@@ -14,17 +14,17 @@ DOCUMENT = (
 FILE_NAME = "_annotations.coco.json"
 
 
-def read_export(spark: SparkSession, root: str, pattern: str = f"*/{FILE_NAME}") -> tuple[DataFrame, DataFrame]:
+def read_export(
+    spark: SparkSession, root: str, pattern: str = f"*/{FILE_NAME}", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Images and raw annotations of every split folder below ``root``.
 
-    A missing list counts as empty. A split may hold one document or many; many
-    documents scan in parallel. Convert to Parquet once; the jobs read that.
+    A missing list counts as empty. One pretty-printed document per split is read
+    whole by one task; exports split into one document per line
+    (``multi_line=False``) scan in parallel. Convert to Parquet once; the jobs read that.
     """
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(f"{root}/{pattern}")
-    path = F.split(F.col("_metadata.file_path"), "/")
-    split = F.element_at(path, -2)
-    if pattern.count("/") > 1:
-        split = F.element_at(path, -1 - pattern.count("/"))
+    docs = spark.read.schema(DOCUMENT).option("multiLine", multi_line).json(f"{root}/{pattern}")
+    split = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     docs = docs.select("images", "annotations", F.regexp_replace(split, "^split=", "").alias("split"))
     images = docs.select("split", F.explode("images").alias("i")).select(
         "split", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height"
@@ -36,7 +36,7 @@ def read_export(spark: SparkSession, root: str, pattern: str = f"*/{FILE_NAME}")
 
 
 def write_export(images: DataFrame, annotations: DataFrame, root: str, per_document: int = 1000) -> None:
-    """Write images ``(split, image_id, …)`` and annotations as export documents of bounded size."""
+    """Write images ``(split, image_id, …)`` and annotations as export documents of bounded size, one per line."""
     numbered = [
         (images, F.col("image_id"), F.struct(F.col("image_id").alias("id"), "file_name", "height", "width"), "images"),
         (annotations, F.col("ann_id"), F.struct(F.col("ann_id").alias("id"), "image_id", "category_id", "keypoints"), "annotations"),
