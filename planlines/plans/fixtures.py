@@ -75,7 +75,7 @@ FROM (SELECT {SPREAD} i.image_id, i.width, CAST(y AS INT) AS y FROM {images} i,
 """
 
 RUN_HISTORY = """
-SELECT user_id AS run_id, day AS epoch, avg(value) / 600 AS val_dice, min(value) / 600 AS val_iou,
+SELECT user_id AS run_id, day AS epoch, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(*) / 600 AS val_dice, min(value) / 600 AS val_iou,
        max(value) / 600 AS val_total
 FROM (SELECT user_id, value, CAST(day(ts) AS INT) AS day FROM {events}) t GROUP BY user_id, day
 """

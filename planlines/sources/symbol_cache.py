@@ -49,10 +49,11 @@ def training_symbols(cache: DataFrame) -> DataFrame:
 
 
 def cached_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images with a readable record."""
+    """Images with a readable record; the symbols take part in the test, or they would not be parsed."""
     schema = f"{RECORD}, _corrupt_record string"
     df = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return df.groupBy("split", "image").agg(F.bool_and(F.col("_corrupt_record").isNull()).alias("ok")).filter("ok").drop("ok")
+    readable = F.col("_corrupt_record").isNull() & (F.coalesce(F.size("symbols"), F.lit(0)) >= 0)
+    return df.groupBy("split", "image").agg(F.bool_and(readable).alias("ok")).filter("ok").drop("ok")
 
 
 def pending_images(images: DataFrame, done: DataFrame) -> DataFrame:
