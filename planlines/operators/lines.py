@@ -53,7 +53,6 @@ def endpoint_clusters(ends: DataFrame, radius: float | str, keys: list[str] = KE
     """
     r = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
     extra = [] if not isinstance(radius, str) or radius in keys else [radius]
-    ends = stage(ends, "ends")
     loc = locations(ends, [*keys, *extra]).withColumn("r", r)
     side = F.col("r") * F.lit(0.5**0.5 * (1 - 1e-9))
     gridded = loc.filter("r > 0").withColumn("cx", F.floor(F.col("x") / side)).withColumn(
@@ -66,20 +65,17 @@ def endpoint_clusters(ends: DataFrame, radius: float | str, keys: list[str] = KE
     probe = members.select(*keys, "r", F.col("x").alias("px"), F.col("y").alias("py"), F.col("node").alias("u"),
                            "cx", "cy", F.explode(offsets).alias("o"))
     probe = probe.withColumn("cx", F.col("cx") + F.col("o.a")).withColumn("cy", F.col("cy") + F.col("o.b")).drop("o")
-    here = side_cols = [*keys, "cx", "cy"]
-    p, q = probe.alias("p"), members.select(*side_cols, "x", "y").alias("q")
-    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in here]
-    close = S.distance2("p.px", "p.py", "q.x", "q.y") <= F.col("p.r") * F.col("p.r")
-    cond = close
-    for s in same:
-        cond = s & cond
+    here = [*keys, "cx", "cy"]
+    p, q = probe.alias("p"), members.select(*here, "x", "y").alias("q")
+    cond = S.distance2("p.px", "p.py", "q.x", "q.y") <= F.col("p.r") * F.col("p.r")
+    for c in here:
+        cond = (F.col(f"p.{c}") == F.col(f"q.{c}")) & cond
     linked = p.join(q, cond, "left_semi").select(*here, "u").distinct()
     edges = linked.join(cells, here).select(*keys, "u", F.col("node").alias("v"))
     comp = connected_components(cells.select(*keys, F.col("node").alias("n")), edges, keys)
     located = members.join(comp.withColumnRenamed("n", "node"), [*keys, "node"]).select(*keys, "x", "y", "component")
     labelled = ends.join(located, [*keys, "x", "y"], "left")
-    roots = labelled.select(*keys, "chord_id", "end_id", "x", "y", F.coalesce("component", "end_id").alias("root"))
-    return roots
+    return labelled.select(*keys, "chord_id", "end_id", "x", "y", F.coalesce("component", "end_id").alias("root"))
 
 
 def merged_vertices(clusters: DataFrame, keys: list[str] = KEYS) -> DataFrame:

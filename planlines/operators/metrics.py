@@ -66,18 +66,28 @@ def tile_cover(images: DataFrame, df: DataFrame, tile: int, stride: int) -> Data
     return sized.withColumn("cover", (rows * cols).cast("long"))
 
 
-def pooled_overlap(flags: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
-    """Pooled Dice and IoU over flagged pixels; ``weight`` counts a pixel several times."""
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-
-    def total(cond: Column) -> Column:
-        return F.sum(F.when(cond, w).otherwise(0))
+def pooled_overlap(flags: DataFrame, by: list[str], weights: dict[str, str | None] | None = None) -> DataFrame:
+    """Pooled Dice and IoU over flagged pixels, one row per group and weighting ``over``.
 
+    A weight column counts a pixel several times (None counts it once); all weightings
+    share one pass over the pixels.
+    """
+    weights = weights or {"images": None}
     gt, pred = F.col("gt"), F.col("pred")
+    conds = {"inter": gt & pred, "n_gt": gt, "n_pred": pred, "n_union": gt | pred}
+
+    def total(cond: Column, column: str | None) -> Column:
+        w = F.col(column) if column else F.lit(1).cast("long")
+        return F.coalesce(F.sum(F.when(cond, w)), F.lit(0).cast("long"))
+
     sums = flags.groupBy(*by).agg(
-        total(gt & pred).alias("inter"), total(gt).alias("n_gt"), total(pred).alias("n_pred"), total(gt | pred).alias("n_union")
+        *[total(c, col).alias(f"{over}_{n}") for over, col in weights.items() for n, c in conds.items()]
     )
-    return sums.withColumn("dice", SC.dice_ratio(F.col("inter"), F.col("n_gt") + F.col("n_pred"))).withColumn(
+    rows = F.array(*[
+        F.struct(F.lit(over).alias("over"), *[F.col(f"{over}_{n}").alias(n) for n in conds]) for over in weights
+    ])
+    out = sums.select(*by, F.explode(rows).alias("s")).select(*by, "s.*")
+    return out.withColumn("dice", SC.dice_ratio(F.col("inter"), F.col("n_gt") + F.col("n_pred"))).withColumn(
         "iou", SC.iou_ratio(F.col("inter"), F.col("n_union"))
     )
 

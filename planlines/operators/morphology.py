@@ -9,6 +9,7 @@ Two ways to see a neighbourhood:
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -66,13 +67,15 @@ def label_pixels(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     fraction of the pixels, however large the image.
     """
 
-    def step(_arrays, present):
-        return {"local": _local_labels(present)}
-
-    tiled = stage(halo_tiles(pixels.select("image_id", "y", "x"), 0, step, [], {"local": "long"}, tile), "labels")
-    ty, tx = F.floor(F.col("y") / tile), F.floor(F.col("x") / tile)
-    local = (F.floor(F.col("local") / tile) + ty * tile) * (1 << 24) + F.col("local") % tile + tx * tile
-    tiled = tiled.select("image_id", "y", "x", local.cast("long").alias("n"))
+    def step(arrays, present):
+        first = _local_labels(present)
+        n = np.zeros(present.shape, dtype=np.int64)
+        at = first[present]
+        n[present] = arrays["py"].ravel()[at].astype(np.int64) * (1 << 24) + arrays["px"].ravel()[at].astype(np.int64)
+        return {"n": n}
+
+    placed = pixels.select("image_id", "y", "x", F.col("y").alias("py"), F.col("x").alias("px"))
+    tiled = stage(halo_tiles(placed, 0, step, ["py", "px"], {"n": "long"}, tile), "labels")
     border = tiled.filter(
         F.col("y").__mod__(tile).isin(0, tile - 1) | F.col("x").__mod__(tile).isin(0, tile - 1)
     )
@@ -106,11 +109,9 @@ def halo_tiles(
     """Apply ``fn`` to every tile of every image, seeing ``halo`` pixels around it.
 
     ``fn(arrays, present)`` gets one dense array per value column and the map of
-    cells that exist; it returns dense output arrays, read back for the tile's own
+    cells that exist, cut to the bounding box of those cells; it returns dense output arrays, read back for the tile's own
     cells: those that exist, or where the output named ``keep`` is true.
     """
-    side = tile + 2 * halo
-
     def spread(axis: str):
         low = F.floor((F.col(axis) - halo) / F.lit(tile))
         return F.explode(F.sequence(F.greatest(low, F.lit(0)), F.floor((F.col(axis) + halo) / F.lit(tile))))
@@ -120,21 +121,22 @@ def halo_tiles(
     )
     schema = "image_id long, y int, x int" + "".join(f", {n} {t}" for n, t in out_cols.items())
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         image, ty, tx = key
-        oy, ox = int(ty) * tile - halo, int(tx) * tile - halo
-        ys, xs = pdf["y"].to_numpy() - oy, pdf["x"].to_numpy() - ox
-        present = np.zeros((side, side), dtype=bool)
+        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        oy, ox = int(ys.min()), int(xs.min())
+        shape = (int(ys.max()) - oy + 1, int(xs.max()) - ox + 1)
+        ys, xs = ys - oy, xs - ox
+        present = np.zeros(shape, dtype=bool)
         present[ys, xs] = True
         arrays = {}
         for name in value_cols:
-            arrays[name] = np.zeros((side, side), dtype=np.float64)
+            arrays[name] = np.zeros(shape, dtype=np.float64)
             arrays[name][ys, xs] = pdf[name].to_numpy()
         out = fn(arrays, present)
-        chosen = present if keep is None else out[keep]
-        own = np.zeros((side, side), dtype=bool)
-        own[halo : halo + tile, halo : halo + tile] = chosen[halo : halo + tile, halo : halo + tile]
-        yy, xx = np.nonzero(own)
+        yy, xx = np.nonzero(present if keep is None else out[keep])
+        own = (yy + oy >= ty * tile) & (yy + oy < (ty + 1) * tile) & (xx + ox >= tx * tile) & (xx + ox < (tx + 1) * tile)
+        yy, xx = yy[own], xx[own]
         cols = {"image_id": np.full(len(yy), image), "y": (yy + oy).astype("int32"), "x": (xx + ox).astype("int32")}
         for name in out_cols:
             cols[name] = out[name][yy, xx]

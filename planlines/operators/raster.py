@@ -54,7 +54,11 @@ def stroke_spans(segments: DataFrame, thickness: int = 4, keys: list[str] = KEYS
     """
     r = F.lit(thickness / 2.0)
     pad = F.lit((thickness + 1) // 2)
-    distinct = segments.select(*keys, "x1", "y1", "x2", "y2", "width", "height").distinct()
+    # A segment grows into its pixels after this exchange, so its partition count is
+    # fixed instead of being shrunk to the small size of the segments.
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [*keys, "x1", "y1", "x2", "y2"]
+    distinct = segments.select(*cols, "width", "height").repartition(parts, *cols).dropDuplicates(cols)
     dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
     rows = distinct.select(
         "*",
@@ -87,6 +91,24 @@ def chord_segments(chords: DataFrame, images: DataFrame) -> DataFrame:
     return chords.select("image_id", *ints).join(images.select("image_id", "width", "height"), "image_id")
 
 
+def attach_mask(dense: DataFrame, runs: DataFrame, shifts: dict[str, int], keys: list[str] = KEYS) -> DataFrame:
+    """Dense pixels with boolean columns: is the mask set ``shift`` pixels to the left?
+
+    The mask joins row by row: a row's runs travel as one short array (at most half
+    the image width), so the dense table is never shuffled by pixel, and not at all
+    when it is already laid out by (image, row). The row arrays are the hash side;
+    they are a small fraction of the dense partition they meet.
+    """
+    rows = runs.groupBy(*keys, "y").agg(F.collect_list(F.struct("x0", "x1")).alias("_runs"))
+    joined = dense.join(rows.hint("shuffle_hash"), [*keys, "y"], "left")
+
+    def inside(shift: int):
+        x = F.col("x") - shift
+        return F.coalesce(F.exists("_runs", lambda r: (x >= r["x0"]) & (x <= r["x1"])), F.lit(False))
+
+    return joined.withColumns({name: inside(shift) for name, shift in shifts.items()}).drop("_runs")
+
+
 def disc_rows(radius: int) -> list[tuple[int, int]]:
     """Half width of the elliptical kernel of side 2r+1 for each row offset."""
     return [(dy, int(round((radius * radius - dy * dy) ** 0.5))) for dy in range(-radius, radius + 1)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -12,15 +13,14 @@ from pyspark.sql import functions as F
 from planlines.functions import geometry as G
 from planlines.functions import scoring as SC
 from planlines.operators import raster as R
+from planlines.operators.ranking import row_numbers
 
 
-def tile_pixels(pixels: DataFrame, images: DataFrame, mask: DataFrame, tile: int, stride: int) -> DataFrame:
+def tile_pixels(pixels: DataFrame, images: DataFrame, runs: DataFrame, tile: int, stride: int) -> DataFrame:
     """RGB and 0/1 target of every cell of every tile; cells past the image are zero."""
-    flagged = pixels.select("image_id", "y", "x", "r", "g", "b").join(
-        mask.select("image_id", "y", "x", F.lit(1).alias("target")), ["image_id", "y", "x"], "left"
-    )
+    flagged = R.attach_mask(pixels.select("image_id", "y", "x", "r", "g", "b"), runs, {"target": 0})
     inside = R.to_tiles(flagged, images, tile, stride).select(
-        "image_id", "tile_row", "tile_col", "ly", "lx", "r", "g", "b", F.coalesce("target", F.lit(0)).alias("target")
+        "image_id", "tile_row", "tile_col", "ly", "lx", "r", "g", "b", F.col("target").cast("int").alias("target")
     )
     zero = [F.lit(0).alias(c) for c in ("r", "g", "b", "target")]
     return inside.unionByName(R.padding_cells(images, tile, stride).select("*", *zero))
@@ -81,8 +81,6 @@ def sample_tiles(images: DataFrame, points: DataFrame, tile: int, per_image: int
 
     sizes = points.groupBy("image_id", "pno").agg(F.count("*").alias("n_points"))
     per = sizes.groupBy("image_id").agg(F.count("*").alias("n_lines"))
-    from planlines.operators.ranking import row_numbers
-
     ids = row_numbers(per, [], [F.col("image_id")], "ino") if not per.isEmpty() else None
     half, jit = tile // 2, int(jitter * tile)
 
@@ -121,7 +119,7 @@ def score_tiles(cells: DataFrame, tile: int, fn: Callable[[np.ndarray], np.ndarr
     """
     mu, sd = np.array(mean)[:, None, None], np.array(std)[:, None, None]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         rgb = np.zeros((3, tile, tile), dtype=np.float64)
         ly, lx = pdf["ly"].to_numpy(), pdf["lx"].to_numpy()
         for i, c in enumerate("rgb"):

@@ -82,13 +82,9 @@ class Inputs:
     @cached_property
     def scored(self) -> DataFrame:
         """Dense pixels with 0/1 target and a logit correlated with the mask one pixel off."""
-        here = self.mask.select("image_id", "y", "x", F.lit(1).alias("target"), F.lit(0).alias("lift"))
-        moved = self.mask.select("image_id", "y", (F.col("x") + 1).alias("x"), F.lit(0).alias("target"), F.lit(1).alias("lift"))
-        flags = here.unionByName(moved).groupBy("image_id", "y", "x").agg(F.max("target").alias("target"), F.max("lift").alias("lift"))
-        joined = self.pixels.join(flags, ["image_id", "y", "x"], "left")
-        shift = F.when(F.col("lift") == 1, F.lit(4.0)).otherwise(F.lit(-3.0))
-        return joined.select("image_id", "y", "x", (F.col("logit") + shift).alias("logit"),
-                             F.coalesce("target", F.lit(0)).alias("target"))
+        joined = R.attach_mask(self.pixels, self.runs, {"gt": 0, "lift": 1})
+        shift = F.when(F.col("lift"), F.lit(4.0)).otherwise(F.lit(-3.0))
+        return joined.select("image_id", "y", "x", (F.col("logit") + shift).alias("logit"), F.col("gt").cast("int").alias("target"))
 
     @cached_property
     def flags(self) -> DataFrame:
@@ -102,9 +98,7 @@ class Inputs:
     @cached_property
     def tile_scores(self) -> DataFrame:
         """Scores seen by overlapping tiles that disagree a little."""
-        from planlines.operators.raster import to_tiles
-
-        tiled = to_tiles(self.scored, self.images, TILE, STRIDE)
+        tiled = R.to_tiles(self.scored, self.images, TILE, STRIDE)
         off = ((F.col("tile_row") + F.col("tile_col")) % 3) / 4
         return tiled.withColumn("logit", F.col("logit") + off).withColumn("p", SC.sigmoid(F.col("logit")))
 

@@ -207,7 +207,7 @@ def _tile_digest(cells: DataFrame) -> DataFrame:
 @query("tile_pixels", TILE_CELLS + f"""
 SELECT image_id, CAST(tile_row AS INT) AS tile_row, CAST(tile_col AS INT) AS tile_col, {TILE_DIGEST} FROM cells GROUP BY image_id, tile_row, tile_col""")
 def tile_pixels(q: Inputs):
-    return _tile_digest(T.tile_pixels(q.pixels, q.images, q.mask, TILE, STRIDE))
+    return _tile_digest(T.tile_pixels(q.pixels, q.images, q.runs, TILE, STRIDE))
 
 
 def _tile_draw(name: str):
@@ -224,7 +224,7 @@ moved AS (SELECT *, CASE WHEN NOT fr THEN ay WHEN k = 1 THEN 31 - ax WHEN k = 2
   CASE WHEN NOT fr THEN ax WHEN k = 1 THEN ay WHEN k = 2 THEN 31 - ax ELSE 31 - ay END AS lx FROM flipped)""" + f"""
 SELECT image_id, CAST(tile_row AS INT) AS tile_row, CAST(tile_col AS INT) AS tile_col, {TILE_DIGEST} FROM moved GROUP BY image_id, tile_row, tile_col""")
 def augment_tiles(q: Inputs):
-    cells = T.tile_pixels(q.pixels, q.images, q.mask, TILE, STRIDE)
+    cells = T.tile_pixels(q.pixels, q.images, q.runs, TILE, STRIDE)
     return _tile_digest(T.augment_tiles(cells, TILE, ["image_id", "tile_row", "tile_col"], draw=_tile_draw))
 
 
@@ -270,9 +270,7 @@ FROM pixels p JOIN tiles t ON t.image_id = p.image_id AND p.y >= t.tile_row AND
 GROUP BY p.image_id, p.y, p.x) GROUP BY image_id, y""")
 def score_tiles(q: Inputs):
     """A user's scoring function on whole tiles, stitched back to images."""
-    from planlines.operators.raster import to_tiles
-
-    cells = to_tiles(q.pixels.drop("logit"), q.images, TILE, STRIDE)
+    cells = R.to_tiles(q.pixels.drop("logit"), q.images, TILE, STRIDE)
 
     def model(rgb):
         """Stands for a trained model: a contrast of the red and blue bytes."""
@@ -320,11 +318,6 @@ def mask_algebra(q: Inputs):
     return flags.select("image_id", F.when(F.col("b"), "and").otherwise("and_not").alias("op"), "y", "x")
 
 
-def _covered(q: Inputs, by_tile: bool) -> DataFrame:
-    flags = q.flags.filter("gt or pred").join(q.images.select("image_id", "split"), "image_id")
-    return E.tile_cover(q.images, flags, TILE, STRIDE) if by_tile else flags
-
-
 OVERLAP_SQL = """
 WITH f AS (SELECT i.split, s.target = 1 AS gt, s.logit >= 0 AS pred, s.y, s.x, s.image_id FROM scored s JOIN images i USING (image_id)),
 t AS (SELECT f.* FROM f JOIN tiles t ON t.image_id = f.image_id AND f.y >= t.tile_row AND f.y < t.tile_row + 32 AND f.x >= t.tile_col AND f.x < t.tile_col + 32),
@@ -334,9 +327,9 @@ a AS (SELECT over, split, count(*) FILTER (gt AND pred) AS inter, count(*) FILTE
 
 def _pooled(q: Inputs) -> DataFrame:
     """Overlap sums over images and over overlapping tiles (each pixel once per tile)."""
-    covered = _covered(q, True).withColumns({"images": F.lit(1).cast("long")})
-    parts = [E.pooled_overlap(covered, ["split"], w).withColumn("over", F.lit(n)) for n, w in (("images", "images"), ("tiles", "cover"))]
-    return parts[0].unionByName(parts[1])
+    flags = q.flags.filter("gt or pred").join(q.images.select("image_id", "split"), "image_id")
+    covered = E.tile_cover(q.images, flags, TILE, STRIDE)
+    return E.pooled_overlap(covered, ["split"], {"images": None, "tiles": "cover"})
 
 
 @query("dice", OVERLAP_SQL + " SELECT over, split, inter, n_gt, n_pred, round((2.0 * inter + 1e-6) / (n_gt + n_pred + 1e-6), 6) AS dice FROM a")
