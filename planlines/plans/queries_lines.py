@@ -38,7 +38,7 @@ def coco_scan(q: Inputs):
     path = scratch_path(q.spark, "export")
     ann = q.annotations.join(q.images.select("image_id", "split"), "image_id").withColumn("keypoints", F.expr(KEYPOINTS))
     A.write_export(q.images, ann, path)
-    images, annotations = A.read_export(q.spark, path, "*/*.json", multi_line=False)
+    images, annotations = A.read_export(q.spark, path, "*/*.json")
     flat = A.flatten_keypoints(annotations).drop("v1", "v2", "split")
     return flat.join(images, "image_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +15,51 @@ DOCUMENT = (
 FILE_NAME = "_annotations.coco.json"
 
 
-def read_export(
-    spark: SparkSession, root: str, pattern: str = f"*/{FILE_NAME}", multi_line: bool = True
-) -> tuple[DataFrame, DataFrame]:
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _split_documents(root: str) -> list[tuple[str, str]]:
+    """(split, path) of the export document in every split folder: a handful of names."""
+    from pyarrow import fs
+
+    files, base = _file_system(root)
+    scheme = root[: root.index("://") + 3] if "://" in root else ""
+    folders = [i for i in files.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+    found = [(d.base_name, f"{d.path}/{FILE_NAME}") for d in folders]
+    there = files.get_file_info([p for _, p in found])
+    return [(s, f"{scheme}{p}") for (s, p), i in zip(found, there) if i.type == fs.FileType.File]
+
+
+def _read_texts(batches):
+    for batch in batches:
+        texts = []
+        for path in batch["path"]:
+            files, name = _file_system(path)
+            with files.open_input_stream(name) as stream:
+                texts.append(stream.read().decode("utf-8"))
+        yield pd.DataFrame({"split": batch["split"], "text": texts})
+
+
+def read_export(spark: SparkSession, root: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Images and raw annotations of every split folder below ``root``.
 
-    A missing list counts as empty. One pretty-printed document per split is read
-    whole by one task; exports split into one document per line
-    (``multi_line=False``) scan in parallel. Convert to Parquet once; the jobs read that.
+    A missing list counts as empty. The export's own file name starts with an
+    underscore, which Spark's file sources hide, so each of these few documents is
+    opened by a task of its own and parsed there. An export rewritten as one document
+    per line (``pattern``) scans in parallel through the JSON source.
     """
-    docs = spark.read.schema(DOCUMENT).option("multiLine", multi_line).json(f"{root}/{pattern}")
-    split = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    docs = docs.select("images", "annotations", F.regexp_replace(split, "^split=", "").alias("split"))
+    if pattern is None:
+        names = _split_documents(root)
+        paths = spark.createDataFrame(names, "split string, path string").repartition(max(1, len(names)), "path")
+        texts = paths.mapInPandas(_read_texts, "split string, text string")
+        docs = texts.select("split", F.from_json("text", DOCUMENT).alias("d")).select("split", "d.*")
+    else:
+        docs = spark.read.schema(DOCUMENT).json(f"{root}/{pattern}")
+        split = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        docs = docs.select("images", "annotations", F.regexp_replace(split, "^split=", "").alias("split"))
     images = docs.select("split", F.explode("images").alias("i")).select(
         "split", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height"
     )
