@@ -18,17 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planlines.operators.graph import connected_components
-from planlines.operators.raster import KEYS
+from planlines.operators.raster import KEYS, pixel_words
 from planlines.session import stage
 
 TILE = 256
 
 
-def pixel_id(y: str, x: str):
-    """Row-major pixel id; the smallest id of a component is its first pixel."""
-    return F.col(y).cast("long") * (1 << 24) + F.col(x)
-
-
 def _local_labels(mask: np.ndarray) -> np.ndarray:
     """Flat index of the first pixel of each 8-connected component, -1 outside."""
     h, w = mask.shape
@@ -67,17 +62,17 @@ def label_pixels(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     fraction of the pixels, however large the image.
     """
 
-    def step(arrays, present):
+    def step(_arrays, present, origin):
         first = _local_labels(present)
+        width = present.shape[1]
         n = np.zeros(present.shape, dtype=np.int64)
-        at = first[present]
-        n[present] = arrays["py"].ravel()[at].astype(np.int64) * (1 << 24) + arrays["px"].ravel()[at].astype(np.int64)
+        at = first[present].astype(np.int64)
+        n[present] = (at // width + origin[0]) * (1 << 24) + at % width + origin[1]
         return {"n": n}
 
-    placed = pixels.select("image_id", "y", "x", F.col("y").alias("py"), F.col("x").alias("px"))
-    tiled = stage(halo_tiles(placed, 0, step, ["py", "px"], {"n": "long"}, tile), "labels")
+    tiled = stage(halo_tiles(pixels.select("image_id", "y", "x"), 0, step, [], {"n": "long"}, tile), "labels")
     border = tiled.filter(
-        F.col("y").__mod__(tile).isin(0, tile - 1) | F.col("x").__mod__(tile).isin(0, tile - 1)
+        (F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1)
     )
     ahead = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     reach = border.select("image_id", "n", "y", "x", F.explode(ahead).alias("s")).select(
@@ -100,7 +95,7 @@ def label_pixels(pixels: DataFrame, tile: int = TILE) -> DataFrame:
 def halo_tiles(
     pixels: DataFrame,
     halo: int,
-    fn: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]],
+    fn: Callable[[dict[str, np.ndarray], np.ndarray, tuple[int, int]], dict[str, np.ndarray]],
     value_cols: list[str],
     out_cols: dict[str, str],
     tile: int = TILE,
@@ -108,22 +103,37 @@ def halo_tiles(
 ) -> DataFrame:
     """Apply ``fn`` to every tile of every image, seeing ``halo`` pixels around it.
 
-    ``fn(arrays, present)`` gets one dense array per value column and the map of
-    cells that exist, cut to the bounding box of those cells; it returns dense output arrays, read back for the tile's own
-    cells: those that exist, or where the output named ``keep`` is true.
+    ``fn(arrays, present, origin)`` gets one dense array per value column and the map
+    of cells that exist, cut to the bounding box of those cells whose first row and
+    column are ``origin``; it returns dense output arrays, read back for the tile's own
+    cells: those that exist, or where the output named ``keep`` is true. Plain masks
+    travel as 64-pixel words; tables with values must hold a pixel once.
     """
-    def spread(axis: str):
-        low = F.floor((F.col(axis) - halo) / F.lit(tile))
-        return F.explode(F.sequence(F.greatest(low, F.lit(0)), F.floor((F.col(axis) + halo) / F.lit(tile))))
 
-    tiled = pixels.select("image_id", "y", "x", *value_cols, spread("y").alias("ty")).select(
-        "*", spread("x").alias("tx")
-    )
+    def spread(low, high):
+        first = F.greatest(F.floor((low - halo) / F.lit(tile)), F.lit(0))
+        return F.explode(F.sequence(first, F.floor((high + halo) / F.lit(tile))))
+
+    y, x = F.col("y"), F.col("x")
+    if value_cols:
+        tiled = pixels.select("image_id", "y", "x", *value_cols, spread(y, y).alias("ty")).select(
+            "*", spread(x, x).alias("tx")
+        )
+    else:
+        left = F.col("wx") * 64
+        tiled = pixel_words(pixels).select("*", spread(y, y).alias("ty")).select("*", spread(left, left + 63).alias("tx"))
     schema = "image_id long, y int, x int" + "".join(f", {n} {t}" for n, t in out_cols.items())
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         image, ty, tx = key
-        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        if value_cols:
+            ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        else:
+            ys, xs = _unpack(pdf)
+            seen = (xs >= tx * tile - halo) & (xs < (tx + 1) * tile + halo)
+            ys, xs = ys[seen], xs[seen]
+        if not len(ys):
+            return pd.DataFrame({c: [] for c in ["image_id", "y", "x", *out_cols]})
         oy, ox = int(ys.min()), int(xs.min())
         shape = (int(ys.max()) - oy + 1, int(xs.max()) - ox + 1)
         ys, xs = ys - oy, xs - ox
@@ -133,7 +143,7 @@ def halo_tiles(
         for name in value_cols:
             arrays[name] = np.zeros(shape, dtype=np.float64)
             arrays[name][ys, xs] = pdf[name].to_numpy()
-        out = fn(arrays, present)
+        out = fn(arrays, present, (oy, ox))
         yy, xx = np.nonzero(present if keep is None else out[keep])
         own = (yy + oy >= ty * tile) & (yy + oy < (ty + 1) * tile) & (xx + ox >= tx * tile) & (xx + ox < (tx + 1) * tile)
         yy, xx = yy[own], xx[own]
@@ -142,7 +152,19 @@ def halo_tiles(
             cols[name] = out[name][yy, xx]
         return pd.DataFrame(cols)
 
-    return tiled.groupBy("image_id", "ty", "tx").applyInPandas(run, schema)
+    # A few bytes of words unfold into a whole tile of work, so the partition count is
+    # fixed rather than shrunk to the input size.
+    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ["image_id", "ty", "tx"]
+    return tiled.repartition(parts, *at).groupBy(*at).applyInPandas(run, schema)
+
+
+def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of the set bits of row words."""
+    words = pdf["word"].to_numpy().astype("<i8")
+    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    row, bit = np.nonzero(bits)
+    return pdf["y"].to_numpy()[row], pdf["wx"].to_numpy()[row] * 64 + bit
 
 
 # --- skeleton ---------------------------------------------------------------
@@ -190,7 +212,7 @@ def skeletonize(pixels: DataFrame, tile: int = TILE, halo: int = 33) -> DataFram
     """
     rounds = (halo - 1) // 4
 
-    def step(_arrays, present):
+    def step(_arrays, present, _origin):
         m, settled = thin(present, rounds)
         degree = sum(r.astype(np.int32) for r in _ring(m))
         return {"live": m, "degree": degree, "settled": np.full(m.shape, settled)}
@@ -280,7 +302,7 @@ def soft_skeleton(scores: DataFrame, columns: list[str], iterations: int = 3, ti
     ``iterations + 2`` cells far, which is the halo.
     """
 
-    def step(arrays, present):
+    def step(arrays, present, _origin):
         out = {}
         for name in columns:
             img = arrays[name]

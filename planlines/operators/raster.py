@@ -30,6 +30,15 @@ def merge_spans(spans: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return marked.groupBy(*keys, "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
 
 
+def pixel_words(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Pixels as 64-bit words of a row: bit ``x % 64`` of word ``x // 64``.
+
+    Copies of a pixel vanish in the map-side OR, and up to 64 pixels travel as one row.
+    """
+    bit = _shl(F.lit(1).cast("long"), F.col("x").bitwiseAND(63))
+    return pixels.groupBy(*keys, "y", F.shiftright("x", 6).alias("wx")).agg(F.bit_or(bit).alias("word"))
+
+
 def runs_to_pixels(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
@@ -168,14 +177,27 @@ def _shl(value, bits):
 def boxes_touching(boxes: DataFrame, cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Boxes ``[ix1, ix2) × [iy1, iy2)`` that contain at least one mask pixel.
 
-    Each box visits the 8×8 cells it covers; the occupancy word of a cell ANDed
-    with the covered part of the cell decides exactly. Returns the distinct ``box``
-    ids with their keys.
+    Boxes first meet the occupied 64×64 blocks, which drops the empty space of large
+    boxes; inside an occupied block they visit the 8×8 cells they cover, where the
+    occupancy word ANDed with the covered part of the cell decides exactly. Returns
+    the distinct ``box`` ids with their keys.
     """
-    spread = boxes.select(
-        "*",
-        F.explode(F.sequence(F.shiftright("iy1", 3), F.shiftright(F.col("iy2") - 1, 3))).alias("cy"),
-    ).select("*", F.explode(F.sequence(F.shiftright("ix1", 3), F.shiftright(F.col("ix2") - 1, 3))).alias("cx"))
+    blocks = cells.select(*keys, F.shiftright("cy", 3).alias("by"), F.shiftright("cx", 3).alias("bx")).distinct()
+
+    def steps(low, high):
+        return F.explode(F.sequence(low, high))
+
+    last_y, last_x = F.col("iy2") - 1, F.col("ix2") - 1
+    near = (
+        boxes.select("*", steps(F.shiftright("iy1", 6), F.shiftright(last_y, 6)).alias("by"))
+        .select("*", steps(F.shiftright("ix1", 6), F.shiftright(last_x, 6)).alias("bx"))
+        .join(blocks, [*keys, "by", "bx"])
+    )
+
+    def inside(low, high, block):
+        return steps(F.greatest(F.shiftright(low, 3), F.col(block) * 8), F.least(F.shiftright(high, 3), F.col(block) * 8 + 7))
+
+    spread = near.select("*", inside("iy1", last_y, "by").alias("cy")).select("*", inside("ix1", last_x, "bx").alias("cx"))
     cover = row_word(
         F.greatest(F.col("ix1") - F.col("cx") * 8, F.lit(0)),
         F.least(F.col("ix2") - 1 - F.col("cx") * 8, F.lit(7)),

@@ -189,13 +189,14 @@ def component_filter(pred: DataFrame, images: DataFrame, symbols: DataFrame, *,
     """
     pred = pred.select("image_id", "y", "x")
     grown = R.runs_to_pixels(R.dilate(R.pixels_to_runs(pred), images, dilation))
-    labels = stage(M.label_pixels(grown), "labels")
+    labels = M.label_pixels(grown)
     at = ["image_id", "y", "x"]
-    labelled = pred.join(labels, at)
+    labelled = stage(pred.join(labels, at), "labelled")
     thin = M.skeletonize(pred) if skeleton is None else M.neighbour_count(skeleton)
-    skel = thin.join(labels, at)
+    # The skeleton is read by every step of the end-pixel rule: keep it, not its plan.
+    skel = stage(thin.join(labelled, at), "skeleton")
     ends = M.skeleton_endpoints(skel, ["image_id", "component"])
-    endpoint_p = endpoint_symbol_p(ends, symbols, radius)
+    endpoint_p = stage(endpoint_symbol_p(ends, symbols, radius), "ends")
     decisions = stage(component_decisions(labels, labelled, skel, endpoint_p, **thresholds), "decisions")
     return {
         "labels": labels, "labelled": labelled, "skeleton": skel, "endpoints": endpoint_p, "decisions": decisions,
