@@ -89,6 +89,11 @@ def within_stroke(px: Column, py: Column, thickness: int) -> Column:
     return F.when(dot <= 0, near1).when(dot >= len2, near2).otherwise(4 * cross * cross <= t2 * len2)
 
 
+def fit_scale(width: Column, height: Column, long_side: int) -> Column:
+    """Factor that brings the long side down to ``long_side``; small images keep 1."""
+    return F.least(F.lit(1.0), F.lit(float(long_side)) / F.greatest(width, height))
+
+
 def tile_count(side: Column, tile: int, stride: int) -> Column:
     """Number of tile origins along a side; a side shorter than a tile has one."""
     over = F.greatest(side - tile, F.lit(0))

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from planlines.operators.graph import connected_components
 from planlines.operators.raster import KEYS, pixel_words
-from planlines.session import stage
+from planlines.session import fanout_partitions, stage
 
 TILE = 256
 
@@ -154,7 +154,7 @@ def halo_tiles(
 
     # A few bytes of words unfold into a whole tile of work, so the partition count is
     # fixed rather than shrunk to the input size.
-    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = fanout_partitions(pixels.sparkSession)
     at = ["image_id", "ty", "tx"]
     return tiled.repartition(parts, *at).groupBy(*at).applyInPandas(run, schema)
 

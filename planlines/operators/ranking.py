@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planlines.session import stage
+from planlines.session import fanout_partitions, stage
 
 
 def running(
@@ -23,7 +23,7 @@ def running(
     with the rows, so a recomputed task can not disagree about it. Each value also
     comes with ``{name}_total``, its value over the whole group.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = fanout_partitions(df.sparkSession)
     spread = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
     rows = stage(spread, "running")
     agg = {"sum": F.sum, "max": F.max}

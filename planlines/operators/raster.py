@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planlines.functions import geometry as G
+from planlines.session import fanout_partitions
 
 KEYS = ["image_id"]
 
@@ -65,7 +66,7 @@ def stroke_spans(segments: DataFrame, thickness: int = 4, keys: list[str] = KEYS
     pad = F.lit((thickness + 1) // 2)
     # A segment grows into its pixels after this exchange, so its partition count is
     # fixed instead of being shrunk to the small size of the segments.
-    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = fanout_partitions(segments.sparkSession)
     cols = [*keys, "x1", "y1", "x2", "y2"]
     distinct = segments.select(*cols, "width", "height").repartition(parts, *cols).dropDuplicates(cols)
     dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")

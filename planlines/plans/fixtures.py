@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planlines.session import fanout_partitions
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -113,8 +115,7 @@ def _spark_sql(name: str, sf_dir: str, parts: str) -> str:
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture relation as a DataFrame over the Parquet tables in ``sf_dir``."""
     if name in TEXTS:
-        parts = spark.conf.get("spark.sql.shuffle.partitions")
-        return spark.sql(_spark_sql(name, sf_dir.rstrip("/"), parts))
+        return spark.sql(_spark_sql(name, sf_dir.rstrip("/"), str(fanout_partitions(spark))))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planlines.functions import geometry as G
 from planlines.functions import scoring as SC
 from planlines.operators import lines as L
 from planlines.operators import losses as X
@@ -164,6 +165,16 @@ def block_mean(q: Inputs):
     return E.block_mean(q.pixels, 4, ["r", "g"], ["image_id"]).withColumns({"r": r6("r"), "g": r6("g")})
 
 
+@query("display_scale", """
+SELECT image_id, round(sc, 6) AS scale, CAST(round_even(width * sc, 0) AS INT) AS w, CAST(round_even(height * sc, 0) AS INT) AS h
+FROM (SELECT *, least(1.0, 128.0::DOUBLE / greatest(width, height)) AS sc FROM images)""")
+def display_scale(q: Inputs):
+    """Scale and size of every plan fitted to a long side of 128."""
+    sized = q.images.withColumn("sc", G.fit_scale(F.col("width"), F.col("height"), 128))
+    return sized.select("image_id", r6("sc").alias("scale"), *[
+        G.round_half_even(F.col(c) * F.col("sc")).cast("int").alias(c[0]) for c in ("width", "height")])
+
+
 # Overlay colours and the tolerance per channel.
 PALETTE = [
     ("TP", 255, 255, 255), ("FN", 0, 255, 255), ("FP kept", 255, 0, 255), ("FP dropped", 255, 165, 0), ("TP dropped", 255, 0, 0),

@@ -32,6 +32,17 @@ def build_session(name: str = "planlines", cpus: str | int = "*", **conf) -> Spa
     return spark
 
 
+def fanout_partitions(spark: SparkSession) -> int:
+    """Partition count for exchanges whose rows grow afterwards (explodes, tile work).
+
+    The runtime re-planner sizes partitions by their input bytes and would shrink
+    these too far, so they get a fixed count: the session's own setting, or a few
+    tasks per core where it was left at the engine's default.
+    """
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(parts) if parts != "200" else 4 * spark.sparkContext.defaultParallelism
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 

@@ -37,6 +37,9 @@ def rows_of(records, columns):
     return sorted(columns), sorted((tuple(_norm(r[i]) for i in order) for r in records), key=repr)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     """(ok, message) for one query."""
     t0 = time.time()
@@ -57,16 +60,16 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if r1 != r2:
         only1, only2 = sorted(set(r1) - set(r2), key=repr)[:2], sorted(set(r2) - set(r1), key=repr)[:2]
         return False, f"values differ; {stat}; {c1} spark {only1} sql {only2}"
-    types = dict(df.dtypes)
     kinds = {d[0]: str(d[1]) for d in res.description}
-    return True, f"{stat} | {types} | {kinds}" if "-v" in sys.argv else stat
+    odd = {c: (t, kinds[c]) for c, t in df.dtypes if KINDS.get(t) != kinds[c]}
+    return True, f"{stat}; types {odd}" if odd else stat
 
 
 def main():
     import __spark_entry__ as entry
     from planlines.session import build_session
 
-    args = [a for a in sys.argv[1:] if a != "-v"]
+    args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     spark, con = build_session(cpus=8), connect(sf_dir)
     fns, sqls = entry.queries(), entry.oracle_sql()
