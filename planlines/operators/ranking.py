@@ -53,7 +53,8 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str =
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """First ``n`` rows of each group; Spark cuts each map task to n rows per group first."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    first = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    return first.withColumn(name, F.col(name).cast("long"))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -122,7 +122,7 @@ def vertex_degree(q: Inputs):
 
 
 POLYLINES_SQL = """
-SELECT c.image_id, c.fa AS chain_a, c.fb AS chain_b, c.steps + 2 AS n_points, round(sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS length,
+SELECT c.image_id, c.fa AS chain_a, c.fb AS chain_b, CAST(c.steps + 2 AS BIGINT) AS n_points, round(sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS length,
        c.fa = c.lb AS closed, c.pure_cycle
 FROM chains c JOIN walks w ON w.image_id = c.image_id AND w.fa = c.fa AND w.fb = c.fb
 JOIN vertices a ON a.image_id = w.image_id AND a.root = w.a JOIN vertices b ON b.image_id = w.image_id AND b.root = w.b
@@ -146,7 +146,7 @@ def pure_cycles(q: Inputs):
 
 
 @query("radius_sweep", """
-WITH radii AS (SELECT UNNEST([0.0, 5.0, 10.0, 20.0, 40.0]) AS radius),
+WITH radii AS (SELECT UNNEST([0.0, 5.0, 10.0, 20.0, 40.0]::DOUBLE[]) AS radius),
 rnear AS (SELECT r.radius, a.image_id, a.end_id AS u, b.end_id AS v FROM radii r, ends a JOIN ends b ON a.image_id = b.image_id
   WHERE r.radius > 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= r.radius * r.radius),
 rreach AS (SELECT r.radius, image_id, end_id AS u, end_id AS v FROM radii r, ends

@@ -696,7 +696,7 @@ def outcome_label_filtered(q: Inputs):
 
 @query("result_manifest", """
 WITH r AS (SELECT image_id, split, file_name, (image_id * 37 % 21 - 10) / 10000.0 AS d FROM images)
-SELECT split || '/' || regexp_replace(file_name, '\\.[^.]*$', '') || '.jpg' AS jpg, split, image_id, file_name AS image_file, 0.5 AS dice_before, 0.5 + d AS dice_after, round(d, 4) AS dice_delta,
+SELECT split || '/' || regexp_replace(file_name, '\\.[^.]*$', '') || '.jpg' AS jpg, split, image_id, file_name AS image_file, 0.5::DOUBLE AS dice_before, 0.5 + d AS dice_after, round(d, 4) AS dice_delta,
   CASE WHEN round(d, 4) > 0.0005 THEN 'pos' WHEN round(d, 4) < -0.0005 THEN 'neg' ELSE 'zero' END AS delta_class, image_id % 9 AS n_dropped
 FROM r WHERE image_id % 4 <> 1""")
 def result_manifest(q: Inputs):
