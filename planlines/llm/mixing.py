@@ -16,7 +16,7 @@ from planlines.session import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of one source that share a flight; each leaves at most two undecided.
-CHUNK = 4096
+CHUNK = 1024
 NEAR = 1e-9
 
 
@@ -60,13 +60,13 @@ def mix(
     Returns ``doc_id, source, size, source_size, target, copies`` for every row of
     ``docs (doc_id, text, source)``; other columns are ignored. A document enters
     ``target / source_size`` times on average: the whole part always, the fraction
-    by balanced sampling. The flight moves three undecided rows at a time along the
-    null space of the two constraints of their source, the number of documents and
-    the number of words, until one of them is settled at 0 or 1. Rows of a source
-    are dealt into chunks by a hash of their id, long ones first, so what a chunk
-    leaves undecided are two of its shortest rows; these meet in the next round.
-    When a source has one chunk left, its last two rows land where the words are
-    nearest to what was expected.
+    by balanced sampling. The flight moves the undecided rows along the null space
+    of the two constraints of their source, the number of documents and the number
+    of words, until all but two are settled at 0 or 1. Rows of a source are dealt
+    into chunks by a hash of their id, and the longest are settled first, so what a
+    chunk leaves undecided are two of its shortest rows; these meet in the next
+    round. When a source has one chunk left, its last two rows land where the words
+    are nearest to what was expected.
 
     Null text is empty and has size 0; such rows are sampled like others. Null
     sources are one source. Rows with equal ids are sampled separately. The choice
@@ -104,54 +104,65 @@ def mix(
     return out
 
 
+def _flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
+    """Inclusion probabilities after the flight: 0 or 1, but for two rows at most.
+
+    ``sizes`` fall. Each step projects the unit vector of the largest undecided row
+    onto the null space of the two constraints, so that row moves most and all others
+    make up for it; the step ends where a first row reaches 0 or 1, up or down with
+    the chances that keep every expectation. ``last``: the rest lands as well.
+    """
+    out, at = p.copy(), np.arange(len(p))
+    s, q = sizes.astype(float), p.astype(float)
+    while True:
+        free = (q > NEAR) & (q < 1 - NEAR)
+        if not free.all():
+            out[at[~free]] = np.round(q[~free])
+            at, s, q = at[free], s[free], q[free]
+        m = len(q)
+        if m < 2 or (m == 2 and s[0] != s[1]):
+            break
+        c = s - s.mean()
+        square = float(c @ c)
+        move = -(1.0 / m + (c[0] / square) * c if square > 0 else np.full(m, 1.0 / m))
+        move[0] += 1.0
+        move[np.abs(move) < 1e-14] = 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.min(np.where(move > 0, (1 - q) / move, np.where(move < 0, q / -move, np.inf)))
+            down = np.min(np.where(move > 0, q / move, np.where(move < 0, (1 - q) / -move, np.inf)))
+        if not np.isfinite(up + down):
+            break
+        q = q + (up if rng.random() * (up + down) < down else -down) * move
+    if last and len(q):
+        sides = [np.array([(k >> i) & 1 for i in range(len(q))], float) for k in range(1 << len(q))]
+        q = min(sides, key=lambda x: (abs((x - q) @ s), abs((x - q).sum()), tuple(x)))
+    out[at] = q
+    return out
+
+
 def _fly(seed: int, last: bool):
-    """Task of one round: streams the rows of each (source, part), holding two undecided ones."""
-
-    def step(units: list[list], rng: np.random.Generator) -> None:
-        """Move three units (or two, where words can not be kept) until one is settled."""
-        s = [u[1] for u in units]
-        move = [s[1] - s[2], s[2] - s[0], s[0] - s[1]] if len(units) == 3 else [1.0, -1.0]
-        if not any(move):
-            move = [1.0, -1.0, 0.0]
-        up = min((1 - u[2]) / m if m > 0 else u[2] / -m for u, m in zip(units, move) if m)
-        down = min(u[2] / m if m > 0 else (1 - u[2]) / -m for u, m in zip(units, move) if m)
-        by = up if rng.random() * (up + down) < down else -down
-        for u, m in zip(units, move):
-            u[2] = u[2] + by * m
-            u[2] = 0.0 if u[2] < NEAR else 1.0 if u[2] > 1 - NEAR else u[2]
-
-    def land(units: list[list]) -> None:
-        want = sum(u[1] * u[2] for u in units)
-        count = sum(u[2] for u in units)
-        outcomes = [[(k >> i) & 1 for i in range(len(units))] for k in range(1 << len(units))]
-        off = lambda x: (abs(sum(a * u[1] for a, u in zip(x, units)) - want), abs(sum(x) - count), x)
-        for u, a in zip(units, min(outcomes, key=off)):
-            u[2] = float(a)
+    """Task of one round: the rows of each (source, part), in blocks of twice a chunk at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rng, held = None, None, []
+
+        def settle(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            p = _flight(np.array([r["size"] for r in held], float), np.array([r["p"] for r in held]), rng, last)
+            names = [n for n in schema.names if n not in ("p", "spot", "part")] + ["p"]
+            rows = [{n: r[n] for n in names[:-1]} | {"p": float(x)} for r, x in zip(held, p)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([schema.field(n) for n in names]))
+
         for batch in batches:
-            names = [n for n in batch.schema.names if n not in ("p", "spot", "part")] + ["p"]
-            out = []
             for row in batch.to_pylist():
-                if key is None or key != (row["source"], row["part"]):
-                    if last:
-                        land(held)
-                    out += [u[0] | {"p": u[2]} for u in held]
+                if key != (row["source"], row["part"]) or len(held) >= 2 * CHUNK:
+                    if held:
+                        yield from settle(batch.schema)
                     key, held = (row["source"], row["part"]), []
-                    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(repr((seed, key, last)).encode()))
-                held.append([row, float(row["size"]), row["p"]])
-                if len(held) == 3:
-                    step(held, rng)
-                    out += [u[0] | {"p": u[2]} for u in held if u[2] in (0.0, 1.0)]
-                    held = [u for u in held if u[2] not in (0.0, 1.0)]
-            schema = pa.schema([batch.schema.field(n) for n in names])
-            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=schema)
+                    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(repr((seed, key, row["spot"])).encode()))
+                held.append(row)
+            schema = batch.schema
         if held:
-            if last:
-                land(held)
-            out = [u[0] | {"p": u[2]} for u in held]
-            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=schema)
+            yield from settle(schema)
 
     return run
 
