@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.llm import chat, host_rules, mixing, warc
+from planlines.llm import anchors, chat, host_rules, mixing, warc
 from planlines.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the driver entry)
 from planlines.llm.texts import read
 
@@ -88,6 +88,33 @@ def host_rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), hit AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS m FROM win) WHERE m < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, p + o AS p FROM hit, range(0, 50) AS x(o)
+), word AS (
+  SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d
+), left_over AS (
+  SELECT word.doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed,
+         sha256(coalesce(string_agg(w, ' ' ORDER BY word.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op7_fixed_block_anchors", REPEATS_SQL)
+def fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anchors.removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op9_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
