@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planlines.llm.prefilter import having
 from planlines.llm.texts import WordHashes, by_group, hashes, rolling, slices, starts_of, utf8
 from planlines.session import stage
 
@@ -180,43 +181,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-#: Bits of the filter that spares texts without matches the way through the shuffle.
-FILTER_BITS = 1 << 25
-
-
-def _bits(ids: DataFrame) -> np.ndarray:
-    """Bitmap of FILTER_BITS bits with the slots of all ids: a filter of fixed size that misses none."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
-    ).collect()
-    out = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for row in parts:
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
-def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs (doc_id, text)`` that may be among ``ids``; the join that follows is exact."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, spot = (batch.column(c).to_numpy() for c in ("bucket", "spot"))
-            keep = (bits.value[bucket, spot // 8] >> (spot % 8).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
-
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = docs.select(
-        "doc_id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("spot")
-    )
-    return rows.mapInArrow(run, "doc_id long, text binary")
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """Words to remove from each row of ``docs (doc_id, text)``.
 
-    Returns ``doc_id, n_words, n_removed, kept_sha256, kept``, one row for each row
+    Returns ``doc_id, n_words, n_removed, kept_sha256, kept, sha``, one row for each row
     with an id. A word goes if a window of WINDOW words covers it whose sequence
     also starts in a document with a smaller id. ``kept`` is the words left, joined
     by single spaces, or null where none is removed.
@@ -249,7 +217,7 @@ def removals(docs: DataFrame) -> DataFrame:
     units = rows.filter(~F.col("copy")).select("doc_id").distinct()
     lows = found.join(units, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("low").alias("lows"))
     lows = stage(lows, "lows")
-    candidates = _having(docs.select("doc_id", utf8("text").alias("text")), lows)
+    candidates = having(docs.select("doc_id", utf8("text").alias("text")), lows)
     texts = stage(candidates.join(lows, "doc_id"), "texts")
     windows = texts.mapInArrow(_windows, "h long, doc_id long")
     first = windows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.llm import anchors, chat, host_rules, mixing, warc
+from planlines.llm import anchors, chat, forest, host_rules, mixing, warc
 from planlines.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the driver entry)
 from planlines.llm.texts import read
 
@@ -115,6 +115,11 @@ def fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op8_minhash_forest")
+def minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
