@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.llm import anchors, chat, forest, host_rules, mixing, warc
+from planlines.llm import anchors, chat, forest, host_rules, mixing, site_quality, toxicity, warc
 from planlines.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the driver entry)
 from planlines.llm.texts import read
 
@@ -40,6 +40,17 @@ def chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_examples(table.unionByName(extra)))
 
 
+@query("op2_site_quality")
+def site_quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return site_quality.judge(docs, read(spark, sf_dir, "labels"))
+
+
+@query("op4_nonnegative_pu")
+def nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 HOST_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
