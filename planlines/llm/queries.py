@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.llm import anchors, chat, forest, host_rules, mixing, site_quality, toxicity, warc
+from planlines.llm import anchors, chat, forest, host_rules, latent, mixing, site_quality, toxicity, warc
 from planlines.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the driver entry)
 from planlines.llm.texts import read
 
@@ -46,6 +46,11 @@ def site_quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.judge(docs, read(spark, sf_dir, "labels"))
 
 
+@query("op3_latent_decontamination")
+def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op4_nonnegative_pu")
 def nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
