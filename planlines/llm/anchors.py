@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.prefilter import having
+from planlines.llm.prefilter import having, split
 from planlines.llm.texts import WordHashes, by_group, hashes, rolling, slices, starts_of, utf8
 from planlines.session import stage
 
@@ -248,7 +248,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept")
     ).dropDuplicates(["_id", "_sha"])
     cut = stage(cut, "removed")
-    joined = docs.join(cut.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_sha", "_kept"))).alias("_cut")),
+    some, rest = split(docs, cut.select(F.col("_id").alias("doc_id")))
+    joined = some.join(cut.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_sha", "_kept"))).alias("_cut")),
                        F.col("doc_id") == F.col("_id"), "left")
     words = F.array_join(F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+", -1), " ")
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.coalesce(F.element_at("_cut", F.sha2(words, 256)), F.col("text")))
@@ -257,4 +258,4 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.col("_text").alias(c) if c == "text" else F.length("_text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`")
         for c, t in docs.dtypes
     ]
-    return out.select(*columns)
+    return rest.unionByName(out.select(*columns))

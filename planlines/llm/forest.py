@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.prefilter import having
+from planlines.llm.prefilter import having, split, without
 from planlines.llm.texts import WordHashes, by_group, hashes, mixed, rolling, starts_of, utf8
 from planlines.operators.graph import connected_components
 from planlines.session import stage
@@ -271,6 +271,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     All columns stay. Rows without id stay, and so do texts without words; of rows
     that repeat an id one stays.
     """
-    first = join(docs).filter("doc_id = class_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    later = stage(join(docs).filter("doc_id <> class_id").select("doc_id"), "later")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    some, rest = split(without(docs, later), stage(repeated, "repeated"))
+    return rest.unionByName(some.dropDuplicates(["doc_id"]))

@@ -16,7 +16,7 @@ from planlines.session import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of one source that share a flight; each leaves at most two undecided.
-CHUNK = 1024
+CHUNK = 512
 NEAR = 1e-9
 
 
@@ -108,8 +108,8 @@ def _flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bo
     """Inclusion probabilities after the flight: 0 or 1, but for two rows at most.
 
     ``sizes`` fall. Each step projects the unit vector of the largest undecided row
-    onto the null space of the two constraints, so that row moves most and all others
-    make up for it; the step ends where a first row reaches 0 or 1, up or down with
+    that can move onto the null space of the two constraints, so that row moves most
+    and all others make up for it; the step ends where a first row reaches 0 or 1, up or down with
     the chances that keep every expectation. ``last``: the rest lands as well.
     """
     out, at = p.copy(), np.arange(len(p))
@@ -124,18 +124,25 @@ def _flight(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bo
             break
         c = s - s.mean()
         square = float(c @ c)
-        move = -(1.0 / m + (c[0] / square) * c if square > 0 else np.full(m, 1.0 / m))
-        move[0] += 1.0
-        move[np.abs(move) < 1e-14] = 0.0
+        flat = square <= 1e-12 * float(s @ s)
+        free_to = 1 - 1.0 / m - (0.0 if flat else c * c / square) + np.zeros(m)
+        g = int(np.argmax(free_to > 1e-6))  # the largest row that the constraints let move
+        if free_to[g] <= 1e-6:
+            break
+        move = np.full(m, -1.0 / m) if flat else -(1.0 / m + (c[g] / square) * c)
+        move[g] += 1.0
+        move[np.abs(move) < 1e-12] = 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
             up = np.min(np.where(move > 0, (1 - q) / move, np.where(move < 0, q / -move, np.inf)))
             down = np.min(np.where(move > 0, q / move, np.where(move < 0, (1 - q) / -move, np.inf)))
         if not np.isfinite(up + down):
             break
         q = q + (up if rng.random() * (up + down) < down else -down) * move
-    if last and len(q):
+    if last and 0 < len(q) <= 4:
         sides = [np.array([(k >> i) & 1 for i in range(len(q))], float) for k in range(1 << len(q))]
         q = min(sides, key=lambda x: (abs((x - q) @ s), abs((x - q).sum()), tuple(x)))
+    elif last:
+        q = (np.cumsum(q) + 0.5).astype(int) - (np.cumsum(q) - q + 0.5).astype(int)
     out[at] = q
     return out
 

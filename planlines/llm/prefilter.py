@@ -1,47 +1,42 @@
-"""A fixed-size filter that spares texts nobody asks for the way through a shuffle."""
+"""A filter of fixed size that spares rows nobody asks for the way through a shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the filter that spares texts without matches the way through the shuffle.
+#: Bits of the filter. Spark's bitmaps hold 32768 each, so it is at most 1025 rows of 4 KB.
 FILTER_BITS = 1 << 25
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """Bitmap of FILTER_BITS bits with the slots of all ids: a filter of fixed size that misses none."""
+def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that may be among ``ids (doc_id)``, and rows that surely are not.
+
+    A bitmap of hashed ids goes to all tasks; it has one size whatever the input.
+    Once it fills up it lets more rows through, never fewer, and an exact join is to
+    follow on the first part. Rows without id are surely not among them.
+    """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
-    ).collect()
-    out = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for row in parts:
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    bits = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_pf_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_pf_bits")
+    )
+    rows = docs.withColumn("_pf_bucket", F.bitmap_bucket_number(slot)).withColumn("_pf_spot", F.bitmap_bit_position(slot))
+    byte = F.conv(F.hex(F.expr("substring(_pf_bits, CAST(_pf_spot DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    rows = rows.join(F.broadcast(bits), "_pf_bucket", "left").withColumn("_pf_byte", byte)
+    maybe = F.coalesce(F.expr("shiftright(_pf_byte, CAST(_pf_spot % 8 AS INT)) & 1 = 1"), F.lit(False)) & F.col("doc_id").isNotNull()
+    return rows.filter(maybe).select(*_columns(docs)), rows.filter(~maybe).select(*_columns(docs))
 
 
-def having(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs (doc_id, text)``, text as bytes, that may be among ``ids (doc_id)``.
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
-    Large texts then need no shuffle to find that nothing asks for them. The bitmap
-    has one size whatever the input; once it fills up it lets more rows through, and
-    the join that follows is exact.
-    """
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(ids))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, spot = (batch.column(c).to_numpy() for c in ("bucket", "spot"))
-            keep = (bits.value[bucket, spot // 8] >> (spot % 8).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
+def having(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that may be among ``ids``; the join that follows is exact."""
+    return split(docs, ids)[0]
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = docs.select(
-        "doc_id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("spot")
-    )
-    return rows.mapInArrow(run, "doc_id long, text binary")
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``ids (doc_id)``. Rows without id stay."""
+    some, rest = split(docs, ids)
+    return rest.unionByName(some.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*_columns(docs)))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planlines.llm.prefilter import without
 from planlines.llm.texts import WordHashes, fold, hashes, rolling, slices, utf8
 from planlines.session import stage
 
@@ -134,4 +135,4 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` without the rejected documents; all columns stay. Rows without id stay."""
     rejected = judge(docs, labels, **how).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    return without(docs, stage(rejected, "rejected"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planlines.llm.texts import utf8
-from planlines.session import scratch_path
+from planlines.session import scratch_path, stage
 
 # Fixed values of the formats: frame magics, and the names of header fields.
 DICT_MAGIC = 0x184D2A5D
@@ -60,15 +60,16 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def train_dictionary(pages: DataFrame) -> bytes:
-    """Dictionary from a bounded sample: the ``SAMPLE_RECORDS`` pages of at most
-    ``SAMPLE_BYTES`` that come first by a hash of their id.
+def train_dictionary(pages: DataFrame, n: int) -> bytes:
+    """Dictionary from a bounded sample of ``pages``, which has ``n`` rows.
 
-    It changes only how small the archive gets. Where there are too few records to
-    train on, the headers every record has serve as a raw dictionary.
+    About ``SAMPLE_RECORDS`` pages of at most ``SAMPLE_BYTES``, chosen by a hash of
+    id and content. The sample changes only how small the archive gets. Where there
+    are too few records to train on, the headers every record has serve instead.
     """
     some = pages.select("page_id", "url", utf8("html").alias("html")).filter(F.length("html") <= SAMPLE_BYTES)
-    rows = some.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_RECORDS).collect()
+    spot = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
+    rows = some.filter(spot * n < F.lit(SAMPLE_RECORDS << 40).cast("decimal(38,0)")).limit(2 * SAMPLE_RECORDS).collect()
     records = [_record(r.page_id, r.url, bytes(r.html), len(r.html), _digest(bytes(r.html)), None) for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, records).as_bytes() if len(records) >= 8 else _record(0, "", b"", 0, "", None)
@@ -86,15 +87,18 @@ def _encode(dictionary: bytes, level: int):
         packed = zstandard.ZstdCompressor(level=level).compress(dictionary)
         lead = struct.pack("<II", DICT_MAGIC, len(packed)) + packed
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_checksum=True)
+        mark, first_id = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = [lead] if lead else []
-            lead = b""
-            cols = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
-            for page_id, url, html, refers_to in zip(*cols):
+            out = []
+            for page_id, sha, kind, url, html, noted in zip(*batch.columns):
+                key = (page_id.as_py(), sha.as_py())
+                if kind.as_py() == 0:
+                    mark, first_id = key, noted.as_py()
+                    continue
                 html = html.as_py()
-                record = _record(page_id.as_py(), url.as_py(), html, len(html), _digest(html), refers_to.as_py())
+                record = _record(key[0], url.as_py(), html, len(html), _digest(html), first_id if mark == key else None)
+                out += [lead] if lead else []
+                lead = b""
                 out.append(press.compress(record))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
@@ -109,25 +113,29 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, level: int
     the frames down as they are, with an empty skippable frame as its separator, so
     the output commit of Spark covers lost tasks and any file system it knows.
 
-    Of pages with equal payloads (by SHA-1 and length) of at least ``min_payload``
-    bytes the smallest id is the response and the others revisit it; smaller ones
-    are all responses. Null html is an empty payload, null url has no target field.
-    Rows that repeat an id revisit it like others, but for one; rows with a null id
-    are responses. Empty tables give an empty archive. Other columns are ignored.
+    Of pages with equal payloads (by SHA-1) of at least ``min_payload`` bytes the
+    smallest id is the response and the others revisit it; smaller ones are all
+    responses. Null html is an empty payload, null url has no target field. Rows
+    that repeat the smallest id are all responses, and so are rows with a null id.
+    Empty tables give an empty archive. Other columns are ignored.
+
+    Payloads move once: who revisits whom is found on digests, and these marks are
+    dealt out with the pages, by id and digest, to one task for each file, where a
+    mark sorts just before its page.
     """
     html = utf8("html")
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"))
-    first = rows.filter(F.length("html") >= min_payload).groupBy("sha").agg(
-        F.min("page_id").alias("first_id"), F.count("*").alias("n")
-    ).filter("n > 1 and first_id is not null").select("sha", "first_id")
-    later = F.col("page_id") != F.col("first_id")
-    marked = rows.join(first, "sha", "left").select(
-        "page_id", "url", "html", F.when(later & (F.length("html") >= min_payload), F.col("first_id")).alias("refers_to")
-    )
-    total = pages.agg(F.sum(F.length(html))).first()[0] or 0
-    files = 1 + int(total // FILE_BYTES)
-    dealt = marked.repartition(files, F.xxhash64("page_id", F.length("html"))).sortWithinPartitions("page_id")
-    frames = dealt.mapInArrow(_encode(train_dictionary(pages), level), "frame binary")
+    sha = F.sha1(html).alias("sha")
+    keys = pages.filter(F.length(html) >= min_payload).select("page_id", sha)
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = stage(first.filter("n > 1 and first_id is not null").select("sha", "first_id"), "first")
+    marks = keys.join(first, "sha").filter("page_id > first_id").distinct()
+    size = pages.agg(F.sum(F.length(html)).alias("bytes"), F.count("*").alias("n")).first()
+    files = 1 + int((size["bytes"] or 0) // FILE_BYTES)
+    rows = pages.select("page_id", sha, F.lit(1).alias("kind"), "url", html.alias("html"), F.lit(None).cast("long").alias("first_id"))
+    noted = marks.select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
+                         F.lit(None).cast("binary").alias("html"), "first_id")
+    dealt = rows.unionByName(noted).repartition(files, "page_id", "sha").sortWithinPartitions("page_id", "sha", "kind", "url")
+    frames = dealt.mapInArrow(_encode(train_dictionary(pages, size["n"]), level), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option(
         "maxRecordsPerFile", 0
     ).text(path)
@@ -202,8 +210,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row of bounded size (``FILE_BYTES`` of payload, or one record).
     """
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
-    return files.repartition(F.col("path")).select("content").mapInArrow(_decode, FIELDS)
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    return files.select("content").mapInArrow(_decode, FIELDS)
 
 
 def archived(pages: DataFrame, min_payload: int = 0) -> DataFrame:
