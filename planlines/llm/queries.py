@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.llm import anchors, chat, forest, host_rules, latent, mixing, site_quality, toxicity, warc
+from planlines.llm import anchors, chat, forest, hmm, host_rules, latent, mixing, site_quality, toxicity, warc
 from planlines.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the driver entry)
 from planlines.llm.texts import read
 
@@ -56,6 +56,11 @@ def nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+@query("op5_hidden_markov")
+def hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 HOST_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
