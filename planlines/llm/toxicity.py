@@ -85,7 +85,7 @@ def _telling(positive: Sparse, unlabelled: Sparse, least: int = 4, deviations: f
 
 
 def fit_nnpu(
-    positive: Sparse, unlabelled: Sparse, prior: float, epochs: int = 12, batch: int = 1000, rate: float = 0.03, decay: float = 1e-4,
+    positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 400, batch: int = 1000, rate: float = 0.03, decay: float = 1e-4,
     seed: int = 5,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier that minimises the non-negative PU risk.
@@ -102,13 +102,11 @@ def fit_nnpu(
     w, b = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     n_p, n_u = len(positive.at) - 1, len(unlabelled.at) - 1
-    steps = max(1, n_u // batch)
-    for _ in range(epochs):
+    parts = max(1, n_u // batch)
+    while t < steps:
         order_u, order_p = rng.permutation(n_u), rng.permutation(n_p)
-        for k in range(steps):
-            p, u = positive.take(order_p[k::steps]), unlabelled.take(order_u[k::steps])
-            if len(p.at) < 2 or len(u.at) < 2:
-                continue
+        for k in range(min(parts, n_p)):
+            p, u = positive.take(order_p[k::parts]), unlabelled.take(order_u[k::parts])
             fp, fu = p.dot(w) + b, u.dot(w) + b
             rest = loss(-fu).mean() - prior * loss(-fp).mean()
             gp_toxic = -prior * sigmoid(-fp) / len(fp)
