@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.session import stage
+from planlines.session import release, stage
 
 
 def _settled(edges: DataFrame, keys: list[str]) -> bool:
@@ -14,26 +14,26 @@ def _settled(edges: DataFrame, keys: list[str]) -> bool:
     return edges.select(*keys, "u").join(roots, [*keys, "u"], "left_semi").isEmpty()
 
 
-def connected_components(
-    nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 60
-) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Label every node with the smallest node id of its component.
 
     ``nodes`` has ``keys, n``; ``edges`` has ``keys, u, v`` (any direction, copies
     allowed). Alternates the large-star and small-star steps of Kiveris et al.
-    (SoCC 2014): each round is two min-aggregations and two equi-joins whose other
-    side holds one row per node, so a hub node splits like any skewed join key.
-    Each round is written out, so no lineage builds up; the loop ends when every
-    star's root is a root only.
+    (SoCC 2014) until every star's root is a root only; the number of rounds follows
+    the logarithm of the longest path. The minimum around each node is written out
+    before edges meet it, so both sides of that join are plain exchanges and a hub's
+    edges split like any skewed key. A round's tables go once the next is written.
     """
     canon = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     current = edges.filter("u <> v").select(*keys, *canon).distinct()
-    for _ in range(max_rounds):
-        current = stage(_small_star(_large_star(current, keys), keys), "stars")
+    while True:
+        last = current
+        large = _large_star(last, keys)
+        current = _small_star(large, keys)
+        release(large)
         if _settled(current, keys):
             break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+        release(last)
     labels = current.select(*keys, F.col("u").alias("n"), F.col("v").alias("component"))
     return nodes.join(labels, [*keys, "n"], "left").select(
         *keys, "n", F.coalesce("component", "n").alias("component")
@@ -43,14 +43,18 @@ def connected_components(
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest node around u."""
     both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    low = stage(both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
     # edges are stored with u > v, so the larger neighbours of a node are its "u" partners
     larger = edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("w"))
-    return larger.join(low, [*keys, "u"]).select(*keys, F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+    out = stage(larger.join(low, [*keys, "u"]).select(*keys, F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+    release(low)
+    return out
 
 
 def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
-    low = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    low = stage(edges.groupBy(*keys, "u").agg(F.min("v").alias("m")), "low")
     moved = edges.join(low, [*keys, "u"]).filter("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct()
+    out = stage(moved.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct(), "stars")
+    release(low)
+    return out

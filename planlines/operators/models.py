@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import warnings
+
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlines.operators.ranking import roc_auc
 from planlines.operators.symbols import cluster_category, l2_normalize
+from planlines.session import stage
 
 K_CANDIDATES = [15, 20, 30, 40, 50]
-SAMPLE = 5000
 
 
-def fit_kmeans(vectors: DataFrame, k: int, inits: int = 10, seed: int = 0, max_iter: int = 20):
+def _settled(name: str, rounds: int, most: int) -> None:
+    if rounds >= most:
+        warnings.warn(f"{name} stopped after {most} rounds without settling", stacklevel=3)
+
+
+def fit_kmeans(vectors: DataFrame, k: int, inits: int = 10, seed: int = 0, max_iter: int = 300):
     """Best of several seeded k-means fits by training cost (Spark ML has no restart count)."""
-    best, cost = None, None
-    for i in range(inits):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vec", predictionCol="cluster").fit(vectors)
-        if cost is None or model.summary.trainingCost < cost:
-            best, cost = model, model.summary.trainingCost
+    models = [
+        KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vec", predictionCol="cluster").fit(vectors) for i in range(inits)
+    ]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    _settled("k-means", best.summary.numIter, max_iter)
     return best
 
 
+def embedding_vectors(symbols: DataFrame) -> DataFrame:
+    """Symbols with the vector of their unit embedding, written out for the passes of the fits."""
+    return stage(symbols.withColumn("vec", array_to_vector(l2_normalize(F.col("embedding")))), "vectors")
+
+
 def cluster_symbols(symbols: DataFrame, k: int = 30, inits: int = 10) -> DataFrame:
     """Symbols with the k-means cluster of their unit embedding."""
-    vectors = symbols.withColumn("vec", array_to_vector(l2_normalize(F.col("embedding")))).persist()
-    model = fit_kmeans(vectors, k, inits)
-    return model.transform(vectors).drop("vec")
+    vectors = embedding_vectors(symbols)
+    return fit_kmeans(vectors, k, inits).transform(vectors).drop("vec")
 
 
 def cluster_near_rate(labelled: DataFrame, cluster: str, all_clusters: DataFrame) -> DataFrame:
@@ -49,7 +59,7 @@ def categorize(rates: DataFrame, high: float = 0.7, low: float = 0.2) -> DataFra
 
 
 def category_order(category):
-    return F.when(category == "irrigation", 0).when(category == "callout", 1).otherwise(2)
+    return F.when(category == "irrigation", 0).when(category == "ambiguous", 1).otherwise(2)
 
 
 def hash_sample(df: DataFrame, ident: str, n: int, seed: str = "0") -> DataFrame:
@@ -58,53 +68,28 @@ def hash_sample(df: DataFrame, ident: str, n: int, seed: str = "0") -> DataFrame
     return df.orderBy(salted, F.col(ident)).limit(n)
 
 
-def silhouette(labelled: DataFrame, vector: str, label: str, ident: str, sample: int = SAMPLE) -> DataFrame:
-    """Exact Euclidean silhouette of a sample of at most ``sample`` rows.
+def silhouette(labelled: DataFrame, vector: str, label: str) -> DataFrame:
+    """Silhouette of all rows under squared Euclidean distance: ``n, silhouette``.
 
-    The sample has a fixed bound, so it travels to every task as one matrix, and a
-    task scores its share of the rows against it; no pairs are materialised.
+    The mean squared distance to a cluster follows exactly from its size, vector sum
+    and sum of squares, so every row is scored against one small row per cluster and
+    no pairs are formed. Plain distances would need all pairs. NULL below two clusters.
     """
-    rows = hash_sample(labelled.select(ident, label, vector), ident, min(sample, SAMPLE))
-    pdf = rows.toPandas()
-    spark = labelled.sparkSession
-    points = np.array(pdf[vector].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-    codes, labels = pd.factorize(pdf[label], sort=True)
-    shared = spark.sparkContext.broadcast((points, codes, len(labels)))
-
-    def score(batches):
-        pts, cl, k = shared.value
-        sizes = np.bincount(cl, minlength=k)
-        member = np.zeros((len(cl), k))
-        member[np.arange(len(cl)), cl] = 1.0
-        for batch in batches:
-            i = batch["i"].to_numpy()
-            sq = (pts[i] ** 2).sum(1)[:, None] + (pts**2).sum(1)[None, :] - 2.0 * pts[i] @ pts.T
-            dist = np.sqrt(np.maximum(sq, 0.0))
-            dist[np.arange(len(i)), i] = 0.0
-            total = dist @ member
-            own = cl[i]
-            rowno = np.arange(len(i))
-            a = total[rowno, own] / np.maximum(sizes[own] - 1, 1)
-            other = total / np.maximum(sizes, 1)
-            other[:, sizes == 0] = np.inf
-            other[rowno, own] = np.inf
-            b = other.min(1)
-            s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    index = spark.range(len(pdf)).toDF("i")
-    return index.mapInPandas(score, "s double").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
-
-
-def pick_k(vectors: DataFrame, ident: str, candidates: list[int] = K_CANDIDATES, inits: int = 10) -> int:
-    """Number of clusters with the highest silhouette, the first on ties."""
-    best, top = candidates[0], -1.0
+    rows = labelled.select(array_to_vector(vector).alias("vec"), F.col(label).cast("double").alias("cluster"))
+    n = rows.count()
+    if rows.select("cluster").distinct().count() < 2:
+        return labelled.sparkSession.createDataFrame([(n, None)], "n long, silhouette double")
+    judge = ClusteringEvaluator(featuresCol="vec", predictionCol="cluster", distanceMeasure="squaredEuclidean")
+    return labelled.sparkSession.createDataFrame([(n, float(judge.evaluate(rows)))], "n long, silhouette double")
+
+
+def pick_k(vectors: DataFrame, candidates: list[int] = K_CANDIDATES, inits: int = 10) -> int:
+    """Number of clusters with the highest silhouette, the smallest on ties."""
+    values = {}
     for k in candidates:
         labelled = fit_kmeans(vectors, k, inits).transform(vectors).withColumn("arr", vector_to_array("vec"))
-        value = silhouette(labelled, "arr", "cluster", ident).first()["silhouette"]
-        if value is not None and value > top:
-            best, top = k, value
-    return best
+        values[k] = silhouette(labelled, "arr", "cluster").first()["silhouette"]
+    return max(candidates, key=lambda k: (-1.0 if values[k] is None else values[k], -k))
 
 
 # --- classifier -------------------------------------------------------------
@@ -136,18 +121,23 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", (total / (F.lit(2.0) * F.col("n"))).alias("weight"))
 
 
-def fit_logreg(train: DataFrame, label: str, n: int, max_iter: int = 100):
+def fit_logreg(train: DataFrame, label: str, n: int, max_iter: int = 2000):
     """L2 logistic regression with balanced classes on scaled features (C = 1)."""
-    weighted = train.join(class_weights(train, label).select(label, "weight"), label)
+    weights = {r[label]: r["weight"] for r in class_weights(train, label).collect()}  # two rows
+    weight = F.when(F.col(label), F.lit(weights.get(True, 1.0))).otherwise(F.lit(weights.get(False, 1.0)))
     lr = LogisticRegression(featuresCol="vec", labelCol="y", weightCol="weight", regParam=1.0 / n,
                             standardization=False, maxIter=max_iter)
-    return lr.fit(weighted.withColumn("y", F.col(label).cast("double")))
+    model = lr.fit(train.withColumn("weight", weight).withColumn("y", F.col(label).cast("double")))
+    _settled("logistic regression", model.summary.totalIterations, max_iter)
+    return model
 
 
-def fit_mlp(train: DataFrame, label: str, width: int, hidden: int = 64, max_iter: int = 60):
+def fit_mlp(train: DataFrame, label: str, width: int, hidden: int = 64, max_iter: int = 200):
     """One hidden layer; Spark ML uses sigmoid units and L-BFGS without early stopping."""
     mlp = MultilayerPerceptronClassifier(featuresCol="vec", labelCol="y", layers=[width, hidden, 2], maxIter=max_iter, seed=0)
-    return mlp.fit(train.withColumn("y", F.col(label).cast("double")))
+    model = mlp.fit(train.withColumn("y", F.col(label).cast("double")))
+    _settled("MLP", model.summary().totalIterations, max_iter)
+    return model
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -168,15 +158,11 @@ def select_model(train: DataFrame, valid: DataFrame, label: str, width: int, nam
     Returns ``(results, best)``: one ``(name, auc_train, auc_valid)`` per candidate,
     and the name and model of the winner or None when no AUC is defined.
     """
-    n = train.count()
-    results, best, top = [], None, -1.0
-    for name in names:
-        model = fit_logreg(train, label, n) if name == "logreg" else fit_mlp(train, label, width)
-        auc_t, auc_v = auc_of(score(model, train), label), auc_of(score(model, valid), label)
-        results.append((name, auc_t, auc_v))
-        if auc_v is not None and auc_v > top:
-            best, top = (name, model), auc_v
-    return results, best
+    fits = {"logreg": lambda: fit_logreg(train, label, train.count()), "mlp": lambda: fit_mlp(train, label, width)}
+    models = {name: fits[name]() for name in names}
+    results = [(name, auc_of(score(m, train), label), auc_of(score(m, valid), label)) for name, m in models.items()]
+    ranked = [(-auc, at, name) for at, (name, _, auc) in enumerate(results) if auc is not None]
+    return results, (min(ranked)[2], models[min(ranked)[2]]) if ranked else None
 
 
 def vectorize(df: DataFrame, features: str, stats) -> DataFrame:

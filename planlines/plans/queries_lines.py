@@ -12,7 +12,7 @@ from planlines.operators import raster as R
 from planlines.operators import symbols as Y
 from planlines.plans.inputs import RADIUS, STRIDE, TILE, Inputs
 from planlines.plans.registry import query
-from planlines.session import scratch_path
+from planlines.session import scratch_path, stage
 from planlines.sources import annotations as A
 from planlines.sources import rasters as P
 from planlines.sources import symbol_cache as C
@@ -130,7 +130,7 @@ JOIN vertices a ON a.image_id = w.image_id AND a.root = w.a JOIN vertices b ON b
 
 
 def _polyline_summary(q: Inputs):
-    clusters = q.clusters
+    clusters = stage(q.clusters, "clusters")
     edges = L.polyline_edges(L.merged_edges(clusters))
     return L.polyline_summary(edges, L.merged_vertices(clusters)).withColumn("length", r6("length"))
 
@@ -140,9 +140,20 @@ def polylines(q: Inputs):
     return _polyline_summary(q)
 
 
-@query("pure_cycles", POLYLINES_SQL.format(where="WHERE c.pure_cycle"))
+@query("pure_cycles", """
+WITH r AS (SELECT image_id, CAST(3 + image_id % 5 AS BIGINT) AS n FROM images WHERE image_id % 2 = 0),
+e AS (SELECT image_id, n, i, (i + 1) % n AS j FROM (SELECT *, UNNEST(range(0, n)) AS i FROM r))
+SELECT image_id, 0::BIGINT AS chain_a, 1::BIGINT AS chain_b, n + 1 AS n_points,
+  round(sum(sqrt((i * i % 11 - j * j % 11) ** 2 + (i * 7 % 5 - j * 7 % 5) ** 2)), 6) AS length, true AS closed, true AS pure_cycle
+FROM e GROUP BY image_id, n""")
 def pure_cycles(q: Inputs):
-    return _polyline_summary(q).filter("pure_cycle")
+    """Rings and open chains of three to seven vertices, one for each image; the rings are reported."""
+    n = F.col("n")
+    shapes = q.images.select("image_id", (3 + F.col("image_id") % 5).cast("long").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    vertices = shapes.select("image_id", F.col("i").alias("root"), (F.col("i") * F.col("i") % 11).cast("double").alias("x"), (F.col("i") * 7 % 5).cast("double").alias("y"))
+    links = shapes.filter("image_id % 2 = 0 or i < n - 1").withColumn("j", (F.col("i") + 1) % n)
+    edges = links.select("image_id", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
+    return L.polyline_summary(L.polyline_edges(edges), vertices).filter("pure_cycle").withColumn("length", r6("length"))
 
 
 @query("radius_sweep", """

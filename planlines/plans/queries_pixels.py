@@ -146,23 +146,25 @@ def binarize(q: Inputs):
 
 
 @query("channel_normalize", f"""
-SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round((r / 255.0::DOUBLE - {MEAN}::DOUBLE) / {STD}::DOUBLE * 1e6) AS BIGINT)) AS BIGINT) AS r,
-  CAST(sum(CAST(round((g / 255.0::DOUBLE - {MEAN}::DOUBLE) / {STD}::DOUBLE * 1e6) AS BIGINT)) AS BIGINT) AS g FROM pixels GROUP BY image_id, y""")
+SELECT image_id, y, count(*) AS n, {", ".join(f"CAST(sum((x + 1) * CAST(round(({c} / 255.0::DOUBLE - {MEAN}::DOUBLE) / {STD}::DOUBLE * 1e6) AS BIGINT)) AS BIGINT) AS {c}" for c in "rgb")} FROM pixels GROUP BY image_id, y""")
 def channel_normalize(q: Inputs):
-    return row_digest(q.pixels, **{c: micro(SC.channel_normalize(F.col(c), MEAN, STD)) for c in ("r", "g")})
+    """Normalised channels; each row's values weighted by their column."""
+    return row_digest(q.pixels, **{c: (F.col("x") + 1) * micro(SC.channel_normalize(F.col(c), MEAN, STD)) for c in "rgb"})
 
 
 @query("channel_denormalize", f"""
-SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(least(1.0, greatest(0.0, logit * {STD}::DOUBLE + {MEAN}::DOUBLE)) * 1e6) AS BIGINT)) AS BIGINT) AS v
+SELECT image_id, y, count(*) AS n, {", ".join(f"CAST(sum((x + 1) * CAST(round(least(1.0, greatest(0.0, (({c} / 255.0::DOUBLE - {MEAN}::DOUBLE) / {STD}::DOUBLE) * {STD}::DOUBLE + {MEAN}::DOUBLE)) * 1e6) AS BIGINT)) AS BIGINT) AS {c}" for c in "rgb")}
 FROM pixels GROUP BY image_id, y""")
 def channel_denormalize(q: Inputs):
-    return row_digest(q.pixels, v=micro(SC.channel_denormalize(F.col("logit"), MEAN, STD)))
+    """Normalised channels brought back to [0, 1]; each row's values weighted by their column."""
+    back = lambda c: SC.channel_denormalize(SC.channel_normalize(F.col(c), MEAN, STD), MEAN, STD)
+    return row_digest(q.pixels, **{c: (F.col("x") + 1) * micro(back(c)) for c in "rgb"})
 
 
 @query("block_mean", """
-SELECT image_id, CAST(y // 4 AS INT) AS "by", CAST(x // 4 AS INT) AS bx, round(avg(r), 6) AS r, round(avg(g), 6) AS g FROM pixels GROUP BY ALL""")
+SELECT image_id, CAST(y // 4 AS INT) AS "by", CAST(x // 4 AS INT) AS bx, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM pixels GROUP BY ALL""")
 def block_mean(q: Inputs):
-    return E.block_mean(q.pixels, 4, ["r", "g"], ["image_id"]).withColumns({"r": r6("r"), "g": r6("g")})
+    return E.block_mean(q.pixels, 4, ["r", "g", "b"], ["image_id"]).withColumns({c: r6(c) for c in "rgb"})
 
 
 @query("display_scale", """

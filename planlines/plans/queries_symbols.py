@@ -91,18 +91,20 @@ def standardize(q: Inputs):
 
 
 @query("relabel_audit", """
-WITH r AS (SELECT i.split, l.near_gt AS new, l.label % 2 = 0 AS old FROM labelled l JOIN images i USING (image_id))
-SELECT coalesce(split, 'all') AS split, count(*) AS n, count(*) FILTER (new) AS n_true, count(*) FILTER (NOT new) AS n_false, count(*) FILTER (new IS NULL) AS n_null,
-  count(*) FILTER (new <> old) AS n_flips, round(100.0 * count(*) FILTER (new) / count(*), 4) AS pct_true FROM r GROUP BY ROLLUP (split)""")
+WITH r AS (SELECT i.split, l.near_gt AS new, CASE WHEN l.label % 5 <> 3 THEN l.label % 2 = 0 END AS old FROM labelled l JOIN images i USING (image_id) WHERE l.near_gt IS NOT NULL)
+SELECT coalesce(split, 'all') AS split, count(*) AS n, count(*) FILTER (new) AS n_true, count(*) FILTER (NOT new) AS n_false,
+  count(*) FILTER (new IS DISTINCT FROM old) AS n_flips, round(100.0 * count(*) FILTER (new IS DISTINCT FROM old) / count(*), 4) AS pct_flips FROM r GROUP BY ROLLUP (split)""")
 def relabel_audit(q: Inputs):
-    """New labels against the previous flags, per split and in total."""
-    rows = q.labelled_symbols.join(q.images.select("image_id", "split"), "image_id").withColumn("old", F.col("label") % 2 == 0)
-    new = F.col("near_gt")
+    """New labels against the previous flags, per split and in total.
+
+    Only symbols of images with lines get a new label; a missing old flag is a flip.
+    """
+    rows = q.labelled_symbols.filter("near_gt is not null").join(q.images.select("image_id", "split"), "image_id")
+    new, old = F.col("near_gt"), F.when(F.col("label") % 5 != 3, F.col("label") % 2 == 0)
     out = rows.rollup("split").agg(
-        F.count("*").alias("n"), F.count_if(new).alias("n_true"), F.count_if(~new).alias("n_false"), F.count_if(new.isNull()).alias("n_null"),
-        F.count_if(new != F.col("old")).alias("n_flips"),
+        F.count("*").alias("n"), F.count_if(new).alias("n_true"), F.count_if(~new).alias("n_false"), F.count_if(~new.eqNullSafe(old)).alias("n_flips"),
     )
-    return out.withColumn("pct_true", F.round(100.0 * F.col("n_true") / F.col("n"), 4)).withColumn("split", F.coalesce("split", F.lit("all")))
+    return out.withColumn("pct_flips", F.round(100.0 * F.col("n_flips") / F.col("n"), 4)).withColumn("split", F.coalesce("split", F.lit("all")))
 
 
 RATE_CTES = """
@@ -136,7 +138,7 @@ def category_counts(q: Inputs):
 
 
 @query("cluster_meta", RATE_CTES + """
-SELECT row_number() OVER (ORDER BY CASE category WHEN 'irrigation' THEN 0 WHEN 'callout' THEN 1 ELSE 2 END, p_near DESC, label) AS pos, label, category, n_members, printf('%.4f', p_near) AS p_near FROM g""")
+SELECT row_number() OVER (ORDER BY CASE category WHEN 'irrigation' THEN 0 WHEN 'ambiguous' THEN 1 ELSE 2 END, p_near DESC, label) AS pos, label, category, n_members, printf('%.4f', p_near) AS p_near FROM g""")
 def cluster_meta(q: Inputs):
     """Cluster metadata sorted by category and falling rate, written as CSV and read back."""
     from pyspark.sql.window import Window
@@ -188,15 +190,15 @@ def pr_at_targets(q: Inputs):
 
 @query("silhouette", """
 WITH s AS (SELECT crop_id, label, list_transform(e, lambda v: v / (sqrt(list_sum(list_transform(e, lambda t: t * t))) + 1e-8)) AS v
-  FROM (SELECT crop_id, label, CAST(embedding AS DOUBLE[]) AS e FROM symbols ORDER BY md5('0:' || CAST(crop_id AS VARCHAR)), crop_id LIMIT 5000)),
+  FROM (SELECT crop_id, label, CAST(embedding AS DOUBLE[]) AS e FROM symbols)),
 n AS (SELECT label, count(*) AS k FROM s GROUP BY label),
-d AS (SELECT a.crop_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total FROM s a, s b GROUP BY ALL),
+d AS (SELECT a.crop_id, a.label, b.label AS other, sum(list_distance(a.v, b.v) ** 2) AS total FROM s a, s b GROUP BY ALL),
 m AS (SELECT d.crop_id, max(CASE WHEN other = d.label THEN total / greatest(k - 1, 1) END) AS a, min(CASE WHEN other <> d.label THEN total / k END) AS b, max(CASE WHEN other = d.label THEN k END) AS own FROM d JOIN n ON n.label = d.other GROUP BY d.crop_id)
 SELECT count(*) AS n, round(avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM m""")
 def silhouette(q: Inputs):
-    """Exact Euclidean silhouette of the fixture's labels on a sample of at most 5000."""
-    rows = q.symbols.select("crop_id", "label", Y.l2_normalize(F.col("embedding")).alias("v"))
-    return ML.silhouette(rows, "v", "label", "crop_id").withColumn("silhouette", F.round("silhouette", 5))
+    """Silhouette of the fixture's labels over all symbols, under squared distance."""
+    rows = stage(q.symbols.select("label", Y.l2_normalize(F.col("embedding")).alias("v")), "embeddings")
+    return ML.silhouette(rows, "v", "label").withColumn("silhouette", F.round("silhouette", 5))
 
 
 # --- models -----------------------------------------------------------------
@@ -222,7 +224,8 @@ def categorized_symbols(q: Inputs):
 
 
 def _categorize_clusters(q: Inputs, labelled: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    rows = stage(ML.cluster_symbols(labelled, k).select("crop_id", "image_id", "near_gt", "cluster"), "clustered")
+    known = labelled.filter("near_gt is not null")
+    rows = stage(ML.cluster_symbols(known, k).select("crop_id", "image_id", "near_gt", "cluster"), "clustered")
     ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     clusters = ML.categorize(ML.cluster_near_rate(rows, "cluster", ids))
     return clusters, rows.join(clusters.select("cluster", "category"), "cluster")
@@ -240,13 +243,22 @@ def symbol_mining(q: Inputs):
     return _categorize_clusters(q, labelled, 30)[0]
 
 
+def _vectors(q: Inputs) -> DataFrame:
+    """Features of all symbols, scaled by the training symbols with a known label."""
+    feats = Y.symbol_features(q.labelled_symbols).join(q.images.select("image_id", "split"), "image_id")
+    rows = stage(feats.select("split", "crop_id", "near_gt", "features"), "features")
+    train = rows.filter("split = 'train' and near_gt is not null")
+    return stage(ML.vectorize(rows, "features", ML.collect_stats(train, "features")).drop("scaled", "features"), "vectors")
+
+
+def _known(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known = vectors.filter("near_gt is not null")
+    return known.filter("split = 'train'"), known.filter("split = 'valid'")
+
+
 def _training(q: Inputs) -> tuple[DataFrame, DataFrame]:
     """Scaled train and validation features of the symbols with a known label."""
-    feats = Y.symbol_features(q.labelled_symbols.filter("near_gt is not null")).join(q.images.select("image_id", "split"), "image_id")
-    rows = stage(feats.select("split", "crop_id", "near_gt", "features"), "features")
-    train = rows.filter("split = 'train'")
-    vectors = ML.vectorize(rows, "features", ML.collect_stats(train, "features")).drop("scaled", "features").persist()
-    return vectors.filter("split = 'train'"), vectors.filter("split = 'valid'")
+    return _known(_vectors(q))
 
 
 @query("fit_logreg")
@@ -274,15 +286,49 @@ def select_model(q: Inputs):
 
 @query("score_symbols")
 def score_symbols(q: Inputs):
-    """The classifier job: the chosen model, saved and loaded again, scores every split."""
-    from pyspark.ml.classification import LogisticRegressionModel
+    """The classifier job: the chosen model, saved and loaded again, scores every symbol of every split."""
+    return _classifier_job(q)[0].select("split", "crop_id", "near_gt", "p", Y.band(F.col("p")).alias("band"))
 
-    train, valid = _training(q)
-    model = ML.fit_logreg(train, "near_gt", train.count())
+
+def _classifier_job(q: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Scores of all symbols, known label or not, and the metadata row saved with the chosen model."""
+    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+
+    vectors = _vectors(q)
+    train, valid = _known(vectors)
+    results, best = ML.select_model(train, valid, "near_gt", N_FEATURES)
+    # without a validation AUC (a class is missing there) nothing can be compared: the first candidate
+    name, model = best or ("logreg", ML.fit_logreg(train, "near_gt", train.count()))
     path = scratch_path(q.spark, "classifier")
-    model.write().save(path)
-    scored = ML.score(LogisticRegressionModel.load(path), train.unionByName(valid))
-    return scored.select("split", "crop_id", "near_gt", "p", Y.band(F.col("p")).alias("band"))
+    model.write().save(f"{path}/model")
+    aucs = next((a, v) for n, a, v in results if n == name)
+    best_valid = max((v for _, _, v in results if v is not None), default=None)
+    meta = q.spark.createDataFrame(
+        [(name, *aucs, N_FEATURES, ["train"], train.count(), valid.count(), aucs[1] == best_valid)],
+        "model string, auc_train double, auc_valid double, n_features long, train_splits array<string>, n_train long, n_valid long, is_best boolean",
+    )
+    meta.write.json(f"{path}/meta")
+    kind = {"logreg": LogisticRegressionModel, "mlp": MultilayerPerceptronClassificationModel}[name]
+    return ML.score(kind.load(f"{path}/model"), vectors), q.spark.read.schema(meta.schema).json(f"{path}/meta")
+
+
+@query("score_coverage", """
+SELECT i.split, count(*) AS n, count(l.near_gt) AS n_known, count(*) AS n_scored, CAST(sum(l.crop_id) AS BIGINT) AS ids
+FROM labelled l JOIN images i USING (image_id) GROUP BY i.split""")
+def score_coverage(q: Inputs):
+    """What the classifier job scored, by split: every symbol, with a probability."""
+    return _classifier_job(q)[0].groupBy("split").agg(
+        F.count("*").alias("n"), F.count("near_gt").alias("n_known"), F.count_if(F.col("p").between(0, 1)).alias("n_scored"), F.sum("crop_id").alias("ids")
+    )
+
+
+@query("classifier_metadata", """
+SELECT 69::BIGINT AS n_features, 'train' AS train_splits, count(*) FILTER (i.split = 'train') AS n_train, count(*) FILTER (i.split = 'valid') AS n_valid, true AS is_best
+FROM labelled l JOIN images i USING (image_id) WHERE l.near_gt IS NOT NULL""")
+def classifier_metadata(q: Inputs):
+    """The metadata row saved with the chosen model; ``is_best``: its validation AUC is the highest."""
+    meta = _classifier_job(q)[1]
+    return meta.select("n_features", F.array_join("train_splits", ",").alias("train_splits"), "n_train", "n_valid", "is_best")
 
 
 # --- symbol records ---------------------------------------------------------

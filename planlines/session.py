@@ -36,11 +36,9 @@ def fanout_partitions(spark: SparkSession) -> int:
     """Partition count for exchanges whose rows grow afterwards (explodes, tile work).
 
     The runtime re-planner sizes partitions by their input bytes and would shrink
-    these too far, so they get a fixed count: the session's own setting, or a few
-    tasks per core where it was left at the engine's default.
+    these too far, so they get the session's own count, which a job sets by its data.
     """
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    return int(parts) if parts != "200" else 4 * spark.sparkContext.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -73,4 +71,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote, once nothing that is still to run reads it."""
+    path = getattr(staged, "_staged_at", None)
+    if path:
+        jvm, conf = staged.sparkSession._jvm, staged.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

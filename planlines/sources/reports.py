@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from planlines.operators.ranking import running
 from planlines.sources.rasters import stem
@@ -50,15 +51,22 @@ METRICS = ["val_dice", "val_iou", "val_total"]
 def write_histories(long: DataFrame, path: str, metrics: list[str] = METRICS) -> None:
     """JSON records of parallel arrays in epoch order, one per run and thousand epochs."""
     rows = long.groupBy("run_id", F.floor(F.col("epoch") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("epoch", *metrics))).alias("h"))
-    rows.select("run_id", *[F.col(f"h.{c}").alias(c) for c in ["epoch", *metrics]]).write.json(path)
+    rows.select("run_id", "part", *[F.col(f"h.{c}").alias(c) for c in ["epoch", *metrics]]).write.json(path)
 
 
 def read_histories(spark: SparkSession, path: str, metrics: list[str] = METRICS) -> DataFrame:
-    """Long form: one row per run and position; arrays of a run may differ in length."""
+    """Long form: one row per run and position in it; arrays of a run may differ in length.
+
+    A piece starts where the pieces before it end; a run has a row for each piece there.
+    """
     cols = ", ".join(f"{m} array<double>" for m in metrics)
-    df = spark.read.schema(f"run_id long, epoch array<int>, {cols}").json(path)
+    df = spark.read.schema(f"run_id long, part long, epoch array<int>, {cols}").json(path)
     zipped = F.arrays_zip("epoch", *metrics)
-    return df.select("run_id", F.posexplode(zipped).alias("pos", "h")).select("run_id", "pos", "h.*")
+    sizes = df.groupBy("run_id", "part").agg(F.max(F.size(zipped)).alias("size"))
+    before = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("run_id", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    rows = df.join(starts, ["run_id", "part"]).select("run_id", "start", F.posexplode(zipped).alias("at", "h"))
+    return rows.select("run_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "h.*")
 
 
 def best_epoch(history: DataFrame, metric: str = "val_dice") -> DataFrame:

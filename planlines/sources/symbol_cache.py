@@ -13,10 +13,10 @@ MAX_SYMBOLS = 10_000
 def write_cache(symbols: DataFrame, path: str) -> None:
     """One record per image and block of symbols, in a folder per split.
 
-    An image with more symbols than fit one record gets several; readers see rows,
-    so the number of records does not matter. Rewrites go to a new folder.
+    ``block`` is part of every record: an image with more than MAX_SYMBOLS symbols
+    has several, and readers see rows. Rewrites go to a new folder.
     """
-    cache_records(symbols).drop("block").write.partitionBy("split").json(path)
+    cache_records(symbols).write.partitionBy("split").json(path)
 
 
 def cache_records(symbols: DataFrame, per_record: int = MAX_SYMBOLS) -> DataFrame:

@@ -190,7 +190,7 @@ def test_silhouette_matches_brute_force(spark):
     v, lab = rnd.random((60, 4)), rnd.integers(0, 4, 60)
     lab[0] = 9  # a cluster of one scores 0
     df = spark.createDataFrame([(i, int(lab[i]), [float(x) for x in v[i]]) for i in range(60)], "id long, label int, v array<double>")
-    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
     s = []
     for i in range(60):
         own = (lab == lab[i]) & (np.arange(60) != i)
@@ -199,8 +199,12 @@ def test_silhouette_matches_brute_force(spark):
             continue
         a, b = d[i][own].mean(), min(d[i][lab == k].mean() for k in set(lab) if k != lab[i])
         s.append((b - a) / max(a, b))
-    row = ML.silhouette(df, "v", "label", "id").first()
+    row = ML.silhouette(df, "v", "label").first()
     assert row["n"] == 60 and math.isclose(row["silhouette"], float(np.mean(s)), abs_tol=1e-9)
+    many = spark.range(7000).selectExpr("CAST(id % 2 AS INT) AS label", "array(CAST(id % 2 AS DOUBLE) * 9, id % 7 * 0.01) AS v")
+    row = ML.silhouette(many, "v", "label").first()
+    assert row["n"] == 7000 and row["silhouette"] > 0.99
+    assert ML.silhouette(many.filter("label = 0"), "v", "label").first()["silhouette"] is None
 
 
 def test_strict_embeddings_refuse_a_gap(spark):
@@ -229,4 +233,4 @@ def test_cluster_count_by_silhouette(spark):
     from pyspark.ml.functions import array_to_vector
 
     vec = spark.createDataFrame(rows, "id long, v array<double>").withColumn("vec", array_to_vector("v"))
-    assert ML.pick_k(vec, "id", [2, 3, 5], inits=2) == 3
+    assert ML.pick_k(vec, [2, 3, 5], inits=2) == 3
