@@ -22,7 +22,7 @@ TREES, DEPTH = 32, 8
 #: Chance, at the threshold, that a pair meets in some tree.
 RECALL = 0.999999
 #: Texts of one block; two blocks meet in a task.
-BLOCK = 128
+BLOCK = 256
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -262,7 +262,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _sorted(tiles: DataFrame) -> DataFrame:
-    return tiles.repartition("tile").sortWithinPartitions("tile")
+    """Whole tiles in a task each, smallest id first: the root of a star is then the same in every tile that has it."""
+    return tiles.repartition("tile").sortWithinPartitions("tile", "rep")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

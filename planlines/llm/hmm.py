@@ -296,6 +296,7 @@ def _round(encoded: DataFrame, model: Model) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["at", "v"])
 
     sums = encoded.select("symbols").mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    send.destroy()
     out = np.zeros(COUNTS + 2)
     out[sums["at"].to_numpy()] = sums["v"].to_numpy() / _SCALE
     return out[:COUNTS], out[COUNTS] / max(out[COUNTS + 1], 1.0)
