@@ -144,7 +144,7 @@ def _encode(send):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(*send.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 3 << 20):
                 codes.reset()
                 texts = [t.as_py().lower().split() for t in batch.column("text")]
                 x = [np.fromiter(map(codes.__getitem__, [*w, b" "]), np.int64, len(w) + 1) for w in texts]
@@ -214,8 +214,8 @@ def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, float,
     pieces.sort(key=lambda p: -len(p[0]))
     total, tokens = 0.0, 0
     table = np.ascontiguousarray(model.emit.T)
-    for at in range(0, len(pieces), 4096):
-        part = pieces[at : at + 4096]
+    for at in range(0, len(pieces), 2048):
+        part = pieces[at : at + 2048]
         size = np.array([len(p) for p, _ in part])
         x = np.zeros((size[0], len(part)), np.int64)
         for i, (p, _) in enumerate(part):
