@@ -23,8 +23,8 @@ SYMBOLS = SINGLE + CLASSES
 FREQUENT = 1 << 18
 #: Tokens of a training segment.
 SEGMENT = 128
-#: Documents of the start values; training ends when a round gains less (nats a token), or after so many.
-START_DOCS, START_ROUNDS, GAIN, ROUNDS = 400, 20, 0.005, 8
+#: Documents of the start values, and the most tokens of one; training ends when a round gains less (nats a token), or after so many.
+START_DOCS, START_TOKENS, START_ROUNDS, GAIN, ROUNDS = 400, 4000, 20, 0.005, 8
 #: Added to expected emissions and transitions.
 SMOOTH = 0.05
 END = -1  # hash of the end token, as a signed number
@@ -305,15 +305,15 @@ def _round(encoded: DataFrame, model: Model) -> tuple[np.ndarray, float]:
 def train(encoded: DataFrame) -> Model:
     """Baum-Welch over all training texts.
 
-    Start values come from START_DOCS texts on the driver; from there every round
+    Start values come from about START_DOCS texts of at most START_TOKENS tokens on the driver; from there every round
     uses all texts, until one gains less than GAIN nats a token (ROUNDS at most).
     """
     training = encoded.filter(~F.col("held_out"))
     n = training.count()
     spot = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 30)) / float(1 << 30)
-    some = training.filter(spot < START_DOCS / max(n, 1)).select("doc_id", F.substring("symbols", 1, 4000).alias("symbols"))
-    rows = sorted(some.limit(2 * START_DOCS).collect())
-    texts = [np.frombuffer(bytes(r["symbols"]), np.int16) for r in rows]
+    some = training.filter((spot < START_DOCS / max(n, 1)) & (F.length("symbols") <= 2 * START_TOKENS)).select("symbols")
+    rows = sorted(bytes(r["symbols"]) for r in some.limit(2 * START_DOCS).collect())
+    texts = [np.frombuffer(r, np.int16) for r in rows]
     seen = np.bincount(np.concatenate([*texts, np.empty(0, np.int16)]).astype(np.int64), minlength=SYMBOLS)
     model = Model.guess(seen)
     for _ in range(START_ROUNDS if texts else 0):
