@@ -35,19 +35,18 @@ def source_targets(
     order = [F.col("source").isNull(), F.col("source")]
     turn = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     ranked = stage(row_numbers(totals, [], order).withColumn("weight", turn), "ranked")
-    want, level, stopped = None, 0.0, -1
+    level, stopped = None, 0
     while True:
-        full = F.col("weight") * level > most * F.col("source_size")
+        full = F.col("weight") * (level or 0.0) > most * F.col("source_size")
         row = ranked.agg(
             F.sum("source_size").alias("all"), F.count_if(full).alias("n"),
             F.sum(F.when(full, most * F.col("source_size")).otherwise(0.0)).alias("given"),
             F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open"),
         ).first()
-        want = share * (row["all"] or 0)
-        if row["n"] == stopped or not row["open"]:
+        if not row["open"] or (level is not None and row["n"] == stopped):
             break
-        stopped, level = row["n"] if level else -1, (want - row["given"]) / row["open"]
-    target = F.least(F.col("weight") * level, most * F.col("source_size"))
+        stopped, level = row["n"], (share * row["all"] - row["given"]) / row["open"]
+    target = F.least(F.col("weight") * (level or 0.0), most * F.col("source_size"))
     return ranked.select("source", "n_docs", "source_size", target.cast("double").alias("target"))
 
 
