@@ -58,6 +58,20 @@ def categorize(rates: DataFrame, high: float = 0.7, low: float = 0.2) -> DataFra
     return rates.withColumn("category", cluster_category(F.col("p_near"), high, low))
 
 
+def write_cluster_artifact(model, clusters: DataFrame, path: str, high: float = 0.7, low: float = 0.2) -> None:
+    """JSON records of a k-means model: centroid, rate, category and thresholds of each cluster."""
+    centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]  # k rows
+    table = clusters.sparkSession.createDataFrame(centres, "cluster int, centroid array<double>")
+    kept = clusters.select("cluster", "n_members", "p_near", "category")
+    table.join(kept, "cluster").select("*", F.lit(len(centres)).alias("k"), F.lit(high).alias("high"), F.lit(low).alias("low")).write.json(path)
+
+
+def read_cluster_artifact(spark, path: str) -> DataFrame:
+    return spark.read.schema(
+        "cluster int, centroid array<double>, n_members long, p_near double, category string, k int, high double, low double"
+    ).json(path)
+
+
 def category_order(category):
     return F.when(category == "irrigation", 0).when(category == "ambiguous", 1).otherwise(2)
 

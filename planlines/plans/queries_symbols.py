@@ -231,6 +231,40 @@ def _categorize_clusters(q: Inputs, labelled: DataFrame, k: int) -> tuple[DataFr
     return clusters, rows.join(clusters.select("cluster", "category"), "cluster")
 
 
+@query("cluster_artifact", "SELECT count(*) AS n_symbols, 64::BIGINT AS dim, 0::BIGINT AS n_bad FROM labelled WHERE near_gt IS NOT NULL")
+def cluster_artifact(q: Inputs):
+    """The mining job's artifact, with K chosen by silhouette, written and read back.
+
+    ``n_bad`` counts clusters that are missing, have no whole centroid, or whose
+    category does not follow from their rate and the thresholds in the record.
+    """
+    vectors = ML.embedding_vectors(q.labelled_symbols.filter("near_gt is not null").select("crop_id", "near_gt", "embedding"))
+    k = ML.pick_k(vectors, inits=1)
+    model = ML.fit_kmeans(vectors, k, inits=1)
+    ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
+    path = scratch_path(q.spark, "artifact")
+    ML.write_cluster_artifact(model, ML.categorize(ML.cluster_near_rate(model.transform(vectors), "cluster", ids)), path)
+    read = ML.read_cluster_artifact(q.spark, path)
+    right = F.when(F.col("p_near") > F.col("high"), "irrigation").when(F.col("p_near") < F.col("low"), "callout").otherwise("ambiguous")
+    good = (F.size("centroid") == 64) & (F.col("category") == right)
+    return read.agg(
+        F.sum("n_members").alias("n_symbols"), F.max(F.size("centroid")).cast("long").alias("dim"),
+        (F.max("k") - F.count_if(good)).cast("long").alias("n_bad"),
+    )
+
+
+@query("relabelled_cache", "SELECT i.split, l.crop_id, l.near_gt FROM labelled l JOIN images i USING (image_id)")
+def relabelled_cache(q: Inputs):
+    """A cache with old flags, read, labelled anew against the lines, and written as a new version."""
+    old, new = scratch_path(q.spark, "cache"), scratch_path(q.spark, "cache")
+    C.write_cache(_cache_rows(q).withColumn("near_gt", F.col("id").cast("long") % 2 == 0), old)
+    names = q.images.select("split", F.col("file_name").alias("image"), "image_id")
+    rows = C.read_cache(q.spark, old).filter("id is not null").drop("near_gt").join(names, ["split", "image"])
+    fresh = Y.near_line(rows, q.images, q.runs, "id")
+    C.write_cache(fresh.select("split", "image", "id", *BOX, "conf", "embedding", "near_gt"), new)
+    return C.read_cache(q.spark, new).select("split", F.col("id").cast("long").alias("crop_id"), "near_gt")
+
+
 @query("symbol_mining")
 def symbol_mining(q: Inputs):
     """Detections to categorised clusters: suppression, embeddings, line labels, k-means, categories."""
