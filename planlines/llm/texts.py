@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task turns into arrays at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 #: Distinct words whose hash a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class WordHashes(dict):
