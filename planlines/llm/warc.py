@@ -69,7 +69,8 @@ def train_dictionary(pages: DataFrame, n: int) -> bytes:
     """
     some = pages.select("page_id", "url", utf8("html").alias("html")).filter(F.length("html") <= SAMPLE_BYTES)
     spot = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
-    rows = some.filter(spot * n < F.lit(SAMPLE_RECORDS << 40).cast("decimal(38,0)")).limit(2 * SAMPLE_RECORDS).collect()
+    limit = int(min(1.0, SAMPLE_RECORDS / max(n, 1)) * (1 << 40))
+    rows = some.filter(spot < F.lit(limit)).limit(2 * SAMPLE_RECORDS).collect()
     records = [_record(r.page_id, r.url, bytes(r.html), len(r.html), _digest(bytes(r.html)), None) for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, records).as_bytes() if len(records) >= 8 else _record(0, "", b"", 0, "", None)

@@ -123,6 +123,14 @@ def test_warc(spark):
     assert {r["record_type"] for r in warc.archived(odd, min_payload=10**6).collect()} == {"response"}
 
 
+def test_warc_dictionary_of_many_pages(spark):
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(concat('page ', id, ' '), 40) AS html")
+    few = warc.train_dictionary(pages, 300)
+    assert len(few) > 1000
+    for n in ((1 << 23) + 1, 1 << 33):
+        assert warc.train_dictionary(pages, n)  # the rows stand for n, of which about 400 are drawn
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
