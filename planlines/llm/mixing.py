@@ -52,12 +52,13 @@ def source_targets(
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, chunk: int = CHUNK,
-    seed: int = 7,
+    seed: int = 7, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many copies of each document the mix takes.
 
     Returns ``doc_id, source, size, source_size, target, copies`` for every row of
-    ``docs (doc_id, text, source)``; other columns are ignored. A document enters
+    ``docs (doc_id, text, source)``; other columns are ignored, but for those named in
+    ``carry``, which come back with their rows and order rows that tie. A document enters
     ``target / source_size`` times on average: the whole part always, the fraction
     by balanced sampling. The flight moves the undecided rows along the null space
     of the two constraints of their source, the number of documents and the number
@@ -71,14 +72,14 @@ def mix(
     sources are one source. Rows with equal ids are sampled separately. The choice
     depends on ids, sizes and ``seed`` alone, not on the layout of the input.
     """
-    sizes = stage(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")
+    sizes = stage(docs.select("doc_id", "source", n_words("text").alias("size"), *carry), "sizes")
     targets = source_targets(sizes, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + NEAR)
     rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
         "d.*", "source_size", "target", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("p"),
     )
-    kept = ["doc_id", "source", "size", "source_size", "target"]
+    kept = ["doc_id", "source", "size", "source_size", "target", *carry]
     settled = [rows.filter(F.col("p") <= NEAR).select(*kept, F.col("whole").alias("copies"))]
     left = rows.filter(F.col("p") > NEAR)
     while True:
@@ -89,7 +90,7 @@ def mix(
             "l.*", F.pmod(F.col("spot"), F.col("chunks")).alias("part")
         )
         sorted_rows = dealt.repartition("source", "part").sortWithinPartitions(
-            "source", "part", F.col("size").desc(), "spot", "doc_id", "p"
+            "source", "part", F.col("size").desc(), "spot", "doc_id", "p", *carry
         )
         flown = stage(sorted_rows.mapInArrow(_fly(seed, last), rows.drop("p").withColumn("p", F.lit(0.0)).schema), "flight")
         done = F.col("p").isin(0.0, 1.0)
@@ -176,7 +177,17 @@ def _fly(seed: int, last: bool):
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """Rows of ``docs`` that the mix takes, with all their columns and ``copies``.
 
-    Ids must be unique; ``copies`` replaces a column of that name.
+    Each row is judged and kept by itself, whether its id is null or repeated: the
+    rows are written out with a key of their own, and the mix is joined back on it.
+    Rows with equal ids and sizes are told apart by their text. ``copies`` replaces a
+    column of that name.
     """
-    taken = mix(docs, **how).filter("copies > 0").select("doc_id", "copies")
-    return docs.drop("copies").join(taken, "doc_id")
+    docs = docs.drop("copies")
+    taken_names, end = {c.lower() for c in docs.columns}, ""
+    while {f"mix_row{end}", f"mix_text{end}"} & taken_names:
+        end += "_"
+    row, text = f"mix_row{end}", f"mix_text{end}"
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    marked = keyed.select("doc_id", "text", "source", F.xxhash64("text").alias(text), row)
+    taken = mix(marked, carry=(text, row), **how).filter("copies > 0").select(row, "copies")
+    return keyed.join(taken, row).drop(row)

@@ -1,7 +1,10 @@
 """Every operator on the awkward and on the empty table: defined rows, no crash."""
 
+from collections import Counter
+
 import pytest
 from helpers import awkward, nothing, words_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from planlines.llm import anchors, chat, forest, hmm, host_rules, latent, mixing, site_quality, toxicity, warc
@@ -108,6 +111,19 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs.filter("doc_id in (1, 2)")).count() == 2
 
 
+def test_mixture_keeps_rows(spark, docs, empty):
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    chosen = [r for r in mixing.mix(docs).collect() if r["copies"] > 0]
+    count = lambda rows: Counter((r["doc_id"], r["source"], r["copies"]) for r in rows)
+    assert count(got) == count(chosen) and {r["doc_id"] for r in got} >= {None, 10}
+    had = Counter(tuple(r) for r in docs.drop("copies").collect())
+    assert not Counter(tuple(r)[:-1] for r in got) - had and all(r["copies"] <= 2 for r in got)
+    named = docs.withColumn("MIX_row", F.lit(3))
+    left = mixing.mixed_documents(named)
+    assert left.columns == [c for c in named.columns if c != "copies"] + ["copies"] and left.filter("MIX_row = 3").count() == len(got)
+    assert mixing.mixed_documents(empty).count() == 0
+
+
 def test_warc(spark):
     odd = spark.createDataFrame(
         [(3, "u", "x", 1), (1, None, "x", 1), (2, "u\r\nz", None, 1), (5, "", "", 1), (None, "q", "x", 1), (7, "w", "é" * 200000, 1), (9, "w", "a\r\n\r\nb", 1)],
