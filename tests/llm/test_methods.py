@@ -127,6 +127,19 @@ def test_leaks_and_paraphrases(spark):
     assert len(want & got) >= 0.9 * len(want) and len(want) > 50 and not got - want
 
 
+def test_long_items_and_all_benchmark_passages(spark):
+    rng = random.Random(13)
+    item = {i: prose(rng, n).split() for i, n in enumerate((30, 60, 300, 700, 1500))}
+    rows = [(d, prose(rng, rng.randrange(30, 2500))) for d in range(60)]
+    for i, words in item.items():
+        rows.append((100 + i, " ".join([*prose(rng, 101).split(), *words, *prose(rng, 90).split()])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in item.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.find(frame(spark, rows), bench).collect()}
+    assert got == {(100 + i, i) for i in item}
+    many = spark.range(2 * latent.SAMPLE_PASSAGES + 100).selectExpr("id AS doc_id", "'a b' AS text")
+    assert latent.sample_passages(many, 0).count() == 2 * latent.SAMPLE_PASSAGES + 100
+
+
 def test_latent_space_is_that_of_an_exact_svd(spark):
     rng = np.random.default_rng(0)
     groups = [rng.choice(latent.SLOTS, 30, replace=False) for _ in range(4)]
