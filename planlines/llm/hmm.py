@@ -88,6 +88,9 @@ class Vocabulary:
         rows = counts.filter(level >= least).select("h", "c").toArrow() if least is not None else None
         h = rows["h"].to_numpy() if rows else np.empty(0, np.int64)
         c = rows["c"].to_numpy() if rows else np.empty(0, np.int64)
+        end = counts.filter(F.col("h") == END).select("c").first()
+        if end and END not in h:  # it never meets its count in the join
+            h, c = np.append(h, END), np.append(c, end["c"])
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
         words = np.flatnonzero(self.h != END)

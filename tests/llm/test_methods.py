@@ -343,6 +343,18 @@ def test_prefix_length_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** forest.TREES
 
 
+# language model without frequent words
+
+
+def test_end_is_known_without_frequent_words(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = frame(spark, [(d, prose(rng, 20)) for d in range(30)])
+    read = lambda: {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in hmm.score(docs).collect()}
+    want = read()
+    monkeypatch.setattr(hmm, "FREQUENT", 0)
+    assert read() == want
+
+
 # mixing
 
 
