@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.llm import anchors, chat, forest, hmm, host_rules, latent, mixing, site_quality, toxicity, warc
+from planlines.llm import anchors, chat, forest, hmm, host_rules, latent, merkle, mixing, nra, site_quality, token_counts, toxicity, warc
 from planlines.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the driver entry)
 from planlines.llm.texts import read
 
@@ -151,3 +151,112 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t
+  FROM documents
+), s AS (
+  SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t
+  FROM benchmark
+), iq AS (
+  SELECT q, term, count(*) AS times FROM (SELECT q, unnest(t) AS term FROM i) GROUP BY q, term
+), p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM iq) GROUP BY r, term
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), m AS (
+  SELECT r, doc_id, 100 - 25 + ((25 * CAST(len(t) AS BIGINT) * n) // l) AS m FROM d, s WHERE len(t) > 0
+), x AS (
+  SELECT q, m.r, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM iq JOIN p USING (term) JOIN f USING (term) JOIN m ON m.r = p.r GROUP BY q, m.r
+), o AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN i USING (q) WHERE rank <= 20
+"""
+
+
+@query("op11_nra_search", SEARCH_SQL)
+def nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS scope,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, replace(text, chr(10), '') AS cut
+  FROM documents
+), g AS (
+  SELECT doc_id, scope, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS altered
+  FROM f
+), crc(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) AS x(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8
+), t AS (
+  SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY scope ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 2 = 0 AS even
+  FROM g, t
+), up(scope, level, i, h, n) AS (
+  SELECT scope, 0, rank, leaf, count(*) OVER (PARTITION BY scope) FROM l
+  UNION ALL
+  SELECT scope, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY scope, level, i // 3
+), sub AS (
+  SELECT scope, level AS height, h AS subroot, row_number() OVER (ORDER BY scope) - 1 AS s FROM up WHERE n = 1
+), top(level, i, h, n) AS (
+  SELECT 0, s, subroot, count(*) OVER () FROM sub
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY level, i // 3
+), nodes AS (
+  SELECT scope, level, i, h FROM up WHERE n > 1 UNION ALL SELECT NULL, level, i, h FROM top WHERE n > 1
+), fam AS (
+  SELECT scope, level, i // 3 AS p, max(h) FILTER (i % 3 = 0) AS a, max(h) FILTER (i % 3 = 1) AS b, max(h) FILTER (i % 3 = 2) AS c
+  FROM nodes GROUP BY scope, level, i // 3
+), root AS (
+  SELECT h AS root FROM top WHERE n = 1
+), walk(doc_id, leaf, scope, home, level, i, cur, proof, height, s) AS (
+  SELECT doc_id, leaf, scope, scope, 0, rank, CASE WHEN even THEN altered ELSE leaf END, '', height, s FROM l JOIN sub USING (scope)
+  UNION ALL
+  SELECT doc_id, leaf, CASE WHEN w.scope IS NULL OR height = w.level THEN NULL ELSE w.scope END, home,
+         CASE WHEN w.scope IS NOT NULL AND height = w.level THEN 0 ELSE w.level + 1 END,
+         CASE WHEN w.scope IS NOT NULL AND height = w.level THEN s ELSE w.i // 3 END,
+         CASE WHEN w.scope IS NOT NULL AND height = w.level THEN cur
+              WHEN w.i % 3 = 0 THEN sha256(cur || coalesce(b, '') || coalesce(c, ''))
+              WHEN w.i % 3 = 1 THEN sha256(a || cur || coalesce(c, '')) ELSE sha256(a || b || cur) END,
+         CASE WHEN w.scope IS NOT NULL AND height = w.level THEN proof
+              ELSE proof || CASE WHEN w.i % 3 = 0 THEN coalesce(b, '') || coalesce(c, '')
+                                 WHEN w.i % 3 = 1 THEN a || coalesce(c, '') ELSE a || b END END,
+         height, s
+  FROM walk w LEFT JOIN fam ON fam.scope IS NOT DISTINCT FROM w.scope AND fam.level = w.level AND fam.p = w.i // 3
+  WHERE (w.scope IS NOT NULL AND height = w.level) OR fam.p IS NOT NULL
+), ended AS (
+  SELECT * FROM walk w WHERE scope IS NULL AND level = (SELECT max(level) FROM top)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM ended JOIN sub ON sub.scope = ended.home, root
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.verify(merkle.manifest(docs))
+
+
+@query("op13_token_counts")
+def token_counts_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.budget(token_counts.count(docs, public_tokenizers.path("byte_bpe_50k.json")))
