@@ -9,6 +9,11 @@ whole text up to ``MARGIN`` characters before its end, since no decision looks f
 ahead than a special string or a contraction. Chunk 0 starts with the text, so by
 induction a common cut in every overlap makes the count exact.
 
+For the same reason the tokens of a text are those of its words, each with the blanks
+before it: a blank after a character that is none is always a cut, and so is a mark
+after a letter or digit. Texts that are not
+chunked are counted that way, and the tokenizer sees each word of a task once.
+
 Where an overlap holds no common cut (a run of letters or blanks longer than it), chunks
 and overlaps of that text are doubled, until there is one or the text is one chunk.
 """
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.texts import slices
-from planlines.session import fanout_partitions, stage
+from planlines.llm.texts import slices, task
+from planlines.session import fanout_partitions, release, stage
 
 #: Characters of a chunk, and those it shares with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -34,6 +40,16 @@ LOOK_AHEAD = 8
 #: Bytes of text that are encoded at a time.
 ENCODE_BYTES = 1 << 19
 LIMIT = 1024
+#: Words whose tokens a task remembers, about 100 MB.
+KNOWN_WORDS = 600_000
+
+_BLANKS = " \t\n\r"
+#: Pieces that no token crosses: marks after letters or digits are cut off where blanks or the end follow.
+_WORDS = re.compile(
+    r"[ \t\n\r]*[^\W_]+(?=[ \t\n\r.,;:!?]|\Z)|(?<=[^\W_])[.,;:!?]+(?=[ \t\n\r]|\Z)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"
+)
+#: Blanks of a scan that _WORDS does not cut at, and characters that only some rules call blank.
+_OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def margin(definition: dict) -> int:
@@ -56,9 +72,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Tokens of each word met so far; forgotten when there are too many.
+        self.known: dict[str, int] = {}
+        special = (t["content"] for t in json.loads(definition).get("added_tokens") or [])
+        self.word_by_word = not any(_WORDS.fullmatch(t) is None or t[0] in _BLANKS or _OTHER_BLANKS.search(t) for t in special)
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Tokens of each text. Texts with other blanks than the common ones are encoded in one piece."""
+        whole = [not self.word_by_word or _OTHER_BLANKS.search(t) is not None for t in texts]
+        parts = [[] if w else _WORDS.findall(t) for w, t in zip(whole, texts)]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = {w for words in parts for w in words}.difference(self.known)
+        # words that start with a blank and end with none stay words when they stand in a row
+        row = [w for w in new if w[0] in _BLANKS and w[-1] not in _BLANKS] if self.word_by_word else []
+        alone = list(new.difference(row))
+        self.known.update(zip(alone, map(len, self.tokenizer.encode_batch(alone, add_special_tokens=False))))
+        if row:
+            starts = np.fromiter((o[0] for o in self.tokenizer.encode("".join(row), add_special_tokens=False).offsets), np.int64)
+            ends = np.searchsorted(starts, np.cumsum([len(w) for w in row]))
+            self.known.update(zip(row, np.diff(ends, prepend=0).tolist()))
+        rest = iter(self.tokenizer.encode_batch([t for w, t in zip(whole, texts) if w], add_special_tokens=False))
+        return [len(next(rest)) if w else sum(map(self.known.__getitem__, words)) for w, words in zip(whole, parts)]
 
     def cuts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Characters before each cut, tokens before it, and all tokens; the start is a cut."""
@@ -83,7 +118,7 @@ def _whole(rows: DataFrame, definition) -> DataFrame:
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(task(run), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def _pieces(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -100,7 +135,7 @@ def _pieces(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
                         {"key": pa.array([key.as_py()], pa.int64()), "piece": pa.array([i], pa.int32()), "last": [i == n - 1], "text": [text[i * chunk : end]]}
                     )
 
-    cut = rows.select("key", "text").mapInArrow(run, "key long, piece int, last boolean, text string")
+    cut = rows.select("key", "text").mapInArrow(task(run), "key long, piece int, last boolean, text string")
     return cut.repartition(fanout_partitions(rows.sparkSession), "key", "piece")
 
 
@@ -125,7 +160,7 @@ def _encoded(pieces: DataFrame, definition, chunk: int, overlap: int, unsure: in
                 )
 
     arrays = ", ".join(f"{c} array<long>" for c in ("left_at", "left_n", "right_at", "right_n"))
-    return pieces.mapInArrow(run, f"key long, piece int, last boolean, n long, {arrays}")
+    return pieces.mapInArrow(task(run), f"key long, piece int, last boolean, n long, {arrays}")
 
 
 def spliced(pieces: DataFrame) -> DataFrame:
@@ -170,7 +205,9 @@ def count(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP
     done, todo = None, long
     while True:
         # with no long text left this still runs once over no rows, and ends
-        tried = stage(spliced(_encoded(_pieces(todo, chunk, overlap), definition, chunk, overlap, unsure)), "spliced")
+        pieces = stage(_encoded(_pieces(todo, chunk, overlap), definition, chunk, overlap, unsure), "pieces")
+        tried = stage(spliced(pieces), "spliced")
+        release(pieces)
         fine = tried.filter("missing = 0").select("key", "n_tokens")
         done = fine if done is None else done.unionByName(fine)
         if not tried.filter("missing > 0").limit(1).count():
