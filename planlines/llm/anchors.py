@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlines.llm.prefilter import having, split
-from planlines.llm.texts import WordHashes, by_group, hashes, rolling, slices, starts_of, utf8
+from planlines.llm.texts import WordHashes, by_group, hashes, rolling, slices, starts_of, task, utf8
 from planlines.session import stage
 
 WINDOW = 50
@@ -39,7 +39,7 @@ def word_digests(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "sha"]
             )
 
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, "doc_id long, n_words long, sha string")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(task(run), "doc_id long, n_words long, sha string")
 
 
 def _flat(batch: pa.RecordBatch, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -212,19 +212,19 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = stage(digests.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))).drop("first_id"), "rows")
     words = rows.agg(F.sum("n_words")).first()[0] or 0
     buckets = 1 + int(words // BUCKET_WORDS)
-    probes = docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_probes(buckets), PROBE)
-    found = stage(probes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches, "doc_id long, low binary"), "matches")
+    probes = docs.select("doc_id", utf8("text").alias("text")).mapInArrow(task(_probes(buckets)), PROBE)
+    found = stage(probes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(task(_matches), "doc_id long, low binary"), "matches")
     units = rows.filter(~F.col("copy")).select("doc_id").distinct()
     lows = found.join(units, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("low").alias("lows"))
     lows = stage(lows, "lows")
     candidates = having(docs.select("doc_id", utf8("text").alias("text")), lows)
     texts = stage(candidates.join(lows, "doc_id"), "texts")
-    windows = texts.mapInArrow(_windows, "h long, doc_id long")
+    windows = texts.mapInArrow(task(_windows), "h long, doc_id long")
     first = windows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     first = stage(first.filter("first_id < last_id").select("h", "first_id"), "windows")
     repeats = windows.join(first, "h").filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_list("h").alias("repeats"))
     cut = texts.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(
-        _cut, "doc_id long, sha string, n_removed long, kept_sha256 string, kept binary"
+        task(_cut), "doc_id long, sha string, n_removed long, kept_sha256 string, kept binary"
     ).filter("n_removed > 0").dropDuplicates(["doc_id", "sha"])
     cut = stage(cut, "cut")
     judged = rows.join(cut, ["doc_id", "sha"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlines.llm.prefilter import having, split, without
-from planlines.llm.texts import WordHashes, by_group, hashes, mixed, rolling, starts_of, utf8
+from planlines.llm.texts import WordHashes, by_group, hashes, mixed, rolling, starts_of, task, utf8
 from planlines.operators.graph import connected_components
 from planlines.session import stage
 
@@ -223,7 +223,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id is not null").select("doc_id", utf8("text").alias("text"))
     depth = prefix_length()
     labels = TREES * depth
-    signed = stage(docs.mapInArrow(_sign(labels), "doc_id long, set binary, n int, sign binary"), "signed")
+    signed = stage(docs.mapInArrow(task(_sign(labels)), "doc_id long, set binary, n int, sign binary"), "signed")
     single = signed.groupBy("doc_id").agg(F.min(F.struct("set", "n")).alias("s")).select("doc_id", "s.*")
     single = stage(single, "documents")
     classes = stage(
@@ -239,7 +239,7 @@ def join(docs: DataFrame) -> DataFrame:
     crowd = stage(entries.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"), "nodes")
     members = _tiles(entries, ["node"], crowd).join(signs, "rep")
     agree = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / labels) ** 0.5
-    likely = _sorted(members).mapInArrow(_likely(int(np.floor(agree * labels))), "u long, v long").distinct()
+    likely = _sorted(members).mapInArrow(task(_likely(int(np.floor(agree * labels)))), "u long, v long").distinct()
     likely = stage(likely, "likely")
     ends = likely.select(F.col("u").alias("n")).unionByName(likely.select(F.col("v").alias("n"))).distinct()
     groups = stage(connected_components(ends, likely, []), "groups").select(F.col("n").alias("rep"), F.col("component").alias("root"))
@@ -247,7 +247,7 @@ def join(docs: DataFrame) -> DataFrame:
     asked = having(docs, groups.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     texts = stage(groups.join(classes.select("rep", "copies"), "rep").join(asked, "rep").dropDuplicates(["rep"]), "texts")
     tiles = _tiles(texts, ["root"], sizes)
-    verified = stage(_sorted(tiles).mapInArrow(_verify, "u long, v long, links long"), "verified")
+    verified = stage(_sorted(tiles).mapInArrow(task(_verify), "u long, v long, links long"), "verified")
     links = verified.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     stars = verified.filter("u <> v").select("u", "v").distinct()
     ends = stars.select(F.col("u").alias("n")).unionByName(stars.select(F.col("v").alias("n"))).distinct()

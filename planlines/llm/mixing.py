@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.texts import n_words
+from planlines.llm.texts import n_words, task
 from planlines.operators.ranking import row_numbers
 from planlines.session import stage
 
@@ -92,7 +92,7 @@ def mix(
         sorted_rows = dealt.repartition("source", "part").sortWithinPartitions(
             "source", "part", F.col("size").desc(), "spot", "doc_id", "p", *carry
         )
-        flown = stage(sorted_rows.mapInArrow(_fly(seed, last), rows.drop("p").withColumn("p", F.lit(0.0)).schema), "flight")
+        flown = stage(sorted_rows.mapInArrow(task(_fly(seed, last)), rows.drop("p").withColumn("p", F.lit(0.0)).schema), "flight")
         done = F.col("p").isin(0.0, 1.0)
         settled.append(flown.filter(done).select(*kept, (F.col("whole") + F.col("p")).cast("long").alias("copies")))
         if last:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.texts import slices, utf8
+from planlines.llm.texts import slices, task, utf8
 from planlines.operators.ranking import running, top_n
 from planlines.session import stage
 
@@ -80,7 +80,7 @@ def postings(docs: DataFrame, vocabulary) -> DataFrame:
                 )
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return known.mapInArrow(run, "doc_id long, n long, ids binary, tfs binary")
+    return known.mapInArrow(task(run), "doc_id long, n long, ids binary, tfs binary")
 
 
 def frequencies(index: DataFrame, size: int) -> tuple[int, int, np.ndarray]:
@@ -96,7 +96,7 @@ def frequencies(index: DataFrame, size: int) -> tuple[int, int, np.ndarray]:
 
     total = index.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("l")).first()
     df = np.zeros(size, np.int64)
-    for r in index.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toLocalIterator():
+    for r in index.select("ids").mapInArrow(task(run), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toLocalIterator():
         df[r["id"]] = r["df"]
     return total["n"], total["l"], df
 
@@ -206,7 +206,7 @@ def shard_best(index: DataFrame, queries, w, all_docs: int, all_terms: int, k: i
             ["item", "doc_id", "score"],
         )
 
-    return index.mapInArrow(run, "item long, doc_id long, score long")
+    return index.mapInArrow(task(run), "item long, doc_id long, score long")
 
 
 def item_blocks(items: DataFrame, most: int = BLOCK_TERMS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlines.llm.prefilter import without
-from planlines.llm.texts import WordHashes, fold, hashes, rolling, slices, utf8
+from planlines.llm.texts import WordHashes, fold, hashes, rolling, slices, task, utf8
 from planlines.session import stage
 
 #: Most labelled documents that the document classifier is fitted on.
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     is kept. Repeated rows count each and get equal scores.
     """
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), utf8("text").alias("text"))
-    measured = stage(rows.mapInArrow(_features, "doc_id long, host string, path string, x array<double>"), "measures")
+    measured = stage(rows.mapInArrow(task(_features), "doc_id long, host string, path string, x array<double>"), "measures")
     usable = labels.filter("quality is not null").filter(fold("doc_id", FOLDS) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = usable.count()
     spot = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
