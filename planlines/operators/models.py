@@ -1,21 +1,17 @@
-"""Clustering and classification of symbols with Spark ML."""
+"""Cluster rates and artifacts, sampling, scaling and logistic regression of symbols."""
 
 from __future__ import annotations
 
 import warnings
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlines.operators.ranking import roc_auc
-from planlines.operators.symbols import cluster_category, l2_normalize
-from planlines.session import stage
-
-K_CANDIDATES = [15, 20, 30, 40, 50]
+from planlines.operators.symbols import cluster_category
 
 
 def _settled(name: str, rounds: int, most: int) -> None:
@@ -23,27 +19,6 @@ def _settled(name: str, rounds: int, most: int) -> None:
         warnings.warn(f"{name} stopped after {most} rounds without settling", stacklevel=3)
 
 
-def fit_kmeans(vectors: DataFrame, k: int, inits: int = 10, seed: int = 0, max_iter: int = 300):
-    """Best of several seeded k-means fits by training cost (Spark ML has no restart count)."""
-    models = [
-        KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vec", predictionCol="cluster").fit(vectors) for i in range(inits)
-    ]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    _settled("k-means", best.summary.numIter, max_iter)
-    return best
-
-
-def embedding_vectors(symbols: DataFrame) -> DataFrame:
-    """Symbols with the vector of their unit embedding, written out for the passes of the fits."""
-    return stage(symbols.withColumn("vec", array_to_vector(l2_normalize(F.col("embedding")))), "vectors")
-
-
-def cluster_symbols(symbols: DataFrame, k: int = 30, inits: int = 10) -> DataFrame:
-    """Symbols with the k-means cluster of their unit embedding."""
-    vectors = embedding_vectors(symbols)
-    return fit_kmeans(vectors, k, inits).transform(vectors).drop("vec")
-
-
 def cluster_near_rate(labelled: DataFrame, cluster: str, all_clusters: DataFrame) -> DataFrame:
     """Members and P(near) of every cluster; empty clusters give 0, unknown labels do not count."""
     rates = labelled.filter("near_gt is not null").groupBy(cluster).agg(
@@ -58,9 +33,9 @@ def categorize(rates: DataFrame, high: float = 0.7, low: float = 0.2) -> DataFra
     return rates.withColumn("category", cluster_category(F.col("p_near"), high, low))
 
 
-def write_cluster_artifact(model, clusters: DataFrame, path: str, high: float = 0.7, low: float = 0.2) -> None:
-    """JSON records of a k-means model: centroid, rate, category and thresholds of each cluster."""
-    centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]  # k rows
+def write_cluster_artifact(centroids, clusters: DataFrame, path: str, high: float = 0.7, low: float = 0.2) -> None:
+    """JSON records of k-means clusters: centroid, rate, category and thresholds of each."""
+    centres = [(i, [float(v) for v in c]) for i, c in enumerate(centroids)]  # k rows
     table = clusters.sparkSession.createDataFrame(centres, "cluster int, centroid array<double>")
     kept = clusters.select("cluster", "n_members", "p_near", "category")
     table.join(kept, "cluster").select("*", F.lit(len(centres)).alias("k"), F.lit(high).alias("high"), F.lit(low).alias("low")).write.json(path)
@@ -97,15 +72,6 @@ def silhouette(labelled: DataFrame, vector: str, label: str) -> DataFrame:
     return labelled.sparkSession.createDataFrame([(n, float(judge.evaluate(rows)))], "n long, silhouette double")
 
 
-def pick_k(vectors: DataFrame, candidates: list[int] = K_CANDIDATES, inits: int = 10) -> int:
-    """Number of clusters with the highest silhouette, the smallest on ties."""
-    values = {}
-    for k in candidates:
-        labelled = fit_kmeans(vectors, k, inits).transform(vectors).withColumn("arr", vector_to_array("vec"))
-        values[k] = silhouette(labelled, "arr", "cluster").first()["silhouette"]
-    return max(candidates, key=lambda k: (-1.0 if values[k] is None else values[k], -k))
-
-
 # --- classifier -------------------------------------------------------------
 
 
@@ -136,7 +102,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_logreg(train: DataFrame, label: str, n: int, max_iter: int = 2000):
-    """L2 logistic regression with balanced classes on scaled features (C = 1)."""
+    """L2 logistic regression with balanced classes on ``n`` rows of scaled features (C = 1)."""
+    if not n:
+        raise ValueError("no rows to fit a logistic regression on")
     weights = {r[label]: r["weight"] for r in class_weights(train, label).collect()}  # two rows
     weight = F.when(F.col(label), F.lit(weights.get(True, 1.0))).otherwise(F.lit(weights.get(False, 1.0)))
     lr = LogisticRegression(featuresCol="vec", labelCol="y", weightCol="weight", regParam=1.0 / n,
@@ -146,38 +114,11 @@ def fit_logreg(train: DataFrame, label: str, n: int, max_iter: int = 2000):
     return model
 
 
-def fit_mlp(train: DataFrame, label: str, width: int, hidden: int = 64, max_iter: int = 200):
-    """One hidden layer; Spark ML uses sigmoid units and L-BFGS without early stopping."""
-    mlp = MultilayerPerceptronClassifier(featuresCol="vec", labelCol="y", layers=[width, hidden, 2], maxIter=max_iter, seed=0)
-    model = mlp.fit(train.withColumn("y", F.col(label).cast("double")))
-    _settled("MLP", model.summary().totalIterations, max_iter)
-    return model
-
-
-def score(model, df: DataFrame) -> DataFrame:
-    """P(class 1) in ``p``; an empty table gives an empty table."""
-    out = model.transform(df).withColumn("p", vector_to_array("probability")[1])
-    return out.drop("rawPrediction", "probability", "prediction")
-
-
 def auc_of(scored: DataFrame, label: str) -> float | None:
     keyed = scored.select(F.lit(0).alias("g"), "p", label)
     row = roc_auc(keyed, ["g"], "p", label).first()
     return None if row is None else row["auc"]
 
 
-def select_model(train: DataFrame, valid: DataFrame, label: str, width: int, names: tuple[str, ...] = ("logreg", "mlp")):
-    """Fit the candidates; the highest validation AUC wins, the first on ties.
-
-    Returns ``(results, best)``: one ``(name, auc_train, auc_valid)`` per candidate,
-    and the name and model of the winner or None when no AUC is defined.
-    """
-    fits = {"logreg": lambda: fit_logreg(train, label, train.count()), "mlp": lambda: fit_mlp(train, label, width)}
-    models = {name: fits[name]() for name in names}
-    results = [(name, auc_of(score(m, train), label), auc_of(score(m, valid), label)) for name, m in models.items()]
-    ranked = [(-auc, at, name) for at, (name, _, auc) in enumerate(results) if auc is not None]
-    return results, (min(ranked)[2], models[min(ranked)[2]]) if ranked else None
-
-
 def vectorize(df: DataFrame, features: str, stats) -> DataFrame:
     return standardize(df, features, stats).withColumn("vec", array_to_vector("scaled"))

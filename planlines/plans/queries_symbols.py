@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlines.operators import boxes as B
+from planlines.operators import clusters as KM
 from planlines.operators import metrics as E
 from planlines.operators import models as ML
+from planlines.operators import networks as N
 from planlines.operators import ranking as K
 from planlines.operators import symbols as Y
 from planlines.plans.inputs import N_FEATURES, Inputs
 from planlines.plans.queries_lines import r6
-from planlines.plans.registry import query
+from planlines.plans.registry import SQL, query
 from planlines.session import scratch_path, stage
 from planlines.sources import reports as O
 from planlines.sources import symbol_cache as C
 from planlines.streaming import ingest as S
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Symbols whose silhouette is taken when K is chosen (each against all symbols), about.
+SILHOUETTE_SAMPLE = 5000
 
 
 # --- features ---------------------------------------------------------------
@@ -201,6 +205,19 @@ def silhouette(q: Inputs):
     return ML.silhouette(rows, "v", "label").withColumn("silhouette", F.round("silhouette", 5))
 
 
+@query("silhouette_euclidean", """
+WITH s AS (SELECT crop_id, label, list_transform(e, lambda v: v / (sqrt(list_sum(list_transform(e, lambda t: t * t))) + 1e-8)) AS v
+  FROM (SELECT crop_id, label, CAST(embedding AS DOUBLE[]) AS e FROM symbols)),
+n AS (SELECT label, count(*) AS k FROM s GROUP BY label),
+d AS (SELECT a.crop_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total FROM s a, s b GROUP BY ALL),
+m AS (SELECT d.crop_id, max(CASE WHEN other = d.label THEN total / greatest(k - 1, 1) END) AS a, min(CASE WHEN other <> d.label THEN total / k END) AS b, max(CASE WHEN other = d.label THEN k END) AS own FROM d JOIN n ON n.label = d.other GROUP BY d.crop_id)
+SELECT count(*) AS n, round(avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM m""")
+def silhouette_euclidean(q: Inputs):
+    """Silhouette of the fixture's labels over all symbols, under plain distance."""
+    rows = KM.unit_embeddings(q.symbols.withColumn("label", F.col("label").cast("int")), "label")
+    return KM.silhouettes(rows, ["label"]).select("n", F.round("silhouette", 5).alias("silhouette"))
+
+
 # --- models -----------------------------------------------------------------
 
 
@@ -214,7 +231,7 @@ def class_weights(q: Inputs):
 @query("cluster_symbols")
 def cluster_symbols(q: Inputs):
     """k-means clusters of the unit embeddings, the best of several seeded fits."""
-    return ML.cluster_symbols(q.symbols, 30).select("crop_id", "image_id", "cluster")
+    return KM.cluster_symbols(q.symbols, 30).select("crop_id", "image_id", "cluster")
 
 
 @query("categorized_symbols")
@@ -225,12 +242,31 @@ def categorized_symbols(q: Inputs):
 
 def _categorize_clusters(q: Inputs, labelled: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     known = labelled.filter("near_gt is not null")
-    rows = stage(ML.cluster_symbols(known, k).select("crop_id", "image_id", "near_gt", "cluster"), "clustered")
+    rows = stage(KM.cluster_symbols(known, k).select("crop_id", "image_id", "near_gt", "cluster"), "clustered")
     ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     clusters = ML.categorize(ML.cluster_near_rate(rows, "cluster", ids))
     return clusters, rows.join(clusters.select("cluster", "category"), "cluster")
 
 
+def _cluster_artifact(q: Inputs, labelled: DataFrame) -> DataFrame:
+    """Ten fits for each candidate K, the K of the highest silhouette, its best fit written and read back."""
+    rows = KM.unit_embeddings(labelled.filter("near_gt is not null"), "crop_id", "near_gt")
+    fits = KM.fit_all(rows, KM.K_CANDIDATES)
+    k, _ = KM.pick_k(rows, fits, SILHOUETTE_SAMPLE)
+    centres = KM.best(fits, k).centres
+    ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
+    path = scratch_path(q.spark, "artifact")
+    rates = ML.cluster_near_rate(KM.assign(rows, {"cluster": centres}), "cluster", ids)
+    ML.write_cluster_artifact(centres, ML.categorize(rates), path)
+    return ML.read_cluster_artifact(q.spark, path)
+
+
+@query("cluster_centroids")
+def cluster_centroids(q: Inputs):
+    """The mining job's artifact itself: one row for each cluster of the chosen K."""
+    return _cluster_artifact(q, q.labelled_symbols)
+
+
 @query("cluster_artifact", "SELECT count(*) AS n_symbols, 64::BIGINT AS dim, 0::BIGINT AS n_bad FROM labelled WHERE near_gt IS NOT NULL")
 def cluster_artifact(q: Inputs):
     """The mining job's artifact, with K chosen by silhouette, written and read back.
@@ -238,13 +274,7 @@ def cluster_artifact(q: Inputs):
     ``n_bad`` counts clusters that are missing, have no whole centroid, or whose
     category does not follow from their rate and the thresholds in the record.
     """
-    vectors = ML.embedding_vectors(q.labelled_symbols.filter("near_gt is not null").select("crop_id", "near_gt", "embedding"))
-    k = ML.pick_k(vectors, inits=1)
-    model = ML.fit_kmeans(vectors, k, inits=1)
-    ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
-    path = scratch_path(q.spark, "artifact")
-    ML.write_cluster_artifact(model, ML.categorize(ML.cluster_near_rate(model.transform(vectors), "cluster", ids)), path)
-    read = ML.read_cluster_artifact(q.spark, path)
+    read = _cluster_artifact(q, q.labelled_symbols)
     right = F.when(F.col("p_near") > F.col("high"), "irrigation").when(F.col("p_near") < F.col("low"), "callout").otherwise("ambiguous")
     good = (F.size("centroid") == 64) & (F.col("category") == right)
     return read.agg(
@@ -255,100 +285,125 @@ def cluster_artifact(q: Inputs):
 
 @query("relabelled_cache", "SELECT i.split, l.crop_id, l.near_gt FROM labelled l JOIN images i USING (image_id)")
 def relabelled_cache(q: Inputs):
-    """A cache with old flags, read, labelled anew against the lines, and written as a new version."""
-    old, new = scratch_path(q.spark, "cache"), scratch_path(q.spark, "cache")
-    C.write_cache(_cache_rows(q).withColumn("near_gt", F.col("id").cast("long") % 2 == 0), old)
+    """A cache with old flags, read, labelled anew against the lines, and published as a new version."""
+    root = scratch_path(q.spark, "cache")
+    C.switch(q.spark, root, C.write_version(_cache_rows(q).withColumn("near_gt", F.col("id").cast("long") % 2 == 0), root))
     names = q.images.select("split", F.col("file_name").alias("image"), "image_id")
-    rows = C.read_cache(q.spark, old).filter("id is not null").drop("near_gt").join(names, ["split", "image"])
+    rows = C.read_cache(q.spark, C.current(q.spark, root)).filter("id is not null").drop("near_gt").join(names, ["split", "image"])
     fresh = Y.near_line(rows, q.images, q.runs, "id")
-    C.write_cache(fresh.select("split", "image", "id", *BOX, "conf", "embedding", "near_gt"), new)
-    return C.read_cache(q.spark, new).select("split", F.col("id").cast("long").alias("crop_id"), "near_gt")
+    C.switch(q.spark, root, C.write_version(fresh.select("split", "image", "id", *BOX, "conf", "embedding", "near_gt"), root))
+    return C.read_cache(q.spark, C.current(q.spark, root)).select("split", F.col("id").cast("long").alias("crop_id"), "near_gt")
 
 
-@query("symbol_mining")
-def symbol_mining(q: Inputs):
-    """Detections to categorised clusters: suppression, embeddings, line labels, k-means, categories."""
-    pending = C.pending_images(q.images.withColumnRenamed("file_name", "image"), q.spark.createDataFrame([], "split string, image string"))
+def _mined(q: Inputs) -> DataFrame:
+    """The cache after a mining run that found a third of the images done: their records and those of the rest."""
+    root = scratch_path(q.spark, "cache")
+    before = _cache_rows(q).join(q.images.filter("image_id % 3 = 0").select("split", F.col("file_name").alias("image")), ["split", "image"], "left_semi")
+    C.switch(q.spark, root, C.write_version(before, root))
+    old = C.current(q.spark, root)
+    pending = stage(C.pending_images(q.images.withColumnRenamed("file_name", "image"), C.cached_images(q.spark, old)), "pending")
     dets = q.detections.join(pending.select("image_id"), "image_id", "left_semi")
     kept = B.nms(dets, ["image_id"], "det_id", 0.5, 0.3)
     emb = q.symbols.select(F.col("crop_id").alias("det_id"), "embedding")
     symbols = C.attach_embeddings(kept, emb, "det_id").withColumnRenamed("det_id", "crop_id")
-    labelled = stage(Y.near_line(symbols, q.images, q.runs, "crop_id"), "mined")
-    return _categorize_clusters(q, labelled, 30)[0]
+    labelled = Y.near_line(symbols, q.images, q.runs, "crop_id")
+    new = labelled.join(pending.select("image_id", "split", "image"), "image_id").withColumn("id", F.col("crop_id").cast("string"))
+    columns = ["split", "image", "id", *BOX, "conf", "embedding", "near_gt"]
+    done = C.read_cache(q.spark, old).filter("id is not null").select(*columns)
+    C.switch(q.spark, root, C.write_version(done.unionByName(new.select(*columns)), root))
+    return C.read_cache(q.spark, C.current(q.spark, root)).filter("id is not null").withColumn("crop_id", F.col("id").cast("long"))
+
+
+@query("symbol_mining")
+def symbol_mining(q: Inputs):
+    """Detections to categorised clusters: images without a record are mined, K is chosen, the artifact written."""
+    return _cluster_artifact(q, _mined(q)).select("cluster", "n_members", "p_near", "category", "k")
+
+
+@query("mined_cache", f"""
+WITH chosen AS ({SQL["nms"].strip().replace("WITH d AS", "WITH RECURSIVE d AS", 1)})
+SELECT s.image_id, s.crop_id, n.near_gt FROM symbols s JOIN near n ON n.det_id = s.crop_id WHERE s.image_id % 3 = 0
+UNION ALL SELECT k.image_id, k.det_id AS crop_id, n.near_gt FROM chosen k JOIN symbols s ON s.crop_id = k.det_id JOIN near n ON n.det_id = k.det_id WHERE k.image_id % 3 <> 0""")
+def mined_cache(q: Inputs):
+    """Symbols of the cache after a resumed mining run, with their labels."""
+    names = q.images.select("split", F.col("file_name").alias("image"), "image_id")
+    return _mined(q).join(names, ["split", "image"]).select("image_id", "crop_id", "near_gt")
 
 
-def _vectors(q: Inputs) -> DataFrame:
-    """Features of all symbols, scaled by the training symbols with a known label."""
+def _features(q: Inputs) -> DataFrame:
+    """Raw features of all symbols with split and label, written out."""
     feats = Y.symbol_features(q.labelled_symbols).join(q.images.select("image_id", "split"), "image_id")
-    rows = stage(feats.select("split", "crop_id", "near_gt", "features"), "features")
-    train = rows.filter("split = 'train' and near_gt is not null")
-    return stage(ML.vectorize(rows, "features", ML.collect_stats(train, "features")).drop("scaled", "features"), "vectors")
+    return stage(feats.select("split", "crop_id", "near_gt", "features"), "features")
 
 
-def _known(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    known = vectors.filter("near_gt is not null")
+def _known(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and validation symbols with a known label."""
+    known = rows.filter("near_gt is not null")
     return known.filter("split = 'train'"), known.filter("split = 'valid'")
 
 
-def _training(q: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Scaled train and validation features of the symbols with a known label."""
-    return _known(_vectors(q))
+def _scored(model, rows: DataFrame) -> DataFrame:
+    """Rows with ``p``; none without a model."""
+    return model.transform(rows) if model else rows.limit(0).withColumn("p", F.lit(None).cast("double"))
 
 
 @query("fit_logreg")
 def fit_logreg(q: Inputs):
     """Validation scores of the balanced logistic regression."""
-    train, valid = _training(q)
-    return ML.score(ML.fit_logreg(train, "near_gt", train.count()), valid).select("crop_id", "near_gt", "p")
+    train, valid = _known(_features(q))
+    return _scored(N.logistic(train, "features", "near_gt"), valid).select("crop_id", "near_gt", "p")
 
 
 @query("fit_mlp")
 def fit_mlp(q: Inputs):
-    """Validation scores of the one-hidden-layer network."""
-    train, valid = _training(q)
-    return ML.score(ML.fit_mlp(train, "near_gt", N_FEATURES), valid).select("crop_id", "near_gt", "p")
+    """Validation scores of the network with one hidden ReLU layer."""
+    train, valid = _known(_features(q))
+    return _scored(N.network(train, "features", "near_gt", "crop_id"), valid).select("crop_id", "near_gt", "p")
 
 
 @query("select_model")
 def select_model(q: Inputs):
     """Candidates with their AUCs and the one chosen by validation AUC."""
-    train, valid = _training(q)
-    results, best = ML.select_model(train, valid, "near_gt", N_FEATURES)
+    train, valid = _known(_features(q))
+    results, best = N.candidates(train, valid, "features", "near_gt", "crop_id")
     rows = [(n, a, v, best is not None and n == best[0]) for n, a, v in results]
     return q.spark.createDataFrame(rows, "model string, auc_train double, auc_valid double, chosen boolean")
 
 
 @query("score_symbols")
 def score_symbols(q: Inputs):
-    """The classifier job: the chosen model, saved and loaded again, scores every symbol of every split."""
+    """The classifier job: the chosen model, saved and loaded again, scores the raw features of every symbol of every split."""
     return _classifier_job(q)[0].select("split", "crop_id", "near_gt", "p", Y.band(F.col("p")).alias("band"))
 
 
 def _classifier_job(q: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Scores of all symbols, known label or not, and the metadata row saved with the chosen model."""
-    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
-
-    vectors = _vectors(q)
-    train, valid = _known(vectors)
-    results, best = ML.select_model(train, valid, "near_gt", N_FEATURES)
-    # without a validation AUC (a class is missing there) nothing can be compared: the first candidate
-    name, model = best or ("logreg", ML.fit_logreg(train, "near_gt", train.count()))
+    """Scores of all symbols, known label or not, and the metadata row saved with the chosen model.
+
+    Without a validation AUC (a class is missing there) nothing is chosen, saved or scored.
+    """
+    rows = _features(q)
+    train, valid = _known(rows)
+    results, best = N.candidates(train, valid, "features", "near_gt", "crop_id")
+    if best is None:
+        none = q.spark.createDataFrame([], N.META).withColumn("is_best", F.lit(None).cast("boolean"))
+        return _scored(None, rows), none
     path = scratch_path(q.spark, "classifier")
-    model.write().save(f"{path}/model")
-    aucs = next((a, v) for n, a, v in results if n == name)
-    best_valid = max((v for _, _, v in results if v is not None), default=None)
-    meta = q.spark.createDataFrame(
-        [(name, *aucs, N_FEATURES, ["train"], train.count(), valid.count(), aucs[1] == best_valid)],
-        "model string, auc_train double, auc_valid double, n_features long, train_splits array<string>, n_train long, n_valid long, is_best boolean",
-    )
-    meta.write.json(f"{path}/meta")
-    kind = {"logreg": LogisticRegressionModel, "mlp": MultilayerPerceptronClassificationModel}[name]
-    return ML.score(kind.load(f"{path}/model"), vectors), q.spark.read.schema(meta.schema).json(f"{path}/meta")
+    aucs = next((a, v) for n, a, v in results if n == best[0])
+    N.save(path, best[1], q.spark.createDataFrame([(best[0], *aucs, N_FEATURES, ["train"], train.count(), valid.count())], N.META))
+    model, meta = N.load(q.spark, path)
+    # the loaded artifact is judged anew on the raw validation rows
+    again, most = ML.auc_of(model.transform(valid), "near_gt"), max(v for _, _, v in results if v is not None)
+    return model.transform(rows), meta.withColumn("is_best", (F.col("auc_valid") == again) & (F.col("auc_valid") == most))
+
+
+#: A validation AUC exists where both splits hold both labels; else there is no model and no row.
+JUDGED = """(SELECT count(DISTINCT (i.split, l.near_gt)) FROM labelled l JOIN images i USING (image_id)
+  WHERE l.near_gt IS NOT NULL AND i.split IN ('train', 'valid')) = 4"""
 
 
-@query("score_coverage", """
+@query("score_coverage", f"""
 SELECT i.split, count(*) AS n, count(l.near_gt) AS n_known, count(*) AS n_scored, CAST(sum(l.crop_id) AS BIGINT) AS ids
-FROM labelled l JOIN images i USING (image_id) GROUP BY i.split""")
+FROM labelled l JOIN images i USING (image_id) WHERE {JUDGED} GROUP BY i.split""")
 def score_coverage(q: Inputs):
     """What the classifier job scored, by split: every symbol, with a probability."""
     return _classifier_job(q)[0].groupBy("split").agg(
@@ -356,11 +411,11 @@ def score_coverage(q: Inputs):
     )
 
 
-@query("classifier_metadata", """
+@query("classifier_metadata", f"""
 SELECT 69::BIGINT AS n_features, 'train' AS train_splits, count(*) FILTER (i.split = 'train') AS n_train, count(*) FILTER (i.split = 'valid') AS n_valid, true AS is_best
-FROM labelled l JOIN images i USING (image_id) WHERE l.near_gt IS NOT NULL""")
+FROM labelled l JOIN images i USING (image_id) WHERE l.near_gt IS NOT NULL HAVING {JUDGED}""")
 def classifier_metadata(q: Inputs):
-    """The metadata row saved with the chosen model; ``is_best``: its validation AUC is the highest."""
+    """The metadata row saved with the chosen model; ``is_best``: the loaded artifact reaches its recorded AUC, the highest of all."""
     meta = _classifier_job(q)[1]
     return meta.select("n_features", F.array_join("train_splits", ",").alias("train_splits"), "n_train", "n_valid", "is_best")
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: Bytes that a task gathers before it writes them to a staged table; several tasks share an executor.
+ROW_GROUP = 32 << 20
 
 
 def build_session(name: str = "planlines", cpus: str | int = "*", **conf) -> SparkSession:
@@ -70,7 +72,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planlines.session import stage
+
 SYMBOL = "struct<id:string,x1:double,y1:double,x2:double,y2:double,conf:double,embedding:array<float>,near_gt:boolean>"
 RECORD = f"image string, symbols array<{SYMBOL}>, split string"
 MAX_SYMBOLS = 10_000
@@ -19,6 +23,40 @@ def write_cache(symbols: DataFrame, path: str) -> None:
     cache_records(symbols).write.partitionBy("split").json(path)
 
 
+def write_version(symbols: DataFrame, root: str) -> str:
+    """Write the cache as a new version below ``root``; readers of ``root`` do not see it yet."""
+    name = f"version-{uuid.uuid4().hex}"
+    write_cache(symbols, f"{root}/{name}")
+    return name
+
+
+def switch(spark: SparkSession, root: str, name: str) -> None:
+    """Make ``name`` the version that readers of ``root`` get.
+
+    The pointer is a file with the version's name, written aside and renamed over the
+    old one in one step, so a reader finds the old version or the new one, whole. A
+    job that stops before the rename leaves the old one in force.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    aside, pointer = fs.Path(f"{root}/next-{uuid.uuid4().hex}"), fs.Path(f"{root}/CURRENT")
+    out = aside.getFileSystem(conf).create(aside, True)
+    out.writeBytes(name)
+    out.close()
+    options = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    options[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, pointer, options)
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """Folder of the version in force, None before the first switch."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    pointer = fs.Path(f"{root}/CURRENT")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return f"{root}/{spark.read.text(f'{root}/CURRENT').first()[0]}"
+
+
 def cache_records(symbols: DataFrame, per_record: int = MAX_SYMBOLS) -> DataFrame:
     """Symbols ``(split, image, id, x1..y2, conf, embedding, near_gt)`` grouped into records.
 
@@ -26,7 +64,8 @@ def cache_records(symbols: DataFrame, per_record: int = MAX_SYMBOLS) -> DataFram
     image's own size, so no record outgrows its bound even for a huge image.
     """
     sizes = symbols.groupBy("split", "image").agg(F.ceil(F.count("*") / per_record).alias("blocks"))
-    blocked = symbols.join(sizes, ["split", "image"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # the sizes are written first: both sides of the join are then plain exchanges, and an image with most symbols splits
+    blocked = symbols.join(stage(sizes, "sizes"), ["split", "image"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     record = F.struct("id", "x1", "y1", "x2", "y2", "conf", "embedding", "near_gt")
     return blocked.groupBy("split", "image", "block").agg(F.array_sort(F.collect_list(record)).alias("symbols"))
 

@@ -213,24 +213,3 @@ def test_strict_embeddings_refuse_a_gap(spark):
     assert C.attach_embeddings(det, emb, "id").count() == 1
     with pytest.raises(PySparkException, match="no embedding for 2"):
         C.attach_embeddings(det, emb, "id", strict=True).collect()
-
-
-def test_classifier_learns_and_picks_a_model(spark):
-    rnd = np.random.default_rng(0)
-    rows = [(i, bool(y), [float(y) * 2 + rnd.normal(), float(rnd.normal())]) for i, y in enumerate(rnd.integers(0, 2, 400))]
-    df = spark.createDataFrame(rows, "id long, y1 boolean, features array<double>")
-    vec = ML.vectorize(df, "features", ML.collect_stats(df, "features"))
-    results, best = ML.select_model(vec.filter("id < 300"), vec.filter("id >= 300"), "y1", 2)
-    assert {r[0] for r in results} == {"logreg", "mlp"} and best is not None and all(r[2] > 0.85 for r in results)
-    results, best = ML.select_model(vec.filter("id < 300"), vec.filter("y1"), "y1", 2, names=("logreg",))
-    assert best is None and results[0][2] is None
-
-
-def test_cluster_count_by_silhouette(spark):
-    rnd = np.random.default_rng(4)
-    centres = [(0, 0), (10, 0), (0, 10)]
-    rows = [(i, [float(c + rnd.normal() * 0.3) for c in centres[i % 3]]) for i in range(90)]
-    from pyspark.ml.functions import array_to_vector
-
-    vec = spark.createDataFrame(rows, "id long, v array<double>").withColumn("vec", array_to_vector("v"))
-    assert ML.pick_k(vec, [2, 3, 5], inits=2) == 3

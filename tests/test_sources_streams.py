@@ -132,3 +132,19 @@ def test_cluster_session_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_root(Fake())
+
+
+def test_cache_versions_switch_whole(spark):
+    root = session.scratch_path(spark, "versions")
+    rows = lambda n: spark.range(n).selectExpr(
+        "'train' AS split", "concat('i', id % 2) AS image", "CAST(id AS STRING) AS id", "0.0D AS x1", "0.0D AS y1", "1.0D AS x2", "1.0D AS y2",
+        "0.5D AS conf", "array(0.5F) AS embedding", "true AS near_gt",
+    )
+    seen = lambda: C.read_cache(spark, C.current(spark, root)).filter("id is not null").count()
+    assert C.current(spark, root) is None
+    C.switch(spark, root, C.write_version(rows(5), root))
+    assert seen() == 5
+    new = C.write_version(rows(9), root)  # a job that stops here has changed nothing
+    assert seen() == 5
+    C.switch(spark, root, new)
+    assert seen() == 9
