@@ -102,6 +102,17 @@ def centreline_dice(gt: DataFrame, pred: DataFrame, gt_skel: DataFrame, pred_ske
         _n(F.col("ps") & F.col("gt")).alias("pred_skel_in_gt"), _n("ps").alias("pred_skel"),
         _n(F.col("gs") & F.col("pred")).alias("gt_skel_in_pred"), _n("gs").alias("gt_skel"),
     )
+    return _centreline_ratio(sums)
+
+
+def pooled_centreline(tiles: DataFrame, by: list[str]) -> DataFrame:
+    """Centreline Dice pooled per group from the counts of ``morphology.tile_skeletons``."""
+    names = ("pred_skel_in_gt", "pred_skel", "gt_skel_in_pred", "gt_skel")
+    sums = tiles.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
+    return _centreline_ratio(sums)
+
+
+def _centreline_ratio(sums: DataFrame) -> DataFrame:
     eps = F.lit(SC.EPS)
     prec = F.col("pred_skel_in_gt") / (F.col("pred_skel") + eps)
     sens = F.col("gt_skel_in_pred") / (F.col("gt_skel") + eps)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from planlines.functions import geometry as G
 from planlines.operators.graph import connected_components
 from planlines.operators.raster import KEYS, pixel_words
 from planlines.session import fanout_partitions, stage
@@ -226,6 +227,52 @@ def skeletonize(pixels: DataFrame, tile: int = TILE, halo: int = 33) -> DataFram
         current = out
 
 
+def tile_skeletons(gt: DataFrame, pred: DataFrame, images: DataFrame, tile: int, stride: int, keys: list[str] | None = None) -> DataFrame:
+    """Two masks thinned within each sliding tile, as counts: a tile is a sample of its own, its border the sample's border.
+
+    ``gt`` and ``pred`` are pixels ``(image_id, y, x)``, or with ``keys`` (``tile_row``,
+    ``tile_col``) pixels that already belong to a tile. Returns for every tile with a
+    pixel of either ``n_gt, n_pred, n_both, gt_skel, pred_skel, pred_skel_in_gt,
+    gt_skel_in_pred``. Pixels travel as words, once for each tile row and column that a
+    word reaches; a task holds one tile of each mask.
+    """
+    at = ["image_id", "tile_row", "tile_col"]
+    base = ["image_id", *(keys or [])]
+    words = pixel_words(gt, base).withColumn("kind", F.lit(0)).unionByName(pixel_words(pred, base).withColumn("kind", F.lit(1)))
+    if not keys:
+        sized = words.join(images.select("image_id", "width", "height"), "image_id")
+        width, height = F.col("width"), F.col("height")
+        ends = F.array_distinct(F.concat(*[
+            G.covering_tiles(x.cast("int"), width, tile, stride) for x in (F.col("wx") * 64, F.least(F.col("wx") * 64 + 63, width - 1))
+        ]))
+        spread = sized.select("*", F.explode(G.covering_tiles(F.col("y"), height, tile, stride)).alias("ty")).select(
+            "*", F.explode(G.span(F.array_min(ends), F.array_max(ends))).alias("tx")
+        )
+        words = spread.withColumn("tile_row", G.tile_origin(F.col("ty"), height, tile, stride)).withColumn(
+            "tile_col", G.tile_origin(F.col("tx"), width, tile, stride)
+        )
+    counts = ["n_gt", "n_pred", "n_both", "gt_skel", "pred_skel", "pred_skel_in_gt", "gt_skel_in_pred"]
+
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        image, row, col = key
+        masks = np.zeros((2, tile, tile), bool)
+        for kind in (0, 1):
+            ys, xs = _unpack(pdf[pdf["kind"] == kind])
+            ys, xs = ys - row, xs - col
+            inside = (xs >= 0) & (xs < tile) & (ys >= 0) & (ys < tile)
+            masks[kind, ys[inside], xs[inside]] = True
+        g, p = masks
+        gs, ps = (thin(m, 2 * tile)[0] for m in masks)
+        values = [int(m.sum()) for m in (g, p, g & p, gs, ps, ps & g, gs & p)]
+        if not (values[0] or values[1]):
+            return pd.DataFrame({c: [] for c in [*at, *counts]})
+        return pd.DataFrame([[image, row, col, *values]], columns=[*at, *counts])
+
+    schema = "image_id long, tile_row int, tile_col int" + "".join(f", {c} long" for c in counts)
+    kept = words.select(*at, "y", "wx", "word", "kind")
+    return kept.repartition(fanout_partitions(gt.sparkSession), *at).groupBy(*at).applyInPandas(run, schema)
+
+
 def neighbour_count(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """8-neighbour count of every pixel of a thin table, from one shifted aggregation."""
     shifts = F.array(*[

@@ -19,7 +19,7 @@ from planlines.operators import morphology as M
 from planlines.operators import raster as R
 from planlines.operators import symbols as Y
 from planlines.operators import tiles as T
-from planlines.operators.ranking import percentiles, top_n
+from planlines.operators.ranking import percentiles, row_numbers, top_n
 from planlines.plans.inputs import BATCH, RADIUS, STRIDE, TILE, Inputs
 from planlines.plans.queries_lines import r6
 from planlines.plans.registry import query
@@ -366,6 +366,32 @@ def cldice(q: Inputs):
     return out.withColumn("cldice", r6("cldice"))
 
 
+def _tile_samples(q: Inputs) -> DataFrame:
+    """Counts of the masks thinned tile by tile, with the split."""
+    counts = M.tile_skeletons(q.mask, q.pred, q.images, TILE, STRIDE)
+    return stage(counts.join(q.images.select("image_id", "split"), "image_id"), "tile_skeletons")
+
+
+@query("cldice_tiles", """
+WITH s AS (SELECT split, CAST(sum(pred_skel_in_gt) AS BIGINT) AS pred_skel_in_gt, CAST(sum(pred_skel) AS BIGINT) AS pred_skel, CAST(sum(gt_skel_in_pred) AS BIGINT) AS gt_skel_in_pred,
+  CAST(sum(gt_skel) AS BIGINT) AS gt_skel FROM thin_counts JOIN images USING (image_id) GROUP BY split),
+r AS (SELECT *, pred_skel_in_gt / (pred_skel + 1e-6) AS a, gt_skel_in_pred / (gt_skel + 1e-6) AS b FROM s)
+SELECT split, pred_skel_in_gt, pred_skel, gt_skel_in_pred, gt_skel, round(2.0 * a * b / (a + b + 1e-6), 6) AS cldice FROM r""")
+def cldice_tiles(q: Inputs):
+    """Pooled centreline Dice per split, every tile thinned as a sample of its own."""
+    return E.pooled_centreline(_tile_samples(q), ["split"]).withColumn("cldice", r6("cldice"))
+
+
+@query("length_ratio_skel_tiles", """
+WITH r AS (SELECT split, pred_skel / (gt_skel + 1e-6) AS ratio FROM thin_counts JOIN images USING (image_id) WHERE n_gt >= 1 AND gt_skel >= 1)
+SELECT split, count(*) AS n_samples, round(avg(ratio), 6) AS mean, round(median(ratio), 6) AS median, round(quantile_cont(ratio, 0.25), 6) AS p25, round(quantile_cont(ratio, 0.75), 6) AS p75
+FROM r GROUP BY split""")
+def length_ratio_skel_tiles(q: Inputs):
+    """Skeleton length ratio per tile, every tile thinned as a sample of its own."""
+    out = E.length_ratios(_tile_samples(q), ["split"], "ratio", "gt_skel", "pred_skel")
+    return out.withColumns({c: r6(c) for c in ("mean", "median", "p25", "p75")})
+
+
 def _tile_lengths(q: Inputs, gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Foreground pixels of both masks per tile, with the split."""
     flags = E.flag_pixels({"gt": gt, "pred": pred}, AT)
@@ -543,6 +569,43 @@ def eval_scores(q: Inputs):
     return out.select("split", *[r6(c).alias(c) for c in ("dice", "iou", "bce", "dice_loss", "len_mean", "len_median")])
 
 
+@query("eval_report", f"""
+WITH t AS (SELECT i.split, s.target AS t, s.logit AS z, (dense_rank() OVER (PARTITION BY i.split ORDER BY s.image_id, s.tile_row, s.tile_col) - 1) // {BATCH} AS batch
+  FROM tile_scores s JOIN images i USING (image_id)),
+l AS (SELECT split, batch, avg(greatest(z, 0.0) - z * t + ln(1.0 + exp(-abs(z)))) AS bce, 1.0 - (2.0 * sum(t / (1.0 + exp(-z))) + 1e-6) / (sum(1.0 / (1.0 + exp(-z))) + sum(t) + 1e-6) AS dl FROM t GROUP BY split, batch),
+b AS (SELECT split, count(*) AS n_batches, avg(bce + dl) AS total_loss, avg(dl) AS dice_loss FROM l GROUP BY split),
+c AS (SELECT *, n_pred / (n_gt + 1e-6) AS rp, CASE WHEN gt_skel >= 1 THEN pred_skel / (gt_skel + 1e-6) END AS rs FROM thinner_counts JOIN images USING (image_id)),
+s AS (SELECT split, sum(n_both) AS n_both, sum(n_gt) AS n_gt, sum(n_pred) AS n_pred, sum(pred_skel_in_gt) / (sum(pred_skel) + 1e-6) AS x, sum(gt_skel_in_pred) / (sum(gt_skel) + 1e-6) AS y FROM c GROUP BY split),
+r AS (SELECT split, {", ".join(f"avg({v}) AS {n}_mean, median({v}) AS {n}_median, quantile_cont({v}, 0.25) AS {n}_p25, quantile_cont({v}, 0.75) AS {n}_p75" for v, n in (("rp", "pixel"), ("rs", "skel")))} FROM c WHERE n_gt >= 1 GROUP BY split)
+SELECT split, n_batches, round(total_loss, 6) AS total_loss, round(dice_loss, 6) AS dice_loss, round((2.0 * n_both + 1e-6) / (n_gt + n_pred + 1e-6), 6) AS dice,
+  round((n_both + 1e-6) / (n_gt + n_pred - n_both + 1e-6), 6) AS iou, round(2.0 * x * y / (x + y + 1e-6), 6) AS cldice,
+  {", ".join(f"round({n}_{k}, 6) AS {n}_{k}" for n in ("pixel", "skel") for k in ("mean", "median", "p25", "p75"))}
+FROM b JOIN s USING (split) JOIN r USING (split)""")
+def eval_report(q: Inputs):
+    """The whole evaluation of a score table over its tiles: batch means of the losses, pooled overlap and centreline Dice, both length ratios."""
+    split = q.images.select("image_id", "split")
+    rows = stage(q.tile_scores.select("image_id", "tile_row", "tile_col", "y", "x", "logit", "target").join(split, "image_id"), "tiles")
+    tiles = rows.select("split", "image_id", "tile_row", "tile_col").distinct()
+    numbered = row_numbers(tiles, ["split"], [F.col("image_id"), F.col("tile_row"), F.col("tile_col")])
+    batch = stage(numbered.select("image_id", "tile_row", "tile_col", F.floor((F.col("rank") - 1) / BATCH).alias("batch")), "batches")
+    losses = X.pixel_losses(rows.join(batch, ["image_id", "tile_row", "tile_col"]), ["split", "batch"])
+    means = losses.groupBy("split").agg(F.count("*").alias("n_batches"), F.avg(F.col("bce") + F.col("dice_loss")).alias("total_loss"), F.avg("dice_loss").alias("dice_loss"))
+    keys = ["tile_row", "tile_col"]
+    counts = M.tile_skeletons(rows.filter("target = 1"), rows.filter("logit >= 0"), q.images, TILE, STRIDE, keys)
+    counts = stage(counts.join(split, "image_id"), "tile_skeletons")
+    sums = counts.groupBy("split").agg(*[F.sum(c).alias(c) for c in ("n_both", "n_gt", "n_pred")])
+    overlap = sums.select("split", SC.dice_ratio(F.col("n_both"), F.col("n_gt") + F.col("n_pred")).alias("dice"),
+                          SC.iou_ratio(F.col("n_both"), F.col("n_gt") + F.col("n_pred") - F.col("n_both")).alias("iou"))
+    out = means.join(overlap, "split").join(E.pooled_centreline(counts, ["split"]).select("split", "cldice"), "split")
+    names = []
+    for name, g, p in (("pixel", "n_gt", "n_pred"), ("skel", "gt_skel", "pred_skel")):
+        ratios = E.length_ratios(counts, ["split"], "ratio", g, p)
+        mine = [f"{name}_{k}" for k in ("mean", "median", "p25", "p75")]
+        out = out.join(ratios.select("split", *[F.col(c.split("_")[1]).alias(c) for c in mine]), "split", "left")
+        names += mine
+    return out.select("split", "n_batches", *[r6(c).alias(c) for c in ("total_loss", "dice_loss", "dice", "iou", "cldice", *names)])
+
+
 # --- missed labels ----------------------------------------------------------
 
 

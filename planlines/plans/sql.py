@@ -40,6 +40,66 @@ FROM {mask} m JOIN images i USING (image_id),
 WHERE m.y + k.dy >= 0 AND m.y + k.dy < i.height AND m.x + o.dx >= 0 AND m.x + o.dx < i.width"""
 
 
+def _thin_pass(rows: str, first: bool) -> str:
+    """One sub-round of thinning on a list of 32-bit rows, every cell of a row at once.
+
+    Of eight neighbour bits, ``more`` marks cells with at least two of them set; the
+    same on the complements says at least two are empty, that is at most six are set.
+    """
+    ring = ["n", "ne", "e", "se", "s", "sw", "w", "nw"]
+
+    def some(terms: list[str]) -> str:
+        return "(" + " | ".join(terms) + ")"
+
+    def more(terms: list[str]) -> str:
+        return some([f"({t} & {some(terms[:i])})" for i, t in enumerate(terms) if i])
+
+    bits = [f"r.{c}" for c in ring]
+    holes = [f"(~{b})" for b in bits]
+    rises = [f"((~{a}) & {b})" for a, b in zip(bits, bits[1:] + bits[:1])]
+    triples = [("n", "e", "s"), ("e", "s", "w")] if first else [("n", "e", "w"), ("n", "s", "w")]
+    sides = " & ".join(f"(~(r.{a} & r.{b} & r.{c}))" for a, b, c in triples)
+    lone = ("((r.e & r.s & r.se) & ~((r.u << 1) | r.u | (r.u >> 1) | (r.u >> 2) | (r.dd << 1) | r.dd | (r.dd >> 1) | (r.dd >> 2)"
+            " | (r.c << 1) | (r.c >> 2) | (r.s << 1) | (r.s >> 2)))")
+    gone = f"{more(bits)} & {more(holes)} & {some(rises)} & (~{more(rises)}) & {sides} & (~{lone})"
+    row = f"coalesce({rows}[%s], 0)"
+    u, c, d, dd = (row % at for at in ("i - 1", "i", "i + 1", "i + 2"))
+    west = lambda v: f"(({v} << 1) & 4294967295)"
+    cells = (f"{{'c': {c}, 'u': {u}, 'dd': {dd}, 'n': {u}, 'ne': {u} >> 1, 'e': {c} >> 1, 'se': {d} >> 1, 's': {d}, "
+             f"'sw': {west(d)}, 'w': {west(c)}, 'nw': {west(u)}}}")
+    return f"list_transform(list_transform(range(1, 33), lambda i: {cells}), lambda r: r.c & ~({gone}))"
+
+
+def thin_sql(name: str, source: str) -> dict[str, str]:
+    """Tiles of 32 pixels thinned one by one: ``{name}_rows`` before, ``{name}`` after the round that changes nothing.
+
+    ``source``: pixels ``(image_id, tile_row, tile_col, ly, lx, kind)``. A tile is a list of
+    rows, bit x of a row its column x.
+    """
+    at = "image_id, tile_row, tile_col, kind"
+    return {
+        f"{name}_rows": f"""SELECT {at}, list_transform(range(0, 32), lambda y: coalesce(list_filter(l, lambda e: e.ly = y)[1].w, 0)) AS m
+FROM (SELECT {at}, list({{'ly': ly, 'w': w}}) AS l FROM (SELECT {at}, ly, CAST(sum(1::BIGINT << lx) AS BIGINT) AS w FROM ({source}) GROUP BY {at}, ly) GROUP BY {at})""",
+        f"{name}_half": f"""SELECT {at}, m AS old, m AS half, 0 AS k, false AS settled FROM {name}_rows
+UNION ALL SELECT {at}, CASE WHEN k % 2 = 0 THEN half ELSE old END,
+  CASE WHEN k % 2 = 0 THEN {_thin_pass("half", True)} ELSE {_thin_pass("half", False)} END, k + 1,
+  k % 2 = 1 AND old = {_thin_pass("half", False)} FROM {name}_half WHERE NOT settled""",
+        name: f"SELECT {at}, half AS m FROM {name}_half WHERE settled",
+    }
+
+
+def tile_counts_sql(name: str) -> str:
+    """Counts of both masks (kind 0 and 1) and their skeletons, one row for each tile."""
+    bits = lambda e: f"CAST(list_sum(list_transform(range(1, 33), lambda y: bit_count({e}))) AS BIGINT)"
+    return f"""SELECT image_id, tile_row, tile_col, {bits("g[y]")} AS n_gt, {bits("p[y]")} AS n_pred, {bits("g[y] & p[y]")} AS n_both,
+  {bits("gs[y]")} AS gt_skel, {bits("ps[y]")} AS pred_skel, {bits("ps[y] & g[y]")} AS pred_skel_in_gt, {bits("gs[y] & p[y]")} AS gt_skel_in_pred
+FROM (SELECT image_id, tile_row, tile_col, coalesce(any_value(a.m) FILTER (kind = 0), list_transform(range(32), lambda y: 0::BIGINT)) AS g,
+    coalesce(any_value(a.m) FILTER (kind = 1), list_transform(range(32), lambda y: 0::BIGINT)) AS p,
+    coalesce(any_value(b.m) FILTER (kind = 0), list_transform(range(32), lambda y: 0::BIGINT)) AS gs,
+    coalesce(any_value(b.m) FILTER (kind = 1), list_transform(range(32), lambda y: 0::BIGINT)) AS ps
+  FROM {name}_rows a JOIN {name} b USING (image_id, tile_row, tile_col, kind) GROUP BY image_id, tile_row, tile_col)"""
+
+
 def components_sql(name: str, mask: str) -> dict[str, str]:
     """Relations ``{name}_runs``, ``_adj``, ``_reach``, ``_lab`` and the pixel labels ``{name}``."""
     return {
@@ -95,6 +155,13 @@ FROM images i, UNNEST(range(0, greatest(1, CAST(ceil(greatest(i.height - 32, 0)
        s.logit + ((t.tile_row + t.tile_col) % 3) / 4 AS logit
 FROM scored s JOIN tiles t ON t.image_id = s.image_id AND s.y >= t.tile_row AND s.y < t.tile_row + 32
  AND s.x >= t.tile_col AND s.x < t.tile_col + 32""",
+    **thin_sql("thinned", """SELECT t.image_id, t.tile_row, t.tile_col, m.y - t.tile_row AS ly, m.x - t.tile_col AS lx, m.kind
+FROM (SELECT image_id, y, x, 0 AS kind FROM mask UNION ALL SELECT image_id, y, x, 1 FROM pred) m JOIN tiles t
+  ON t.image_id = m.image_id AND m.y >= t.tile_row AND m.y < t.tile_row + 32 AND m.x >= t.tile_col AND m.x < t.tile_col + 32"""),
+    "thin_counts": tile_counts_sql("thinned"),
+    **thin_sql("thinner", """SELECT image_id, tile_row, tile_col, y - tile_row AS ly, x - tile_col AS lx, kind FROM tile_scores,
+  UNNEST([0, 1]) AS u(kind) WHERE CASE WHEN kind = 0 THEN target = 1 ELSE logit >= 0 END"""),
+    "thinner_counts": tile_counts_sql("thinner"),
     "ends": """SELECT image_id, chord_id, chord_id * 2 AS end_id, x1 AS x, y1 AS y FROM chords
 UNION ALL SELECT image_id, chord_id, chord_id * 2 + 1, x2, y2 FROM chords""",
     **clusters_sql("clusters", "10.0"),
