@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.prefilter import having, split
+from planlines.llm.prefilter import free, having, split
 from planlines.llm.texts import WordHashes, by_group, hashes, rolling, slices, starts_of, task, utf8
 from planlines.session import stage
 
@@ -241,21 +241,20 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeats cut out of their texts; documents with nothing left go.
 
-    All columns stay; ``n_chars``, where there is one, follows the text. Rows
-    without id stay as they are, and so do texts that had no words.
+    All columns stay, whatever their names; ``n_chars``, where there is one, follows
+    the text. Rows without id stay as they are, and so do texts that had no words.
     """
-    cut = removals(docs).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept")
-    ).dropDuplicates(["_id", "_sha"])
-    cut = stage(cut, "removed")
-    some, rest = split(docs, cut.select(F.col("_id").alias("doc_id")))
-    joined = some.join(cut.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_sha", "_kept"))).alias("_cut")),
-                       F.col("doc_id") == F.col("_id"), "left")
+    ident, sha, kept, cuts, left = free(docs.columns, "id", "sha", "kept", "cuts", "left")
+    cut = removals(docs).filter("n_removed > 0").select(F.col("doc_id").alias(ident), F.col("sha").alias(sha), F.col("kept").alias(kept))
+    cut = stage(cut.dropDuplicates([ident, sha]), "removed")
+    some, rest = split(docs, cut.select(F.col(ident).alias("doc_id")))
+    joined = some.join(cut.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct(sha, kept))).alias(cuts)),
+                       F.col("doc_id") == F.col(ident), "left")
     words = F.array_join(F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+", -1), " ")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.coalesce(F.element_at("_cut", F.sha2(words, 256)), F.col("text")))
-    out = joined.withColumn("_text", text).filter(F.col("_cut").isNull() | (F.col("_text") != ""))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.coalesce(F.element_at(cuts, F.sha2(words, 256)), F.col("text")))
+    out = joined.withColumn(left, text).filter(F.col(cuts).isNull() | (F.col(left) != ""))
     columns = [
-        F.col("_text").alias(c) if c == "text" else F.length("_text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        F.col(left).alias(c) if c == "text" else F.length(left).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`")
         for c, t in docs.dtypes
     ]
     return rest.unionByName(out.select(*columns))

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join through a MinHash LSH forest with exact verification."""
+"""N-gram Jaccard join through MinHash banding (in place of a forest's adaptive tries) with exact verification."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlines.llm.prefilter import having, split, without
+from planlines.llm.prefilter import free, having, split, without
 from planlines.llm.texts import WordHashes, by_group, hashes, mixed, rolling, starts_of, task, utf8
 from planlines.operators.graph import connected_components
+from planlines.operators.ranking import row_numbers
 from planlines.session import stage
 
 SHINGLE = 5
@@ -206,9 +207,9 @@ def join(docs: DataFrame) -> DataFrame:
     set, and the number of other documents it is linked to, copies included.
 
     1. Texts with equal shingle sets are one class; the rest works on its smallest id.
-    2. The forest: each class has TREES paths of MinHash labels, and classes are
-       sorted into the tries' nodes at the prefix length that ``prefix_length`` finds
-       for the target recall. Nodes with one class end there.
+    2. Banding: each class has TREES bands of MinHash labels, of the length that
+       ``prefix_length`` finds for the target recall; classes that share a band meet in
+       its node. Nodes with one class end there.
     3. Nodes are cut into tiles of two blocks, so that a crowded one spreads over
        many tasks. Sizes and the share of equal labels rule out pairs (at a share
        six deviations under the threshold); what is left is linked as stars, no pair
@@ -218,13 +219,14 @@ def join(docs: DataFrame) -> DataFrame:
 
     Texts without words (null, empty, blanks) have no shingles and no links. Under
     SHINGLE words the whole text is one shingle. Rows that repeat an id count once,
-    by one of their texts; rows without id are not returned.
+    by one of their texts that has words; rows without id are not returned.
     """
     docs = docs.filter("doc_id is not null").select("doc_id", utf8("text").alias("text"))
     depth = prefix_length()
     labels = TREES * depth
     signed = stage(docs.mapInArrow(task(_sign(labels)), "doc_id long, set binary, n int, sign binary"), "signed")
-    single = signed.groupBy("doc_id").agg(F.min(F.struct("set", "n")).alias("s")).select("doc_id", "s.*")
+    first = F.min(F.struct((F.col("n") == 0).alias("blank"), "set", "n"))
+    single = signed.groupBy("doc_id").agg(first.alias("s")).select("doc_id", "s.set", "s.n")
     single = stage(single, "documents")
     classes = stage(
         single.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes"
@@ -269,10 +271,24 @@ def _sorted(tiles: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id.
 
-    All columns stay. Rows without id stay, and so do texts without words; of rows
-    that repeat an id one stays.
+    All columns stay. Rows without id stay, and so do texts without words. Of rows that
+    repeat an id and its text one stays; different texts under one id are documents of
+    their own, judged each by its text.
     """
-    later = stage(join(docs).filter("doc_id <> class_id").select("doc_id"), "later")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    some, rest = split(without(docs, later), stage(repeated, "repeated"))
-    return rest.unionByName(some.dropDuplicates(["doc_id"]))
+    mark = F.xxhash64("text")
+    seen = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    repeated = stage(seen.filter("n > 1"), "repeated")
+    if repeated.filter("low <> high").isEmpty():
+        later = stage(join(docs).filter("doc_id <> class_id").select("doc_id"), "later")
+        some, rest = split(without(docs, later), repeated.select("doc_id"))
+        return rest.unionByName(some.dropDuplicates(["doc_id"]))
+    # (id, text) pairs get numbers of their own, in the order of the ids
+    texts = docs.filter("doc_id is not null").select("doc_id", mark.alias("mark"), "text")
+    units = stage(row_numbers(texts.select("doc_id", "mark").distinct(), [], [F.col("doc_id"), F.col("mark")], "unit"), "units")
+    numbered = texts.dropDuplicates(["doc_id", "mark"]).join(units, ["doc_id", "mark"])
+    later = join(numbered.select(F.col("unit").alias("doc_id"), "text")).filter("doc_id <> class_id").select(F.col("doc_id").alias("unit"))
+    ident, of = free(docs.columns, "id", "mark")
+    gone = stage(units.join(later, "unit").select(F.col("doc_id").alias(ident), F.col("mark").alias(of)), "later")
+    left = docs.join(gone, (F.col("doc_id") == F.col(ident)) & (mark == F.col(of)), "left_anti")
+    some, rest = split(left, repeated.select("doc_id"))
+    return rest.unionByName(some.dropDuplicates(["doc_id", "text"]))

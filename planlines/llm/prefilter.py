@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 25
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names with so many underscores in front that no column of ``taken`` has them (case does not matter)."""
+    mark = "_"
+    while any(c.lower().startswith(mark + "pf_") for c in taken):
+        mark += "_"
+    return [f"{mark}pf_{n}" for n in names]
+
+
 def split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` that may be among ``ids (doc_id)``, and rows that surely are not.
 
     A bitmap of hashed ids goes to all tasks; it has one size whatever the input.
     Once it fills up it lets more rows through, never fewer, and an exact join is to
-    follow on the first part. Rows without id are surely not among them.
+    follow on the first part. Rows without id are surely not among them. Columns of
+    ``docs`` may have any names.
     """
+    bucket, bits, spot, byte = free(docs.columns, "bucket", "bits", "spot", "byte")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_pf_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_pf_bits")
+    packed = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(bits)
     )
-    rows = docs.withColumn("_pf_bucket", F.bitmap_bucket_number(slot)).withColumn("_pf_spot", F.bitmap_bit_position(slot))
-    byte = F.conv(F.hex(F.expr("substring(_pf_bits, CAST(_pf_spot DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    rows = rows.join(F.broadcast(bits), "_pf_bucket", "left").withColumn("_pf_byte", byte)
-    maybe = F.coalesce(F.expr("shiftright(_pf_byte, CAST(_pf_spot % 8 AS INT)) & 1 = 1"), F.lit(False)) & F.col("doc_id").isNotNull()
+    rows = docs.withColumn(bucket, F.bitmap_bucket_number(slot)).withColumn(spot, F.bitmap_bit_position(slot))
+    value = F.conv(F.hex(F.expr(f"substring({bits}, CAST({spot} DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    rows = rows.join(F.broadcast(packed), bucket, "left").withColumn(byte, value)
+    maybe = F.coalesce(F.expr(f"shiftright({byte}, CAST({spot} % 8 AS INT)) & 1 = 1"), F.lit(False)) & F.col("doc_id").isNotNull()
     return rows.filter(maybe).select(*_columns(docs)), rows.filter(~maybe).select(*_columns(docs))
 
 

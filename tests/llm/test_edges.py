@@ -104,6 +104,26 @@ def test_forest(spark, docs, empty):
     assert left.filter("doc_id is null").count() == 2
 
 
+def test_repeated_ids_lose_no_text(spark):
+    rng_a, rng_b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, rng_a), (2, rng_a), (2, None), (5, rng_a), (5, rng_b), (5, rng_b), (7, rng_b), (None, rng_b), (9, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {r["doc_id"]: r["n_links"] for r in forest.join(docs).collect()}
+    assert links[1] >= 1 and links[2] >= 1  # the null row of 2 does not hide its text
+    got = Counter(tuple(r) for r in forest.dedup(docs).collect())
+    assert got == Counter([(1, rng_a), (2, None), (5, rng_b), (None, rng_b), (9, "c d e f g h")])
+
+
+def test_columns_of_any_name(spark, docs):
+    names = ["_pf_bits", "_pf_bucket", "_pf_spot", "_PF_byte", "_id", "_sha", "_kept", "_cut", "_text", "__pf_left"]
+    odd = docs.select("*", *[F.lit(f"v{i}").alias(n) for i, n in enumerate(names)])
+    for work in (anchors.dedup, forest.dedup, lambda d: latent.clean(d, items(spark)), lambda d: site_quality.keep(d, labels(spark))):
+        want, got = work(docs), work(odd)
+        assert got.columns == odd.columns
+        assert Counter(tuple(r) for r in got.drop(*names).collect()) == Counter(tuple(r) for r in want.collect())
+        assert {tuple(r) for r in got.select(*names).collect()} == {tuple(f"v{i}" for i in range(len(names)))}
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and mixing.mix(empty).count() == 0
