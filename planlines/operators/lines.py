@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planlines.functions import geometry as G
 from planlines.operators import spatial as S
 from planlines.operators.graph import connected_components
+from planlines.operators.ranking import percentiles
 from planlines.session import stage
 
 KEYS = ["image_id"]
@@ -218,3 +219,28 @@ def polyline_summary(chain_edges: DataFrame, vertices: DataFrame, keys: list[str
         (F.count("*") + 1).alias("n_points"), F.sum(F.sqrt(dx * dx + dy * dy)).alias("length"),
         F.bool_or("closed").alias("closed"), F.bool_or("cycle").alias("pure_cycle"),
     )
+
+
+def polyline_counts(edges: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``n_open, n_loops, n_polylines`` per group of keys, without walking a chain.
+
+    An open polyline has its two ends at vertices of another degree than 2, so half
+    their degree total counts them; a pure loop is a component in which every degree is 2.
+    """
+    edges = stage(edges, "links")
+    degree = stage(vertex_degree(edges, keys), "degrees")
+    n_open = degree.filter("degree <> 2").groupBy(*keys).agg((F.expr("sum(degree) div 2")).alias("n_open"))
+    nodes = degree.select(*keys, F.col("root").alias("n"))
+    comp = connected_components(nodes, edges.select(*keys, "u", "v"), keys).withColumnRenamed("n", "root")
+    even = degree.join(comp, [*keys, "root"]).groupBy(*keys, "component").agg(F.bool_and(F.col("degree") == 2).alias("loop"))
+    n_loops = even.groupBy(*keys).agg(F.count_if("loop").alias("n_loops"))
+    both = n_loops.join(n_open, keys, "left").na.fill(0)
+    return both.select(*keys, "n_open", "n_loops", (F.col("n_open") + F.col("n_loops")).alias("n_polylines"))
+
+
+def polyline_sizes(summary: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Polylines per group of keys and the least, median and greatest number of their points."""
+    ends = summary.groupBy(*keys).agg(
+        F.count("*").alias("n_polylines"), F.min("n_points").alias("min_points"), F.max("n_points").alias("max_points")
+    )
+    return ends.join(percentiles(summary, keys, "n_points", {"median_points": 0.5}), keys)

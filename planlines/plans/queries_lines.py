@@ -14,6 +14,7 @@ from planlines.plans.inputs import RADIUS, STRIDE, TILE, Inputs
 from planlines.plans.registry import query
 from planlines.session import scratch_path, stage
 from planlines.sources import annotations as A
+from planlines.sources import export_ranges as D
 from planlines.sources import rasters as P
 from planlines.sources import symbol_cache as C
 
@@ -43,6 +44,20 @@ def coco_scan(q: Inputs):
     return flat.join(images, "image_id")
 
 
+@query("coco_document_scan", """
+SELECT i.split, a.image_id, a.ann_id, a.category_id, CAST(CASE WHEN a.n_kps >= 6 THEN 6 ELSE 3 END AS INT) AS n_kps,
+       a.x1, a.y1, CASE WHEN a.n_kps >= 6 THEN a.x2 END AS x2, CASE WHEN a.n_kps >= 6 THEN a.y2 END AS y2,
+       i.file_name, i.width, i.height
+FROM annotations a JOIN images i USING (image_id)""")
+def coco_document_scan(q: Inputs):
+    """One export document for each split, under its own name, read in byte ranges by several tasks."""
+    root = scratch_path(q.spark, "exports")
+    ann = q.annotations.join(q.images.select("image_id", "split"), "image_id").withColumn("keypoints", F.expr(KEYPOINTS))
+    D.write_documents(q.images, ann, root)
+    images, annotations = D.read_documents(q.spark, root, range_bytes=8 << 10)
+    return A.flatten_keypoints(annotations).drop("v1", "v2", "split").join(images, "image_id")
+
+
 @query("chords", "SELECT image_id, chord_id, x1, y1, x2, y2, v1, v2, split FROM chords")
 def chords(q: Inputs):
     return q.chords
@@ -189,6 +204,41 @@ def radius_sweep(q: Inputs):
     return joined.select("radius", "image_id", "n_vertices", "n_edges", F.expr("open_ends div 2").alias("n_open_polylines"))
 
 
+@query("radius_sweep_loops", """
+WITH radii AS (SELECT UNNEST([0.0, 5.0, 10.0, 20.0, 40.0]::DOUBLE[]) AS radius),
+rnear AS (SELECT r.radius, a.image_id, a.end_id AS u, b.end_id AS v FROM radii r, ends a JOIN ends b ON a.image_id = b.image_id
+  WHERE r.radius > 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= r.radius * r.radius),
+rreach AS (SELECT r.radius, image_id, end_id AS u, end_id AS v FROM radii r, ends
+  UNION SELECT r.radius, r.image_id, r.u, p.v FROM rreach r JOIN rnear p ON p.radius = r.radius AND p.image_id = r.image_id AND p.u = r.v),
+cl AS (SELECT e.image_id, e.chord_id, r.radius, min(r.v) AS root FROM ends e JOIN rreach r ON r.image_id = e.image_id AND r.u = e.end_id
+  GROUP BY e.image_id, e.chord_id, e.end_id, r.radius),
+ed AS (SELECT DISTINCT radius, image_id, u, v FROM (SELECT radius, image_id, chord_id, min(root) AS u, max(root) AS v FROM cl GROUP BY radius, image_id, chord_id) WHERE u < v),
+sd AS (SELECT radius, image_id, u AS a, v AS b FROM ed UNION ALL SELECT radius, image_id, v, u FROM ed),
+dg AS (SELECT radius, image_id, a AS root, count(*) AS degree FROM sd GROUP BY radius, image_id, a),
+cr AS (SELECT radius, image_id, root AS u, root AS v FROM dg UNION SELECT c.radius, c.image_id, c.u, s.b FROM cr c JOIN sd s ON s.radius = c.radius AND s.image_id = c.image_id AND s.a = c.v),
+cc AS (SELECT radius, image_id, u AS root, min(v) AS comp FROM cr GROUP BY radius, image_id, u),
+lp AS (SELECT radius, image_id, count(*) AS n FROM (SELECT radius, image_id, comp FROM cc JOIN dg USING (radius, image_id, root) GROUP BY radius, image_id, comp HAVING bool_and(degree = 2)) GROUP BY radius, image_id),
+op AS (SELECT radius, image_id, CAST(sum(degree) FILTER (degree <> 2) AS BIGINT) // 2 AS n FROM dg GROUP BY radius, image_id),
+al AS (SELECT DISTINCT radius, image_id FROM cl)
+SELECT radius, image_id, coalesce(op.n, 0) AS n_open, coalesce(lp.n, 0) AS n_loops, coalesce(op.n, 0) + coalesce(lp.n, 0) AS n_polylines
+FROM al LEFT JOIN op USING (radius, image_id) LEFT JOIN lp USING (radius, image_id)""")
+def radius_sweep_loops(q: Inputs):
+    """All polylines by merge radius, pure loops with them, without walking any chain."""
+    radii = F.array(*[F.lit(r) for r in (0.0, 5.0, 10.0, 20.0, 40.0)])
+    keys = ["image_id", "radius"]
+    clusters = L.endpoint_clusters(q.ends.select("*", F.explode(radii).alias("radius")), "radius", keys)
+    counts = L.polyline_counts(L.merged_edges(clusters, keys), keys)
+    return clusters.select(*keys).distinct().join(counts, keys, "left").na.fill(0).select("radius", "image_id", "n_open", "n_loops", "n_polylines")
+
+
+@query("polyline_sizes", f"""
+WITH summary AS ({POLYLINES_SQL.format(where="").strip().replace("WITH ", "WITH RECURSIVE ", 1)})
+SELECT image_id, count(*) AS n_polylines, min(n_points) AS min_points, round(median(n_points), 6) AS median_points, max(n_points) AS max_points FROM summary GROUP BY image_id""")
+def polyline_sizes(q: Inputs):
+    """Points per polyline of each image."""
+    return L.polyline_sizes(_polyline_summary(q)).withColumn("median_points", r6("median_points"))
+
+
 # --- detections -------------------------------------------------------------
 
 RAW_SQL = """
