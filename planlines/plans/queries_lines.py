@@ -95,14 +95,11 @@ def first_n_images(q: Inputs):
 
 @query("missing_images", "SELECT image_id, split, file_name FROM images WHERE image_id % 7 = 2")
 def missing_images(q: Inputs):
-    """Image rows whose file is absent from the folder listing."""
+    """Image rows whose file is absent from the listing of the split folders, which tasks list."""
     path = scratch_path(q.spark, "files")
-    there = q.images.filter("image_id % 7 <> 2").select("file_name", F.lit("x").alias("value"))
-    there.write.partitionBy("file_name").text(path)
-    listed = P.list_files(q.spark, path).select(
-        F.regexp_extract("path", "file_name=([^/]*)", 1).alias("file_name")
-    )
-    return P.missing(q.images.select("image_id", "split", "file_name"), listed)
+    there = q.images.filter("image_id % 7 <> 2")
+    P.write_files(there.select(F.concat_ws("/", "split", "file_name").alias("name"), F.lit("x").cast("binary").alias("content")), path)
+    return P.missing(q.images.select("image_id", "split", "file_name"), P.walk_files(q.spark, path))
 
 
 # --- lines ------------------------------------------------------------------

@@ -766,7 +766,7 @@ SELECT split || '/' || regexp_replace(file_name, '\\.[^.]*$', '') || '.jpg' AS j
 FROM r WHERE image_id % 4 <> 1""")
 def result_manifest(q: Inputs):
     """A written report scanned back, keeping rows whose rendered file exists."""
-    from planlines.sources.rasters import list_files, stem
+    from planlines.sources.rasters import stem, walk_files, write_files
 
     base = q.images.withColumn("d", (F.col("image_id") * 37 % 21 - 10) / 10000.0)
     zero = F.lit(0)
@@ -777,8 +777,7 @@ def result_manifest(q: Inputs):
         "len_skel_ratio_before": F.lit("nan"), "len_skel_ratio_after": F.lit("nan"), "n_dropped": F.col("image_id") % 9, **ints}).select(*names)
     csv, folder = scratch_path(q.spark, "summary"), scratch_path(q.spark, "rendered")
     O.write_csv(report, csv)
-    there = q.images.filter("image_id % 4 <> 1").select("split", F.concat(stem(F.col("file_name")), F.lit(".jpg")).alias("jpg"), F.lit("x").alias("value"))
-    there.write.partitionBy("split", "jpg").text(folder)
-    listed = list_files(q.spark, folder).select(F.regexp_replace(F.regexp_replace(F.regexp_extract("path", "(split=.*)/[^/]*$", 1), "split=", ""), "jpg=", "").alias("path"))
-    out = O.result_manifest(q.spark, csv, listed)
+    jpg = F.concat_ws("/", "split", F.concat(stem(F.col("file_name")), F.lit(".jpg")))
+    write_files(q.images.filter("image_id % 4 <> 1").select(jpg.alias("name"), F.lit("x").cast("binary").alias("content")), folder)
+    out = O.result_manifest(q.spark, csv, walk_files(q.spark, folder))
     return out.select("jpg", "split", "image_id", "image_file", "dice_before", "dice_after", "dice_delta", "delta_class", "n_dropped")

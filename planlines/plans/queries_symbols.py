@@ -528,3 +528,25 @@ def stream_metrics(q: Inputs):
     S.running_overlap(q.spark, source, "run_id long, tp long, fp long, fn long", target, mark)
     out = S.read_running(q.spark, target)
     return out.withColumns({c: r6(c) for c in ("dice", "iou")})
+
+
+@query("stream_resets", """
+WITH c AS (SELECT image_id, count(*) FILTER (target = 1 AND logit >= 0) AS tp, count(*) FILTER (target = 0 AND logit >= 0) AS fp, count(*) FILTER (target = 1 AND logit < 0) AS fn FROM scored GROUP BY image_id),
+e AS (SELECT image_id % 3 AS run_id, image_id AS seq, CASE WHEN image_id % 7 = 4 THEN 'reset' ELSE 'update' END AS kind, tp, fp, fn FROM c),
+l AS (SELECT run_id, count(*) FILTER (kind = 'reset') AS resets, max(seq) FILTER (kind = 'reset') AS last FROM e GROUP BY run_id),
+s AS (SELECT run_id, any_value(resets) AS resets, count(*) FILTER (kind = 'update' AND seq > coalesce(last, -1)) AS updates,
+  CAST(coalesce(sum(tp) FILTER (kind = 'update' AND seq > coalesce(last, -1)), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp) FILTER (kind = 'update' AND seq > coalesce(last, -1)), 0) AS BIGINT) AS fp,
+  CAST(coalesce(sum(fn) FILTER (kind = 'update' AND seq > coalesce(last, -1)), 0) AS BIGINT) AS fn FROM e JOIN l USING (run_id) GROUP BY run_id)
+SELECT run_id, resets, updates, tp, fp, fn, round((2.0 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6), 6) AS dice FROM s""")
+def stream_resets(q: Inputs):
+    """Running sums over three micro-batches of events, cleared whenever a run is reset."""
+    source, target, mark = (scratch_path(q.spark, n) for n in ("events", "running", "offsets"))
+    kind = F.when(F.col("image_id") % 7 == 4, "reset").otherwise("update")
+    counts = E.confusion_counts(q.flags, ["image_id"]).select((F.col("image_id") % 3).alias("run_id"), F.col("image_id").alias("seq"), kind.alias("kind"), "tp", "fp", "fn")
+    events = stage(counts, "counts")
+    top = (events.agg(F.max("seq")).first()[0] or 0) + 1
+    for part in range(3):  # files arrive in the order of the events
+        mine = events.filter((F.col("seq") >= part * top // 3) & (F.col("seq") < (part + 1) * top // 3))
+        mine.coalesce(1).write.mode("append").parquet(source)
+    S.overlap_since_reset(q.spark, source, target, mark)
+    return S.read_since_reset(q.spark, target).withColumn("dice", r6("dice")).drop("n_batches")

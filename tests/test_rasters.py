@@ -221,3 +221,43 @@ def test_skeleton_endpoints_fallbacks(spark):
     assert sorted(got[1]) == [(5, 0), (5, 9)]
     assert got[2] == [(0, 0)]
     assert sorted(got[3]) == [(20, 20), (22, 22)]
+
+
+def test_thinning_runs_the_front_only(spark):
+    """A wide block settles late: its tiles and their neighbours go on, thin strokes elsewhere are carried."""
+    mask = np.zeros((400, 400), bool)
+    mask[10:14, 5:395] = True
+    mask[200:390, 200:280] = True
+    mask[30:380, 20:23] = True
+    rows = [(1, int(y), int(x)) for y, x in np.argwhere(mask)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int")
+    trace: list[int] = []
+    got = M.skeletonize(px, tile=40, halo=17, trace=trace)
+    want, settled = M.thin(mask, 1000)
+    assert settled and {(r["y"], r["x"]) for r in got.collect()} == set(map(tuple, np.argwhere(want).tolist()))
+    degree = {(r["y"], r["x"]): r["degree"] for r in got.collect()}
+    ring = sum(r.astype(int) for r in M._ring(want))
+    assert all(ring[y, x] == d for (y, x), d in degree.items())
+    assert len(trace) > 3 and trace[-1] == 0 and trace[0] < 20 and sorted(trace, reverse=True) == trace
+
+
+def test_tiles_thinned_as_samples_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    shape = (75, 90)
+    gt, pred = (np.zeros(shape, bool) for _ in range(2))
+    for m in (gt, pred):
+        for _ in range(9):
+            y, x = rng.integers(0, 60), rng.integers(0, 70)
+            m[y : y + rng.integers(2, 40), x : x + rng.integers(2, 8)] = True
+            m[y : y + 3, x : x + rng.integers(3, 50)] = True
+    frame = lambda m: spark.createDataFrame([(1, int(y), int(x)) for y, x in np.argwhere(m)], "image_id long, y int, x int")
+    images = spark.createDataFrame([(1, 90, 75)], "image_id long, width int, height int")
+    got = {(r["tile_row"], r["tile_col"]): tuple(r)[3:] for r in M.tile_skeletons(frame(gt), frame(pred), images, 32, 24).collect()}
+    want = {}
+    for row in (0, 24, 43):
+        for col in (0, 24, 48, 58):
+            g, p = gt[row : row + 32, col : col + 32], pred[row : row + 32, col : col + 32]
+            gs, ps = M.thin(g, 100)[0], M.thin(p, 100)[0]
+            if g.any() or p.any():
+                want[row, col] = tuple(int(v.sum()) for v in (g, p, g & p, gs, ps, ps & g, gs & p))
+    assert got == want

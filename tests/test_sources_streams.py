@@ -148,3 +148,31 @@ def test_cache_versions_switch_whole(spark):
     assert seen() == 5
     C.switch(spark, root, new)
     assert seen() == 9
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    from planlines.sources import rasters
+
+    names = ["a/b/1.jpg", "a/2.jpg", "3.jpg", "c/_hidden.json", "c/d/e/4 x.png"]
+    df = spark.createDataFrame([(n, b"xy") for n in names], "name string, content binary")
+    assert rasters.write_files(df, str(tmp_path)) == 5
+    (tmp_path / "none").mkdir()
+    got = rasters.walk_files(spark, str(tmp_path)).collect()
+    assert sorted(r["path"] for r in got) == sorted(f"{tmp_path}/{n}" for n in names)
+    assert {r["length"] for r in got} == {2} and {r["file_name"] for r in got} == {n.rsplit("/", 1)[-1] for n in names}
+    assert rasters.walk_files(spark, f"{tmp_path}/missing").count() == 0
+
+
+def test_stream_is_cleared_by_resets_and_goes_on_after_a_stop(spark, tmp_path):
+    source, target, mark = (f"{tmp_path}/{n}" for n in ("events", "out", "mark"))
+    put = lambda rows: spark.createDataFrame(rows, S.EVENT).coalesce(1).write.mode("append").parquet(source)
+    put([(1, 2, "update", 5, 1, 1), (1, 1, "update", 2, 0, 0), (2, 3, "update", 9, 9, 9)])
+    S.overlap_since_reset(spark, source, target, mark)
+    first = {r["run_id"]: r for r in S.read_since_reset(spark, target).collect()}
+    assert (first[1]["tp"], first[1]["updates"], first[1]["resets"]) == (7, 2, 0)
+    put([(1, 6, "update", 3, 1, 0), (1, 5, "reset", 0, 0, 0), (1, 4, "update", 100, 0, 0)])
+    put([(2, 7, "reset", 0, 0, 0), (2, 8, "reset", 0, 0, 0), (1, 9, "update", 1, 0, 2)])
+    S.overlap_since_reset(spark, source, target, mark)
+    got = {r["run_id"]: r for r in S.read_since_reset(spark, target).collect()}
+    assert [got[1][c] for c in ("tp", "fp", "fn", "updates", "resets", "n_batches")] == [4, 1, 2, 2, 1, 3]
+    assert [got[2][c] for c in ("tp", "fp", "fn", "updates", "resets", "n_batches")] == [0, 0, 0, 0, 2, 2]
