@@ -400,6 +400,24 @@ def detection_payload(q: Inputs):
     return C.detection_payload(q.detections, normalized, embedded, ["image_id"])
 
 
+@query("payload_lists", """
+SELECT image_id, count(*) OVER w AS num_raw_localizations, count(*) FILTER (ok) OVER w AS num_detections, det_id, x1, y1, x2, y2, conf, 64 AS embedding_dim
+FROM (SELECT *, x2 > x1 AND y2 > y1 AS ok FROM detections) WINDOW w AS (PARTITION BY image_id) QUALIFY ok""")
+def payload_lists(q: Inputs):
+    """Payload records with their lists, written as JSON and read back, one row for each detection."""
+    normalized = q.detections.filter("x2 > x1 and y2 > y1")
+    embedded = C.attach_embeddings(normalized, q.symbols.select(F.col("crop_id").alias("det_id"), "embedding"), "det_id", strict=True)
+    payload = C.detection_payload(q.detections, normalized, embedded, ["image_id"])
+    path = scratch_path(q.spark, "payload")
+    C.payload_records(payload, normalized, embedded, ["image_id"], "det_id", per_record=7).write.json(path)
+    schema = f"image_id long, block long, num_raw_localizations long, num_detections long, detections array<{C.DETECTION}>, classifications array<{C.CLASSIFICATION}>"
+    rows = q.spark.read.schema(schema).json(path)
+    dims = F.map_from_entries(F.transform("classifications", lambda c: F.struct(c["id"], c["embedding_dim"])))
+    out = rows.select("image_id", "num_raw_localizations", "num_detections", F.explode("detections").alias("d"), dims.alias("dims"))
+    return out.select("image_id", "num_raw_localizations", "num_detections", F.col("d.id").alias("det_id"), "d.x1", "d.y1", "d.x2", "d.y2", "d.conf",
+                      F.element_at("dims", F.col("d.id")).alias("embedding_dim"))
+
+
 @query("attach_embeddings", """
 SELECT det_id, image_id, conf, len(embedding) AS embedding_dim FROM detections d JOIN embeddings e ON e.vec_id = d.det_id""")
 def attach_embeddings(q: Inputs):

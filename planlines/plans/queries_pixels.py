@@ -96,10 +96,10 @@ o0 AS (SELECT *, max(h) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN
 
 
 @query("soft_open", OPEN_CTES + """
-SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(e * 1e6) AS BIGINT)) AS BIGINT) AS eroded, CAST(sum(CAST(round(o * 1e6) AS BIGINT) * (x + 1)) AS BIGINT) AS opened FROM o0 GROUP BY image_id, y""")
+SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(e * 1e6) AS BIGINT) * (x + 1)) AS BIGINT) AS eroded, CAST(sum(CAST(round(o * 1e6) AS BIGINT) * (x + 1)) AS BIGINT) AS opened FROM o0 GROUP BY image_id, y""")
 def soft_open(q: Inputs):
     dense = q.pixels.select(*AT, SC.sigmoid(F.col("logit")).alias("p"))
-    return row_digest(M.soft_open(dense, "p"), eroded=micro("eroded"), opened=micro("opened") * (F.col("x") + 1))
+    return row_digest(M.soft_open(dense, "p"), eroded=micro("eroded") * (F.col("x") + 1), opened=micro("opened") * (F.col("x") + 1))
 
 
 def _soft_skeleton_sql(source: str, column: str, iterations: int, p: str) -> str:
@@ -272,13 +272,13 @@ def sample_tiles(q: Inputs):
 # --- stitching and metrics --------------------------------------------------
 
 
-@query("stitch_tiles", "SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(p * 1e6) AS BIGINT)) AS BIGINT) AS p FROM prob GROUP BY image_id, y")
+@query("stitch_tiles", "SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(p * 1e6) AS BIGINT) * (x + 1)) AS BIGINT) AS p FROM prob GROUP BY image_id, y")
 def stitch_tiles(q: Inputs):
-    return row_digest(E.stitch(q.tile_scores), p=micro("p"))
+    return row_digest(E.stitch(q.tile_scores), p=micro("p") * (F.col("x") + 1))
 
 
 @query("score_tiles", """
-SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(p * 1e6) AS BIGINT)) AS BIGINT) AS p FROM (SELECT p.image_id, p.y, p.x, avg(1.0 / (1.0 + exp(-(2.0 * p.r - p.b) / 64.0))) AS p
+SELECT image_id, y, count(*) AS n, CAST(sum(CAST(round(p * 1e6) AS BIGINT) * (x + 1)) AS BIGINT) AS p FROM (SELECT p.image_id, p.y, p.x, avg(1.0 / (1.0 + exp(-(2.0 * p.r - p.b) / 64.0))) AS p
 FROM pixels p JOIN tiles t ON t.image_id = p.image_id AND p.y >= t.tile_row AND p.y < t.tile_row + 32 AND p.x >= t.tile_col AND p.x < t.tile_col + 32
 GROUP BY p.image_id, p.y, p.x) GROUP BY image_id, y""")
 def score_tiles(q: Inputs):
@@ -291,7 +291,7 @@ def score_tiles(q: Inputs):
         return (2.0 * red - blue) / 64.0
 
     scored = T.score_tiles(cells, TILE, model)
-    return row_digest(E.stitch(T.to_image(scored, q.images)), p=micro("p"))
+    return row_digest(E.stitch(T.to_image(scored, q.images)), p=micro("p") * (F.col("x") + 1))
 
 
 @query("pixel_confusion", """
@@ -440,6 +440,21 @@ def foreground_ratio(q: Inputs):
     return base.join(percentiles(per, ["split"], "ratio", {"median_ratio": 0.5}), "split").withColumn("median_ratio", r6("median_ratio"))
 
 
+@query("foreground_ratio_tiles", """
+WITH n AS (SELECT t.image_id, t.tile_row, t.tile_col, count(m.x) AS n FROM tiles t LEFT JOIN mask m ON m.image_id = t.image_id AND m.y >= t.tile_row AND m.y < t.tile_row + 32
+  AND m.x >= t.tile_col AND m.x < t.tile_col + 32 GROUP BY ALL),
+f AS (SELECT i.split, n / 1024 AS ratio FROM n JOIN images i USING (image_id))
+SELECT split, count(*) AS n, count(*) FILTER (ratio > 0) AS n_positive, round(median(ratio), 6) AS median_ratio, round(avg(ratio), 6) AS mean_ratio, round(max(ratio), 6) AS max_ratio FROM f GROUP BY split""")
+def foreground_ratio_tiles(q: Inputs):
+    """Share of line pixels in every tile, empty tiles too; cells past the image edge count as background."""
+    at = ["image_id", "tile_row", "tile_col"]
+    n = R.to_tiles(R.runs_to_pixels(q.runs), q.images, TILE, STRIDE).groupBy(*at).agg(F.count("*").alias("n"))
+    tiles = R.tile_grid(q.images, TILE, STRIDE).join(n, at, "left").join(q.images.select("image_id", "split"), "image_id")
+    per = stage(tiles.select("split", (F.coalesce("n", F.lit(0)) / (TILE * TILE)).alias("ratio")), "ratios")
+    base = per.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > 0).alias("n_positive"), r6(F.avg("ratio")).alias("mean_ratio"), r6(F.max("ratio")).alias("max_ratio"))
+    return base.join(percentiles(per, ["split"], "ratio", {"median_ratio": 0.5}), "split").withColumn("median_ratio", r6("median_ratio"))
+
+
 @query("failure_summary", METRIC_CTES + """,
 s AS (SELECT image_id, count(*) AS n_symbols FROM detections GROUP BY image_id)
 SELECT split, image_id, file_name AS image_file, printf('%.4f', dice) AS dice, gt_count, pred_count, tp, fp, fn, coalesce(n_symbols, 0) AS n_symbols FROM m LEFT JOIN s USING (image_id)""")

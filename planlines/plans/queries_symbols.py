@@ -504,6 +504,38 @@ def history_report(q: Inputs):
     return O.history_report(_history(q))
 
 
+#: Stand-ins for the series that the run table lacks: shares of the Dice by their place in the list.
+SERIES_SQL = ", ".join(
+    f"round({c}, 10) AS {c}" if c in O.METRICS else f"round(val_dice * {i + 1} / 16.0::DOUBLE, 10) AS {c}" for i, c in enumerate(O.SERIES)
+)
+
+
+def _series(q: Inputs) -> DataFrame:
+    """Histories with all their series, written as parallel arrays and scanned back."""
+    values = [F.round(F.col(c) if c in O.METRICS else F.col("val_dice") * (i + 1) / 16.0, 10).alias(c) for i, c in enumerate(O.SERIES)]
+    path = scratch_path(q.spark, "history")
+    O.write_histories(q.history.select("run_id", "epoch", *values), path, O.SERIES)
+    return O.read_histories(q.spark, path, O.SERIES)
+
+
+@query("history_series", f"""
+UNPIVOT (SELECT run_id, epoch, {SERIES_SQL} FROM run_history) ON {", ".join(O.SERIES)} INTO NAME series VALUE value""")
+def history_series(q: Inputs):
+    """One row for each run, epoch and series."""
+    return _series(q).unpivot(["run_id", "epoch"], O.SERIES, "series", "value")
+
+
+@query("history_report_series", f"""
+WITH h AS (SELECT run_id, epoch, {SERIES_SQL} FROM run_history),
+b AS (SELECT run_id, epoch AS best_epoch FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_dice DESC, epoch) AS k FROM h) WHERE k = 1),
+p AS (SELECT h.*, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS pos, count(*) OVER (PARTITION BY run_id) AS total FROM h)
+SELECT run_id, epoch, pos, {", ".join(O.SERIES)}, CASE WHEN epoch = best_epoch THEN 'BEST' ELSE '' END AS mark FROM p JOIN b USING (run_id)
+WHERE (pos - 1) % 5 = 0 OR epoch = best_epoch OR pos = total""")
+def history_report_series(q: Inputs):
+    """The run report with every series."""
+    return O.history_report(_series(q).drop("pos"), metrics=O.SERIES)
+
+
 # --- streams ----------------------------------------------------------------
 
 

@@ -46,6 +46,12 @@ def delta_class(v: Column) -> Column:
 # --- run histories ----------------------------------------------------------
 
 METRICS = ["val_dice", "val_iou", "val_total"]
+#: The series of a run history.
+SERIES = [
+    "train_total", "train_dice_loss", "val_total", "val_dice_loss", "val_dice", "val_iou", "val_cldice",
+    "val_length_ratio_pixel_mean", "val_length_ratio_pixel_median", "val_length_ratio_pixel_p25", "val_length_ratio_pixel_p75",
+    "val_length_ratio_skel_mean", "val_length_ratio_skel_median", "val_length_ratio_skel_p25", "val_length_ratio_skel_p75", "lr",
+]
 
 
 def write_histories(long: DataFrame, path: str, metrics: list[str] = METRICS) -> None:
@@ -90,7 +96,7 @@ def improved_epochs(history: DataFrame, metric: str = "val_dice") -> DataFrame:
     return joined.select("run_id", "epoch", metric, F.greatest("top", F.lit(-1.0)).alias("best_so_far"), improved.alias("improved"))
 
 
-def history_report(history: DataFrame, every: int = 5, metric: str = "val_dice") -> DataFrame:
+def history_report(history: DataFrame, every: int = 5, metric: str = "val_dice", metrics: list[str] = METRICS) -> DataFrame:
     """Every ``every``-th epoch of a run, its best and its last, with a mark on the best."""
     one = history.withColumn("_one", F.lit(1).cast("long"))
     placed = running(one, ["run_id"], [F.col("epoch")], {"pos": ("sum", "_one")})
@@ -98,5 +104,5 @@ def history_report(history: DataFrame, every: int = 5, metric: str = "val_dice")
     is_best = F.col("epoch") == F.col("best_epoch")
     shown = ((F.col("pos") - 1) % every == 0) | is_best | (F.col("pos") == F.col("pos_total"))
     return joined.filter(shown).select(
-        "run_id", "epoch", "pos", *[c for c in METRICS], F.when(is_best, "BEST").otherwise("").alias("mark")
+        "run_id", "epoch", "pos", *metrics, F.when(is_best, "BEST").otherwise("").alias("mark")
     )

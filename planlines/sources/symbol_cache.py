@@ -121,6 +121,31 @@ def detection_payload(raw: DataFrame, normalized: DataFrame, embedded: DataFrame
     return df.select(*keys, "num_raw_localizations", "num_detections", shape.alias("embedding_shape"))
 
 
+DETECTION = "struct<id:bigint,x1:double,y1:double,x2:double,y2:double,conf:double>"
+CLASSIFICATION = "struct<id:bigint,embedding_dim:int>"
+
+
+def payload_records(payload: DataFrame, normalized: DataFrame, embedded: DataFrame, keys: list[str], ident: str, per_record: int = MAX_SYMBOLS) -> DataFrame:
+    """The payload with its lists: ``keys, block``, the counts, ``detections`` and ``classifications`` in the order of their ids.
+
+    A record holds at most about ``per_record`` detections, so an image with more has
+    several blocks, each with the image's counts; an image without detections has one.
+    """
+    dims = embedded.select(*keys, ident, "embedding_dim")
+    joined = normalized.join(dims, [*keys, ident], "left").join(stage(payload.select(*keys, "num_detections"), "counts"), keys)
+    blocked = joined.withColumn("block", F.pmod(F.xxhash64(ident), F.ceil(F.col("num_detections") / per_record)))
+    detection = F.struct(F.col(ident).alias("id"), "x1", "y1", "x2", "y2", "conf")
+    known = F.when(F.col("embedding_dim").isNotNull(), F.struct(F.col(ident).alias("id"), "embedding_dim"))
+    lists = blocked.groupBy(*keys, "block").agg(
+        F.array_sort(F.collect_list(detection)).alias("detections"), F.array_sort(F.collect_list(known)).alias("classifications")
+    )
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return payload.join(lists, keys, "left").withColumns({
+        "block": F.coalesce("block", F.lit(0).cast("long")), "detections": F.coalesce("detections", none(DETECTION)),
+        "classifications": F.coalesce("classifications", none(CLASSIFICATION)),
+    })
+
+
 def write_payload(payload: DataFrame, normalized: DataFrame, embedded: DataFrame, path: str) -> None:
     """The payload as JSON, detections and embeddings as Parquet columns beside it."""
     payload.write.json(f"{path}/payload")
