@@ -73,7 +73,9 @@ def mask_components(q: Inputs):
     )
 
 
-@query("skeleton")
+@query("skeleton", """
+SELECT a.image_id, a.y, a.x, CAST(count(b.x) AS INT) AS degree FROM lean a LEFT JOIN lean b ON b.image_id = a.image_id AND b.kind = 0 AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1
+  AND (b.y <> a.y OR b.x <> a.x) WHERE a.kind = 0 GROUP BY a.image_id, a.y, a.x""")
 def skeleton(q: Inputs):
     """Centrelines of the line mask with the number of neighbours of each pixel."""
     return M.skeletonize(q.mask)
@@ -355,7 +357,12 @@ def iou(q: Inputs):
     return _pooled(q).select("over", "split", "inter", "n_union", r6("iou").alias("iou"))
 
 
-@query("cldice")
+@query("cldice", """
+WITH s AS (SELECT split, count(*) FILTER (kind = 1 AND g.x IS NOT NULL) AS pred_skel_in_gt, count(*) FILTER (kind = 1) AS pred_skel, count(*) FILTER (kind = 0 AND p.x IS NOT NULL) AS gt_skel_in_pred,
+  count(*) FILTER (kind = 0) AS gt_skel FROM lean l JOIN images i USING (image_id) LEFT JOIN mask g ON g.image_id = l.image_id AND g.y = l.y AND g.x = l.x
+  LEFT JOIN pred p ON p.image_id = l.image_id AND p.y = l.y AND p.x = l.x GROUP BY split),
+r AS (SELECT *, pred_skel_in_gt / (pred_skel + 1e-6) AS a, gt_skel_in_pred / (gt_skel + 1e-6) AS b FROM s)
+SELECT split, pred_skel_in_gt, pred_skel, gt_skel_in_pred, gt_skel, round(2.0 * a * b / (a + b + 1e-6), 6) AS cldice FROM r""")
 def cldice(q: Inputs):
     """Pooled centreline Dice per split, on thinned masks."""
     gt, pred = stage(q.mask, "gt"), stage(q.pred, "pred")
@@ -412,7 +419,12 @@ def length_ratio_pixel(q: Inputs):
     return out.withColumns({c: r6(c) for c in ("mean", "median", "p25", "p75")})
 
 
-@query("length_ratio_skel")
+@query("length_ratio_skel", """
+WITH c AS (SELECT t.image_id, t.tile_row, t.tile_col, count(*) FILTER (kind = 0) AS n_gt, count(*) FILTER (kind = 1) AS n_pred FROM lean l JOIN tiles t ON t.image_id = l.image_id
+  AND l.y >= t.tile_row AND l.y < t.tile_row + 32 AND l.x >= t.tile_col AND l.x < t.tile_col + 32 GROUP BY ALL),
+r AS (SELECT split, n_pred / (n_gt + 1e-6) AS ratio FROM c JOIN images USING (image_id) WHERE n_gt >= 1)
+SELECT split, count(*) AS n_samples, round(avg(ratio), 6) AS mean, round(median(ratio), 6) AS median, round(quantile_cont(ratio, 0.25), 6) AS p25, round(quantile_cont(ratio, 0.75), 6) AS p75
+FROM r GROUP BY split""")
 def length_ratio_skel(q: Inputs):
     """Skeleton length ratio per tile, thinning whole images once."""
     gs, ps = M.skeletonize(q.mask).select(*AT), M.skeletonize(q.pred).select(*AT)
@@ -463,7 +475,12 @@ def failure_summary(q: Inputs):
     return _failures(q, None)
 
 
-@query("failure_report")
+@query("failure_report", METRIC_CTES + """,
+s AS (SELECT image_id, count(*) AS n_symbols FROM detections GROUP BY image_id),
+k AS (SELECT image_id, count(*) FILTER (kind = 0) AS gt_skel, count(*) FILTER (kind = 1) AS pred_skel FROM lean GROUP BY image_id)
+SELECT split, image_id, file_name AS image_file, printf('%.4f', dice) AS dice, CASE WHEN coalesce(gt_skel, 0) > 0 THEN printf('%.4f', coalesce(pred_skel, 0) / gt_skel) ELSE 'nan' END AS len_skel_ratio,
+  gt_count, pred_count, coalesce(gt_skel, 0) AS gt_skel, coalesce(pred_skel, 0) AS pred_skel, tp, fp, fn, coalesce(n_symbols, 0) AS n_symbols
+FROM m LEFT JOIN s USING (image_id) LEFT JOIN k USING (image_id)""")
 def failure_report(q: Inputs):
     """The full failure report, written as CSV and scanned back."""
     path = scratch_path(q.spark, "failures")

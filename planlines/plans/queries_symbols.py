@@ -18,6 +18,7 @@ from planlines.plans.registry import SQL, query
 from planlines.session import scratch_path, stage
 from planlines.sources import reports as O
 from planlines.sources import symbol_cache as C
+from planlines.sources.rasters import stem
 from planlines.streaming import ingest as S
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -444,9 +445,11 @@ WHERE i.split IN ('train', 'valid') AND l.near_gt IS NOT NULL""")
 def symbol_scan(q: Inputs):
     """Records written per split, scanned back for two splits, keeping known labels."""
     path = scratch_path(q.spark, "cache")
-    C.write_cache(_cache_rows(q), path)
+    C.write_cache(_cache_rows(q).withColumn("image", F.concat(stem(F.col("image")), F.lit(".json"))), path)
     rows = C.training_symbols(C.read_cache(q.spark, path, ["train", "valid"]))
-    known = rows.join(q.images.select("split", F.col("file_name").alias("image"), "image_id"), ["split", "image"])
+    # records and images meet by stem: a record's image may have another suffix
+    names = q.images.select("split", stem(F.col("file_name")).alias("stem"), "image_id")
+    known = rows.withColumn("stem", stem(F.col("image"))).join(names, ["split", "stem"])
     return known.select("split", "image_id", F.col("id").cast("long").alias("crop_id"), *BOX, "conf", F.size("embedding").cast("long").alias("dim"), "near_gt")
 
 

@@ -40,8 +40,8 @@ FROM {mask} m JOIN images i USING (image_id),
 WHERE m.y + k.dy >= 0 AND m.y + k.dy < i.height AND m.x + o.dx >= 0 AND m.x + o.dx < i.width"""
 
 
-def _thin_pass(rows: str, first: bool) -> str:
-    """One sub-round of thinning on a list of 32-bit rows, every cell of a row at once.
+def _thin_pass(rows: str, first: bool, columns: bool = False) -> str:
+    """One sub-round of thinning on a list of rows as bits (or of ``columns``), every cell of one at once.
 
     Of eight neighbour bits, ``more`` marks cells with at least two of them set; the
     same on the complements says at least two are empty, that is at most six are set.
@@ -60,14 +60,17 @@ def _thin_pass(rows: str, first: bool) -> str:
     triples = [("n", "e", "s"), ("e", "s", "w")] if first else [("n", "e", "w"), ("n", "s", "w")]
     sides = " & ".join(f"(~(r.{a} & r.{b} & r.{c}))" for a, b, c in triples)
     lone = ("((r.e & r.s & r.se) & ~((r.u << 1) | r.u | (r.u >> 1) | (r.u >> 2) | (r.dd << 1) | r.dd | (r.dd >> 1) | (r.dd >> 2)"
-            " | (r.c << 1) | (r.c >> 2) | (r.s << 1) | (r.s >> 2)))")
+            " | (r.c << 1) | (r.c >> 2) | (r.d << 1) | (r.d >> 2)))")
     gone = f"{more(bits)} & {more(holes)} & {some(rises)} & (~{more(rises)}) & {sides} & (~{lone})"
-    row = f"coalesce({rows}[%s], 0)"
-    u, c, d, dd = (row % at for at in ("i - 1", "i", "i + 1", "i + 2"))
-    west = lambda v: f"(({v} << 1) & 4294967295)"
-    cells = (f"{{'c': {c}, 'u': {u}, 'dd': {dd}, 'n': {u}, 'ne': {u} >> 1, 'e': {c} >> 1, 'se': {d} >> 1, 's': {d}, "
-             f"'sw': {west(d)}, 'w': {west(c)}, 'nw': {west(u)}}}")
-    return f"list_transform(list_transform(range(1, 33), lambda i: {cells}), lambda r: r.c & ~({gone}))"
+    at = f"coalesce({rows}[%s], 0)"
+    u, c, d, dd = (at % i for i in ("i - 1", "i", "i + 1", "i + 2"))
+    if columns:  # u and d are the columns to the west and east, bit y of a column is row y
+        around = {"n": f"{c} << 1", "ne": f"{d} << 1", "e": d, "se": f"{d} >> 1", "s": f"{c} >> 1", "sw": f"{u} >> 1", "w": u, "nw": f"{u} << 1"}
+    else:
+        west = lambda v: f"(({v} << 1) & 4294967295)"
+        around = {"n": u, "ne": f"{u} >> 1", "e": f"{c} >> 1", "se": f"{d} >> 1", "s": d, "sw": west(d), "w": west(c), "nw": west(u)}
+    cells = ", ".join(f"'{k}': {v}" for k, v in {"c": c, "u": u, "d": d, "dd": dd, **around}.items())
+    return f"list_transform(list_transform(range(1, len({rows}) + 1), lambda i: {{{cells}}}), lambda r: r.c & ~({gone}))"
 
 
 def thin_sql(name: str, source: str) -> dict[str, str]:
@@ -88,6 +91,25 @@ UNION ALL SELECT {at}, CASE WHEN k % 2 = 0 THEN half ELSE old END,
     }
 
 
+def image_thin_sql(name: str, source: str) -> dict[str, str]:
+    """Whole images of at most 120 rows thinned: the pixels ``{name} (image_id, kind, y, x)`` that are left.
+
+    ``source``: pixels ``(image_id, y, x, kind)``. An image is a list of its columns, bit y of a
+    column its row y.
+    """
+    at = "image_id, kind"
+    return {
+        f"{name}_columns": f"""SELECT {at}, list_transform(range(0, w + 1), lambda x: coalesce(list_filter(l, lambda e: e.x = x)[1].b, 0::HUGEINT)) AS m
+FROM (SELECT {at}, max(x) AS w, list({{'x': x, 'b': b}}) AS l FROM (SELECT {at}, x, CAST(sum(1::HUGEINT << y) AS HUGEINT) AS b FROM ({source}) GROUP BY {at}, x) GROUP BY {at})""",
+        f"{name}_half": f"""SELECT {at}, m AS old, m AS half, 0 AS k, false AS settled FROM {name}_columns
+UNION ALL SELECT {at}, CASE WHEN k % 2 = 0 THEN half ELSE old END,
+  CASE WHEN k % 2 = 0 THEN {_thin_pass("half", True, True)} ELSE {_thin_pass("half", False, True)} END, k + 1,
+  k % 2 = 1 AND old = {_thin_pass("half", False, True)} FROM {name}_half WHERE NOT settled""",
+        name: f"""SELECT image_id, kind, CAST(y.y AS INT) AS y, CAST(x.x AS INT) AS x FROM {name}_half, UNNEST(range(0, len(half))) AS x(x), UNNEST(range(0, 120)) AS y(y)
+WHERE settled AND (half[x.x + 1] >> y.y) & 1 = 1""",
+    }
+
+
 def tile_counts_sql(name: str) -> str:
     """Counts of both masks (kind 0 and 1) and their skeletons, one row for each tile."""
     bits = lambda e: f"CAST(list_sum(list_transform(range(1, 33), lambda y: bit_count({e}))) AS BIGINT)"
@@ -159,6 +181,7 @@ FROM scored s JOIN tiles t ON t.image_id = s.image_id AND s.y >= t.tile_row AND
 FROM (SELECT image_id, y, x, 0 AS kind FROM mask UNION ALL SELECT image_id, y, x, 1 FROM pred) m JOIN tiles t
   ON t.image_id = m.image_id AND m.y >= t.tile_row AND m.y < t.tile_row + 32 AND m.x >= t.tile_col AND m.x < t.tile_col + 32"""),
     "thin_counts": tile_counts_sql("thinned"),
+    **image_thin_sql("lean", "SELECT image_id, y, x, 0 AS kind FROM mask UNION ALL SELECT image_id, y, x, 1 FROM pred"),
     **thin_sql("thinner", """SELECT image_id, tile_row, tile_col, y - tile_row AS ly, x - tile_col AS lx, kind FROM tile_scores,
   UNNEST([0, 1]) AS u(kind) WHERE CASE WHEN kind = 0 THEN target = 1 ELSE logit >= 0 END"""),
     "thinner_counts": tile_counts_sql("thinner"),
