@@ -770,7 +770,20 @@ def filter_summary(q: Inputs):
     return _filter_summary(q, _known_lines(q), pred, given_filter(q))
 
 
-@query("filter_evaluation")
+@query("filter_evaluation", """
+WITH c AS (SELECT i.image_id, coalesce(a.n, 0) AS gt, coalesce(b.n, 0) AS pb, coalesce(d.n, 0) AS tb, coalesce(e.n, 0) AS pa, coalesce(f.n, 0) AS ta, coalesce(k.g, 0) AS sg, coalesce(k.p, 0) AS sb, coalesce(l.n, 0) AS sa FROM images i
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM mask GROUP BY image_id) a USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n FROM pred GROUP BY image_id) b USING (image_id)
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM mask JOIN pred USING (image_id, y, x) GROUP BY image_id) d USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n FROM efilt GROUP BY image_id) e USING (image_id)
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM mask JOIN efilt USING (image_id, y, x) GROUP BY image_id) f USING (image_id)
+  LEFT JOIN (SELECT image_id, count(*) FILTER (kind = 0) AS g, count(*) FILTER (kind = 1) AS p FROM lean GROUP BY image_id) k USING (image_id)
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM leaner GROUP BY image_id) l USING (image_id)),
+m AS (SELECT *, (2.0 * tb + 1e-6) / (gt + pb + 1e-6) AS db, (2.0 * ta + 1e-6) / (gt + pa + 1e-6) AS da FROM c),
+s AS (SELECT image_id, count(*) AS n_symbols, count(*) FILTER (p >= 0.85) AS n_sym_irr, count(*) FILTER (p <= 0.15) AS n_sym_call FROM linear GROUP BY image_id)
+SELECT i.split, i.image_id, i.file_name AS image_file, printf('%.4f', db) AS dice_before, printf('%.4f', da) AS dice_after, printf('%+.4f', da - db) AS dice_delta,
+  CASE WHEN sg > 0 THEN printf('%.4f', sb / sg) ELSE 'nan' END AS len_skel_ratio_before, CASE WHEN sg > 0 THEN printf('%.4f', sa / sg) ELSE 'nan' END AS len_skel_ratio_after,
+  pb - tb AS fp_before, pa - ta AS fp_after, (pb - tb) - (pa - ta) AS fp_dropped, gt - tb AS fn_before, gt - ta AS fn_after, tb - ta AS fn_added, n_components, n_dropped, pixels_dropped,
+  coalesce(n_symbols, 0) AS n_symbols, coalesce(n_sym_irr, 0) AS n_sym_irr, coalesce(n_sym_call, 0) AS n_sym_call
+FROM images i JOIN m USING (image_id) JOIN ereport USING (image_id) LEFT JOIN s USING (image_id)""")
 def filter_evaluation(q: Inputs):
     """The whole before/after evaluation of predicted masks, thinning them for skeletons."""
     gt, pred = stage(q.mask, "gt"), stage(q.pred, "pred")

@@ -290,6 +290,22 @@ LEFT JOIN (SELECT p.image_id, count(*) AS n FROM fpred p JOIN fdec q ON q.image_
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 
 
+def filter_of_predictions() -> dict[str, str]:
+    """The symbol filter's relations (f...) once more for the predicted mask (e...), with thinned skeletons and its own limits."""
+    names = {n: f"e{n[1:]}" for n in RELATIONS if n.startswith(("fgrown", "fcomp", "fpred", "fskel", "fstat", "ffar", "fends", "fdec", "ffilt", "freport"))}
+    words = {**names, "mask": "pred", "centreline": "lean_pred"}
+    texts = {}
+    for old, new in names.items():
+        text = _WORD.sub(lambda m: words.get(m.group(), m.group()), RELATIONS[old])
+        texts[new] = text.replace("skel_len >= 30", "skel_len >= 150").replace("max_p <= 0.15", "max_p <= 0.05")
+    return {
+        "lean_pred": "SELECT image_id, y, x FROM lean WHERE kind = 1", **texts, **image_thin_sql("leaner", "SELECT image_id, y, x, 0 AS kind FROM efilt"),
+    }
+
+
+RELATIONS |= filter_of_predictions()
+
+
 def with_relations(body: str) -> str:
     """Prefix ``body`` with the relations it uses, dependencies first."""
     order: list[str] = []
