@@ -16,6 +16,7 @@ QUICK = [
     "inner_box", "near_line", "near_line_v1", "near_line_v2", "tile_grid", "positive_tiles", "gt_mask", "dilate", "tile_pixels",
     "augment_tiles", "stitch_tiles", "image_metrics", "dice", "length_ratio_pixel", "channel_stats", "bce_dice", "lovasz_hinge",
     "symbol_features", "score_linear", "relabel_audit", "roc_auc", "pr_at_targets", "pending_images", "history_report", "stream_ingest",
+    "coco_document_scan", "skeleton", "eval_report", "radius_sweep_loops", "stream_resets", "payload_lists",
 ]
 NAMES = list(entry.queries()) if os.environ.get("PLANLINES_FULL") else QUICK
 
