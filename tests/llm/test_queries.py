@@ -33,7 +33,7 @@ def test_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert "pipeline" in QUERIES
 
