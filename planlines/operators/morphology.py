@@ -327,7 +327,7 @@ def skeleton_endpoints(skeleton: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.sum((F.col("degree") == 1).cast("int")).alias("n_ends"),
         (F.sum("y") / F.count("*")).alias("cy"), (F.sum("x") / F.count("*")).alias("cx"),
     )
-    closed = skeleton.join(stats.filter("n_ends = 0"), keys)
+    closed = skeleton.join(stage(stats.filter("n_ends = 0"), "closed"), keys)
 
     def farthest(df: DataFrame, cy, cx) -> DataFrame:
         far = (F.col("y") - cy) * (F.col("y") - cy) + (F.col("x") - cx) * (F.col("x") - cx)
