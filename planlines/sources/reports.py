@@ -17,13 +17,19 @@ MANIFEST = (
 )
 
 
+def _even_ties(value: Column) -> Column:
+    """Values that lie exactly between two numbers of four decimals (odd multiples of 1/32) go to the even one before they are printed."""
+    v = value.cast("double")
+    return F.when(F.abs(v) * 32 % 2 == 1, F.bround(v, 4)).otherwise(v)
+
+
 def fixed4(value: Column) -> Column:
     """Four decimals; an undefined value prints as nan."""
-    return F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%.4f", value.cast("double")))
+    return F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%.4f", _even_ties(value)))
 
 
 def signed4(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%+.4f", value.cast("double")))
+    return F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%+.4f", _even_ties(value)))
 
 
 def write_csv(df: DataFrame, path: str, partition: str | None = None) -> None:
