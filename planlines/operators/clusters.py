@@ -3,7 +3,8 @@
 All restarts and all K advance together: a round is one pass in which every row
 meets the packed centroids of every fit that still moves, so ten restarts of five K
 cost as many passes as the slowest of them, not their sum. Tasks return one sum for
-each (fit, cluster); the driver holds centroids only.
+each (fit, cluster); the driver holds centroids only. Copies of a vector are one row
+with a weight, so passes and pairs cost what the distinct vectors cost.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ K_CANDIDATES = [15, 20, 30, 40, 50]
 
 #: Rounds of the start, and rows each draws for a fit as a multiple of its K.
 START_ROUNDS, START_FACTOR = 3, 2
-#: Rows that a task multiplies at a time, and rows of a silhouette block.
-SLAB, BLOCK = 4096, 256
+#: Rows that a task multiplies at a time, and scored rows that a silhouette tile holds.
+SLAB, TILE_ROWS = 4096, 32768
 
 
 @dataclass
@@ -101,6 +102,17 @@ def packed_rows(df: DataFrame, vector: str, *keep: str) -> DataFrame:
     return stage(known.select(*keep, F.col(vector).cast("array<double>").alias("unit"), F.xxhash64(vector).alias("key")), "vectors")
 
 
+def collapsed(rows: DataFrame, *labels: str) -> DataFrame:
+    """``unit, key, weight`` and the ``labels`` of ``packed_rows``: copies become one row with their number, written out.
+
+    Rows that carry a weight already keep it, unless labels are asked for.
+    """
+    if "weight" in rows.columns and not labels:
+        return rows
+    weight = F.sum("weight") if "weight" in rows.columns else F.count("*")
+    return stage(rows.groupBy("unit", "key", *labels).agg(weight.cast("double").alias("weight")), "distinct")
+
+
 def unit_embeddings(symbols: DataFrame, *keep: str) -> DataFrame:
     """``packed_rows`` of the symbols' unit embeddings with the columns ``keep``."""
     return packed_rows(symbols.select(*keep, l2_normalize(F.col("embedding")).alias("v")), "v", *keep)
@@ -118,20 +130,20 @@ def cluster_symbols(symbols: DataFrame, k: int = 30, inits: int = 10) -> DataFra
 def _drawn(rows: DataFrame, sets: list[np.ndarray], most: list[int], turn: int) -> list[np.ndarray]:
     """For each set ``most`` rows, drawn with weights by the squared distance to its nearest centroid.
 
-    Every row draws an exponential waiting time with its distance as the rate; the
-    shortest times of all are a weighted sample, so a task keeps ``most`` rows and
+    Every row draws an exponential waiting time with its distance times its weight as the
+    rate (the first of its copies' times); the shortest times of all are a weighted sample, so a task keeps ``most`` rows and
     the sample has its size in one pass. A set without centroids weighs all alike.
     """
     send = rows.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.empty(0), None) for _ in send.value]
-        for unit, key in _slabs(batches, "unit", "key"):
-            x, key = _matrix(unit), key.to_numpy(zero_copy_only=False)
+        for unit, key, weight in _slabs(batches, "unit", "key", "weight"):
+            x, key, weight = _matrix(unit), key.to_numpy(zero_copy_only=False), weight.to_numpy(zero_copy_only=False)
             for f, centres in enumerate(send.value):
                 far = _distances(x, centres).min(axis=1) if len(centres) else np.ones(len(x))
                 with np.errstate(divide="ignore"):
-                    wait = -np.log(_uniform(key, turn * 100003 + f)) / far
+                    wait = -np.log(_uniform(key, turn * 100003 + f)) / (far * weight)
                 wait[far <= 1e-18] = np.inf
                 old, kept = held[f]
                 wait, all_x = np.concatenate([old, wait]), x if kept is None else np.concatenate([kept, x])
@@ -170,6 +182,7 @@ def _spread(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.nda
 
 def starts(rows: DataFrame, wanted: list[tuple[int, int]]) -> list[np.ndarray]:
     """Start centroids for each (k, seed), all drawn in the same START_ROUNDS + 2 passes."""
+    rows = collapsed(rows)
     sets = _drawn(rows, [np.empty((0, 0))] * len(wanted), [1] * len(wanted), wanted[0][1])
     if not len(sets[0]):
         return sets
@@ -181,7 +194,7 @@ def starts(rows: DataFrame, wanted: list[tuple[int, int]]) -> list[np.ndarray]:
 
 
 def advance(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """For each set of centroids: vector sum and number of the rows nearest to each, and the cost. One pass for all sets."""
+    """For each set of centroids: vector sum and number of the ``collapsed`` rows nearest to each, and the cost. One pass for all sets."""
     send = rows.sparkSession.sparkContext.broadcast(sets)
 
     def work(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
@@ -189,15 +202,15 @@ def advance(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.
         packed = np.concatenate([send.value[f] for f in order])
         ends = np.cumsum([len(send.value[f]) for f in order])
         sums, counts, cost = np.zeros_like(packed), np.zeros(len(packed)), np.zeros(len(order))
-        for (unit,) in _slabs(batches, "unit"):
-            x = _matrix(unit)
+        for unit, weight in _slabs(batches, "unit", "weight"):
+            x, weight = _matrix(unit), weight.to_numpy(zero_copy_only=False)
             far = _distances(x, packed)
             for at, b in enumerate(ends):
                 a = ends[at - 1] if at else 0
                 near = far[:, a:b].argmin(axis=1)
-                cost[at] += far[np.arange(len(x)), a + near].sum()
+                cost[at] += weight @ far[np.arange(len(x)), a + near]
                 mine = np.zeros((len(x), b - a))
-                mine[np.arange(len(x)), near] = 1.0
+                mine[np.arange(len(x)), near] = weight
                 sums[a:b] += mine.T @ x
                 counts[a:b] += mine.sum(axis=0)
         return {f: np.append(np.column_stack([sums[b - len(send.value[f]) : b], counts[b - len(send.value[f]) : b]]).ravel(), cost[at])
@@ -215,9 +228,9 @@ def advance(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.
 def _mean_variance(rows: DataFrame) -> float:
     def work(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total = None
-        for (unit,) in _slabs(batches, "unit"):
-            x = _matrix(unit)
-            one = np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]])
+        for unit, weight in _slabs(batches, "unit", "weight"):
+            x, weight = _matrix(unit), weight.to_numpy(zero_copy_only=False)
+            one = np.concatenate([weight @ x, weight @ (x * x), [weight.sum()]])
             total = one if total is None else total + one
         return {} if total is None else {0: total}
 
@@ -234,6 +247,7 @@ def lloyd(rows: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
     A cluster that loses all rows keeps its centroid. Costs and counts are those of
     the final centroids. Fits that reach ``max_iter`` give a warning.
     """
+    rows = collapsed(rows)
     limit = tol * _mean_variance(rows)
     moving = {i: f for i, f in enumerate(fits) if len(f.centres)}
     while moving:
@@ -248,12 +262,13 @@ def lloyd(rows: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
         warnings.warn(f"k-means stopped after {max_iter} rounds without settling", stacklevel=2)
     known = {i: f.centres for i, f in enumerate(fits) if len(f.centres)}
     for i, (_, counts, cost) in (advance(rows, known) if known else {}).items():
-        fits[i].counts, fits[i].cost = counts.astype(np.int64), cost
+        fits[i].counts, fits[i].cost = np.rint(counts).astype(np.int64), cost
     return fits
 
 
 def fit_all(rows: DataFrame, ks: list[int], inits: int = 10, seed: int = 0, max_iter: int = 300, tol: float = 1e-4) -> list[Fit]:
     """``inits`` fits for each of ``ks`` over ``rows (unit, key)`` of ``packed_rows``; without rows they have no centroids."""
+    rows = collapsed(rows)
     wanted = [(k, seed + i) for k in ks for i in range(inits)]
     fits = [Fit(k, s, c) for (k, s), c in zip(wanted, starts(rows, wanted))]
     return lloyd(rows, fits, max_iter, tol)
@@ -285,70 +300,84 @@ def assign(rows: DataFrame, named: dict[str, np.ndarray]) -> DataFrame:
 # --- silhouettes --------------------------------------------------------------
 
 
-def _blocks(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """Rows packed into blocks of at most BLOCK: ``part, seq, x, tags``; written out, so a block keeps its number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                piece = batch.slice(a, BLOCK)
-                tags = np.column_stack([piece.column(c).to_numpy(zero_copy_only=False) for c in labels]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()),
-                    "x": pa.array([_matrix(piece.column("unit")).tobytes()], pa.binary()), "tags": pa.array([tags.tobytes()], pa.binary()),
-                })
-                seq += 1
-
-    return stage(rows.select("unit", *labels).mapInArrow(run, "part int, seq long, x binary, tags binary"), "blocks")
-
-
 def silhouettes(rows: DataFrame, labels: list[str], sample: int | None = None) -> DataFrame:
     """``label, n, silhouette``: mean silhouette under Euclidean distance for each of the ``labels`` (int columns from 0) of ``rows (unit, key)``.
 
-    All rows are scored, or with ``sample`` about as many, those of least hash; every
-    scored row is measured against all rows. Blocks meet blocks: a tile of two gives
-    one sum for each (row, cluster) of all labellings at once, and no pair is a row.
-    The time for all rows grows with their square, as plain distances have it; with
-    ``sample`` it grows with the rows. Rows alone in their cluster score 0; below two
-    clusters the value is NULL.
+    Copies with the same labels are one row with a weight. All distinct rows are scored,
+    or with ``sample`` about as many, those of least hash; every scored row is measured
+    against all rows. Scored rows are dealt into groups of about TILE_ROWS, all rows into
+    strands: a tile holds one group, reads one strand by batches and gives one sum for each
+    (row, cluster) of all labellings at once, so no pair is a row and no task holds more
+    than a group. The time for all rows grows with the square of the distinct rows, as
+    plain distances have it; with ``sample`` it grows with the rows. Rows alone in their
+    cluster score 0; below two clusters the value is NULL.
     """
     spark, n_labels = rows.sparkSession, len(labels)
-    sizes: list[dict[int, int]] = [{r[c]: r["n"] for r in rows.groupBy(c).agg(F.count("*").alias("n")).collect()} for c in labels]  # clusters
+    everything = collapsed(rows, *labels)
+    numbered = stage(everything.withColumn("id", F.monotonically_increasing_id()), "rows")
+    sizes: list[dict[int, float]] = [{r[c]: r["n"] for r in numbered.groupBy(c).agg(F.sum("weight").alias("n")).collect()} for c in labels]  # clusters
     width = [max(s, default=-1) + 1 for s in sizes]
     offset = np.cumsum([0, *width])
-    everything = _blocks(rows, labels)
-    asked = everything
+    asked, n = numbered, numbered.count()
     if sample is not None:
-        n = rows.count()
         limit = int(min(1.0, sample / max(n, 1)) * (1 << 40))
-        asked = _blocks(rows.filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 40)) < limit).coalesce(fanout_partitions(spark)), labels)
-    groups = max(1, asked.count())
-    salts = -(-fanout_partitions(spark) // groups)
-    # each block of all rows meets each asked block once: copies by the asked block's group, spread by a salt
-    group = F.pmod(F.xxhash64("part", "seq"), F.lit(groups)).cast("int")
-    left = asked.select("part", "seq", "x", "tags", group.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-    right = everything.select(
-        F.col("x").alias("y"), F.col("tags").alias("y_tags"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
-        F.pmod(F.xxhash64("seq", "part"), F.lit(salts)).cast("int").alias("s"),
-    )
+        asked = numbered.filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 40)) < limit)
+        n = asked.count()
+    parts = fanout_partitions(spark)
+    groups = max(1, -(-n // TILE_ROWS))
+    strands = max(1, -(-parts // groups))
+    group, strand = (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int") for salt, m in ((1, groups), (2, strands)))
+
+    def every(m: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+
+    columns = ["id", "unit", "weight", *labels]
+    left = asked.select(group.alias("g"), every(strands).alias("s"), F.lit(0).alias("kind"), *columns)
+    right = numbered.select(every(groups).alias("g"), strand.alias("s"), F.lit(1).alias("kind"), *columns)
+
+    def tags_of(part: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in labels]).astype(np.int64)
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tags = np.frombuffer(batch.column("tags")[i].as_py(), np.int32).reshape(-1, n_labels)
-                others = np.frombuffer(batch.column("y_tags")[i].as_py(), np.int32).reshape(-1, n_labels)
-                x = np.frombuffer(batch.column("x")[i].as_py()).reshape(len(tags), -1)
-                y = np.frombuffer(batch.column("y")[i].as_py()).reshape(len(others), -1)
-                member = np.zeros((len(others), offset[-1]))
-                for c in range(n_labels):
-                    member[np.arange(len(others)), offset[c] + others[:, c]] = 1.0
-                yield pa.RecordBatch.from_pydict({
-                    "part": batch.column("part").slice(i, 1), "seq": batch.column("seq").slice(i, 1), "tags": batch.column("tags").slice(i, 1),
-                    "sums": pa.array([(np.sqrt(_distances(x, y)) @ member).tobytes()], pa.binary()),
-                })
+        at, x, held, sums, filled = None, None, [], None, False
 
-    def score(tags: np.ndarray, sums: np.ndarray) -> list[tuple[int, int, float]]:
+        def done() -> Iterator[pa.RecordBatch]:
+            for a in range(0, 0 if sums is None else len(sums), SLAB):
+                own = pa.concat_arrays([p.column("id") for p in held])[a : a + SLAB], pa.concat_arrays([p.column("weight") for p in held])[a : a + SLAB]
+                tags = np.concatenate([tags_of(p) for p in held])[a : a + SLAB]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array([t.tobytes() for t in tags], pa.binary()), pa.array([v.tobytes() for v in sums[a : a + SLAB]], pa.binary())],
+                    ["id", "weight", "tags", "sums"])
+
+        for batch in batches:
+            tiles = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "s", "kind")])
+            cuts = np.flatnonzero((tiles[1:] != tiles[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if a == b:
+                    continue
+                here, part = (int(tiles[a, 0]), int(tiles[a, 1])), batch.slice(a, b - a)
+                if here != at:
+                    yield from done()
+                    at, x, held, sums, filled = here, None, [], None, False
+                if tiles[a, 2] == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if not filled:
+                    x, filled = np.concatenate([_matrix(p.column("unit")) for p in held]), True
+                    sums = np.zeros((len(x), offset[-1]))
+                for c in range(0, part.num_rows, 1024):
+                    piece = part.slice(c, 1024)
+                    y, others, weight = _matrix(piece.column("unit")), tags_of(piece), piece.column("weight").to_numpy(zero_copy_only=False)
+                    member = np.zeros((len(y), offset[-1]))
+                    for k in range(n_labels):
+                        member[np.arange(len(y)), offset[k] + others[:, k]] = weight
+                    for r in range(0, len(x), SLAB):
+                        sums[r : r + SLAB] += np.sqrt(_distances(x[r : r + SLAB], y)) @ member
+        yield from done()
+
+    def score(weight: np.ndarray, tags: np.ndarray, sums: np.ndarray) -> list[tuple[int, float, float]]:
         out = []
         for c in range(n_labels):
             count = np.array([sizes[c].get(k, 0) for k in range(width[c])], float)
@@ -359,37 +388,39 @@ def silhouettes(rows: DataFrame, labels: list[str], sample: int | None = None) -
             b = mean.min(axis=1) if width[c] else np.zeros(len(own))
             with np.errstate(invalid="ignore"):
                 s = np.where((count[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            out.append((c, len(own), float(s.sum())))
+            out.append((c, float(weight.sum()), float(weight @ s)))
         return out
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tags, total = None, None, None
-        found = []
+        """Sums of a row's strands follow one another; the last row of a batch waits for the next."""
+        found, rest = [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                key = batch.column("part")[i].as_py(), batch.column("seq")[i].as_py()
-                sums = np.frombuffer(batch.column("sums")[i].as_py())
-                if key == at:
-                    total = total + sums
-                    continue
-                if at is not None:
-                    found += score(tags, total.reshape(len(tags), -1))
-                at, total = key, sums
-                tags = np.frombuffer(batch.column("tags")[i].as_py(), np.int32).reshape(-1, n_labels)
-        if at is not None:
-            found += score(tags, total.reshape(len(tags), -1))
+            if not batch.num_rows:
+                continue
+            ids, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "weight"))
+            tags = np.frombuffer(b"".join(batch.column("tags").to_pylist()), np.int64).reshape(len(ids), n_labels)
+            sums = np.frombuffer(b"".join(batch.column("sums").to_pylist())).reshape(len(ids), -1)
+            if rest is not None:
+                ids, weight, tags, sums = (np.concatenate([p, q]) for p, q in zip(rest, (ids, weight, tags, sums)))
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            whole = ids[first], weight[first], tags[first], np.add.reduceat(sums, first, axis=0)
+            found += score(*(v[:-1] for v in whole[1:]))
+            rest = tuple(v[-1:] for v in whole)
+        if rest is not None:
+            found += score(*rest[1:])
         cols = list(zip(*found)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64()))], ["c", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.float64()))], ["c", "n", "total"])
 
-    tiles = left.join(right, ["g", "s"]).select("part", "seq", "x", "tags", "y", "y_tags")
-    sums = tiles.mapInArrow(tile, "part int, seq long, tags binary, sums binary")
-    scored = sums.repartition(fanout_partitions(spark), "part", "seq").sortWithinPartitions("part", "seq").mapInArrow(add, "c int, n long, total double")
+    tiles = left.unionByName(right).repartition(max(parts, min(groups * strands, 4 * parts)), "g", "s").sortWithinPartitions("g", "s", "kind")
+    sums = tiles.mapInArrow(tile, "id long, weight double, tags binary, sums binary")
+    scored = sums.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(add, "c int, n double, total double")
     got = {r["c"]: (r["n"], r["total"]) for r in scored.groupBy("c").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    release(numbered)
     release(everything)
     out = []
     for c, name in enumerate(labels):
         n, total = got.get(c, (0, 0.0))
-        out.append((name, n, total / n if n and len(sizes[c]) > 1 else None))
+        out.append((name, round(n), total / n if n and len(sizes[c]) > 1 else None))
     return spark.createDataFrame(out, "label string, n long, silhouette double")
 
 
@@ -397,7 +428,7 @@ def pick_k(rows: DataFrame, fits: list[Fit], sample: int | None = None) -> tuple
     """K of the highest silhouette over the best fit of each K, the smallest on ties, and all values."""
     ks = sorted({f.k for f in fits})
     named = {f"c{k}": best(fits, k).centres for k in ks}
-    labelled = stage(assign(rows, named), "labelled")
+    labelled = stage(assign(collapsed(rows), named), "labelled")
     values = {int(r["label"][1:]): r["silhouette"] for r in silhouettes(labelled, list(named), sample).collect()}
     release(labelled)
     return max(ks, key=lambda k: (-1.0 if values[k] is None else values[k], -k)), values

@@ -226,3 +226,26 @@ def test_classifier_learns_and_picks_a_model(spark):
         assert best is None and [r[1:] for r in results] == [(None, None)] * 2
     with pytest.raises(ValueError, match="no rows"):
         ML.fit_logreg(train.limit(0), "y1", 0)
+
+
+def test_copies_weigh_as_rows(spark):
+    """Copies are one row with a weight: fits and silhouettes are those of all rows, also where tiles are many."""
+    rng = np.random.default_rng(8)
+    x, label, n = rng.normal(size=(70, 4)), rng.integers(0, 3, 70), rng.integers(1, 30, 70)
+    wide, tags = np.repeat(x, n, axis=0), np.repeat(label, n)
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(wide, tags)], "v array<double>, c int")
+    rows = KM.packed_rows(df, "v", "c")
+    distinct = KM.collapsed(rows)
+    assert distinct.count() == 70 and distinct.agg(F.sum("weight")).first()[0] == n.sum()
+    for fit, start in zip(KM.fit_all(rows, [4], 3), KM.starts(rows, [(4, s) for s in range(3)])):
+        centres, cost = plain_lloyd(wide, start)
+        assert np.allclose(fit.centres, centres) and np.isclose(fit.cost, cost) and fit.counts.sum() == n.sum()
+    want = plain_silhouette(wide, tags)
+    most = KM.TILE_ROWS
+    for held in (most, 9):
+        KM.TILE_ROWS = held
+        try:
+            got = KM.silhouettes(rows, ["c"]).first()
+        finally:
+            KM.TILE_ROWS = most
+        assert got["n"] == n.sum() and np.isclose(got["silhouette"], want, atol=1e-6)
