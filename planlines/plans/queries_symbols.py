@@ -22,7 +22,7 @@ from planlines.sources.rasters import stem
 from planlines.streaming import ingest as S
 
 BOX = ["x1", "y1", "x2", "y2"]
-#: Symbols whose silhouette is taken when K is chosen (each against all symbols), about.
+#: Distinct vectors whose silhouette is taken when K is chosen (each against all symbols), about.
 SILHOUETTE_SAMPLE = 5000
 
 
@@ -252,8 +252,9 @@ def _categorize_clusters(q: Inputs, labelled: DataFrame, k: int) -> tuple[DataFr
 def _cluster_artifact(q: Inputs, labelled: DataFrame) -> DataFrame:
     """Ten fits for each candidate K, the K of the highest silhouette, its best fit written and read back."""
     rows = KM.unit_embeddings(labelled.filter("near_gt is not null"), "crop_id", "near_gt")
-    fits = KM.fit_all(rows, KM.K_CANDIDATES)
-    k, _ = KM.pick_k(rows, fits, SILHOUETTE_SAMPLE)
+    distinct = KM.collapsed(rows)
+    fits = KM.fit_all(distinct, KM.K_CANDIDATES)
+    k, _ = KM.pick_k(distinct, fits, SILHOUETTE_SAMPLE)
     centres = KM.best(fits, k).centres
     ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     path = scratch_path(q.spark, "artifact")
