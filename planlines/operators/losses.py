@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlines.functions import scoring as SC
@@ -32,6 +32,20 @@ def pixel_losses(
     )
 
 
+def loss_sums() -> list[Column]:
+    """Aggregates of pixels that add up: ``n, bce_sum, p_t, p_plus_t`` for ``summed_losses``."""
+    z, t = F.col("logit"), F.col("target").cast("double")
+    p = SC.sigmoid(z)
+    return [F.count("*").alias("n"), F.sum(SC.bce_with_logits(z, t)).alias("bce_sum"), F.sum(p * t).alias("p_t"), (F.sum(p) + F.sum(t)).alias("p_plus_t")]
+
+
+def summed_losses(sums: DataFrame, by: list[str]) -> DataFrame:
+    """BCE and soft Dice loss per group from rows of ``loss_sums``."""
+    total = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "bce_sum", "p_t", "p_plus_t")])
+    dice = F.lit(1.0) - SC.dice_ratio(F.col("p_t"), F.col("p_plus_t"))
+    return total.select(*by, "n", (F.col("bce_sum") / F.col("n")).alias("bce"), dice.alias("dice_loss"))
+
+
 def batch_mean(sample_losses: DataFrame, by: list[str], loss: str, batch: str) -> DataFrame:
     """Mean over batches of the batch means, not the mean over samples."""
     per_batch = sample_losses.groupBy(*by, batch).agg(F.avg(loss).alias("_b"))
