@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlines.functions import scoring as SC
-from planlines.operators.morphology import soft_skeleton
+from planlines.operators.morphology import soft_skeleton_sums
 from planlines.operators.ranking import running
 from planlines.session import stage
 
@@ -81,13 +81,12 @@ def lovasz_hinge(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def soft_cldice(scored: DataFrame, by: list[str], iterations: int = 3, smooth: float = 1.0) -> DataFrame:
     """Soft centreline Dice loss per group; ``smooth`` also sits in the last denominator."""
-    dense = scored.select(*by, "image_id", "y", "x", SC.sigmoid(F.col("logit")).alias("p"), F.col("target").cast("double").alias("t"))
-    skel = soft_skeleton(dense, ["p", "t"], iterations)
-    joined = dense.select(*dict.fromkeys([*by, "image_id"]), "y", "x", "p", "t").join(skel, ["image_id", "y", "x"])
+    dense = scored.select(*dict.fromkeys([*by, "image_id"]), "y", "x", SC.sigmoid(F.col("logit")).alias("p"), F.col("target").cast("double").alias("t"))
+    pieces = soft_skeleton_sums(dense, "p", "t", [c for c in by if c != "image_id"], iterations)
     s = F.lit(float(smooth))
-    sums = joined.groupBy(*by).agg(
-        ((F.sum(F.col("skel_p") * F.col("t")) + s) / (F.sum("skel_p") + s)).alias("tprec"),
-        ((F.sum(F.col("skel_t") * F.col("p")) + s) / (F.sum("skel_t") + s)).alias("tsens"),
+    sums = pieces.groupBy(*by).agg(
+        ((F.sum("skel_p_t") + s) / (F.sum("skel_p") + s)).alias("tprec"),
+        ((F.sum("skel_t_p") + s) / (F.sum("skel_t") + s)).alias("tsens"),
     )
     cl = F.lit(2.0) * F.col("tprec") * F.col("tsens") / (F.col("tprec") + F.col("tsens") + s)
     return sums.select(*by, "tprec", "tsens", (F.lit(1.0) - cl).alias("cldice_loss"))

@@ -261,3 +261,44 @@ def test_tiles_thinned_as_samples_of_their_own(spark):
             if g.any() or p.any():
                 want[row, col] = tuple(int(v.sum()) for v in (g, p, g & p, gs, ps, ps & g, gs & p))
     assert got == want
+
+
+def test_dense_tables_travel_as_row_pieces(spark):
+    """Soft opening among existing cells, rows in any order: one exchange, and no pixel is a row in it."""
+    rng = np.random.default_rng(11)
+    v, there = rng.random((40, 50)), rng.random((40, 50)) < 0.9
+    rows = [(0, int(y), int(x), float(v[y, x])) for y, x in rng.permutation(np.argwhere(there))]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, p double")
+
+    def near(a, fill, op, steps):
+        p = np.pad(np.where(there, a, fill), 1, constant_values=fill)
+        return op.reduce([p[1 + dy : 41 + dy, 1 + dx : 51 + dx] for dy, dx in steps])
+
+    eroded = near(v, np.inf, np.minimum, [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)])
+    wide = near(eroded, -np.inf, np.maximum, [(0, -1), (0, 0), (0, 1)])
+    want = near(wide, -np.inf, np.maximum, [(-1, 0), (0, 0), (1, 0)])
+    for tile in (16, 256):
+        out = M.soft_open(df, "p", tile=tile)
+        got = out.collect()
+        assert len(got) == there.sum() and all(r["opened"] == want[r["y"], r["x"]] and r["eroded"] == eroded[r["y"], r["x"]] for r in got)
+    plan = M.soft_open(df, "p")._jdf.queryExecution().executedPlan().toString()  # not run yet: one plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_tiles_thinned_over_several_batches(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    masks = [rng.random((70, 150)) < 0.6 for _ in range(3)]
+    px, images = pixels_of(spark, *masks), images_of(spark, *[(70, 150)] * 3)
+    none = px.filter("false")
+    for stack in (1 << 16, 40):
+        monkeypatch.setattr(M, "STACK", stack)
+        got = {tuple(r)[:3]: (r["n_gt"], r["gt_skel"], r["n_pred"]) for r in M.tile_skeletons(px, none, images, 32, 24).coalesce(1).collect()}
+        for (i, row, col), counts in got.items():
+            cut = masks[i][row : row + 32, col : col + 32]
+            assert counts == (cut.sum(), M.thin(cut, 100)[0].sum(), 0)
+        assert len(got) == 3 * 3 * 6
+    words = M.tile_words(px, px.filter("x % 3 = 0"), images, 32, 24)
+    for r in M.tile_counts(words, 32).collect():
+        cut = masks[r["image_id"]][r["tile_row"] : r["tile_row"] + 32, r["tile_col"] : r["tile_col"] + 32]
+        third = (np.arange(cut.shape[1]) + r["tile_col"]) % 3 == 0
+        assert (r["n_gt"], r["n_pred"], r["n_both"]) == (cut.sum(), (cut & third).sum(), (cut & third).sum())
