@@ -98,6 +98,8 @@ def nms(dets: DataFrame, keys: list[str], seq: str, iou: float = 0.5, threshold:
       box overlaps it;
     * a box is compared with the few leaders around it, never with its whole cell.
     The globally best open box is always a leader, so every round makes progress.
+    Joins are told to sort and merge: leaders grow with the cells they reach, which a
+    planner does not see, and would be collected on the driver to be broadcast.
     """
     if not 0.0 < iou <= 1.0:
         raise ValueError("iou must lie in (0, 1]")
@@ -128,15 +130,15 @@ def nms(dets: DataFrame, keys: list[str], seq: str, iou: float = 0.5, threshold:
             low = F.floor((lo - F.least(unit * 4, (hi - lo) / (iou * 0.999999))) / unit)
             reach = reach.select("*", F.explode(F.sequence(low, F.floor(hi / unit))).alias(f"c{axis}"))
         members = open_boxes.select(*keys, *place, "rank", *[F.col(c).alias(f"a{c}") for c in BOX])
-        hits = reach.join(members, [*keys, *place]).filter(G.box_iou("a", "b") >= iou)
+        hits = reach.hint("merge").join(members, [*keys, *place]).filter(G.box_iou("a", "b") >= iou)
         hits = stage(hits.select(*keys, "lrank", "rank"), "hits")
         winners = hits.groupBy(*keys, "lrank").agg(F.min("rank").alias("best")).filter("best = lrank")
         kept.append(stage(winners.select(*keys, F.col("lrank.q").alias(seq)), "kept"))
-        gone = hits.join(winners.select(*keys, "lrank"), [*keys, "lrank"], "left_semi").select(*keys, "rank").distinct()
-        open_boxes = stage(open_boxes.join(gone, [*keys, "rank"], "left_anti"), "boxes")
+        gone = hits.join(winners.select(*keys, "lrank").hint("merge"), [*keys, "lrank"], "left_semi").select(*keys, "rank").distinct()
+        open_boxes = stage(open_boxes.join(gone.hint("merge"), [*keys, "rank"], "left_anti"), "boxes")
     for part in kept:
         flat = flat.unionByName(part)
-    return dets.join(flat, [*keys, seq], "left_semi")
+    return dets.join(flat.hint("merge"), [*keys, seq], "left_semi")
 
 
 def crop_window(df: DataFrame, pad: int, x1, y1, x2, y2) -> DataFrame:

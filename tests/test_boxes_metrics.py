@@ -213,3 +213,29 @@ def test_strict_embeddings_refuse_a_gap(spark):
     assert C.attach_embeddings(det, emb, "id").count() == 1
     with pytest.raises(PySparkException, match="no embedding for 2"):
         C.attach_embeddings(det, emb, "id", strict=True).collect()
+
+
+def test_joins_by_cells_are_never_broadcast(spark):
+    """Boxes and positions grow by the cells they reach: a small file may be a large hash table on the driver."""
+    from planlines.operators import boxes as B
+    from planlines.operators import spatial as S
+    from planlines.operators import symbols as Y
+    from planlines.session import stage
+
+    dets = stage(spark.range(50).selectExpr("id AS det_id", "id % 5 AS image_id", "double(id) AS x1", "double(id) AS y1", "double(id + 9) AS x2", "double(id + 9) AS y2", "0.5D AS conf"))
+    images = stage(spark.range(5).selectExpr("id AS image_id", "90 AS width", "90 AS height"))
+    runs = stage(spark.range(5).selectExpr("id AS image_id", "20 AS y", "10 AS x0", "30 AS x1"))
+
+    def joins(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Join" in line]
+
+    centred = joins(Y.near_line_centre(dets, images, runs, "det_id", 4.0))
+    assert any("SortMergeJoin" in j and "bx" in j for j in centred) and not any("Broadcast" in j and "bx" in j for j in centred)
+    side = dets.selectExpr("image_id", "det_id", "x1 AS ax", "y1 AS ay")
+    near = joins(S.within_radius(side, dets.select("image_id", "x2", "y2"), 5.0, ["image_id"], ("ax", "ay"), ("x2", "y2")))
+    assert near and not any("Broadcast" in j for j in near)
+    pairs = joins(B.iou_pairs(dets, ["image_id"], "det_id"))
+    assert pairs and not any("Broadcast" in j for j in pairs)
+    kept = B.nms(dets, ["image_id"], "det_id")
+    assert any("SortMergeJoin" in j for j in joins(kept)) and not any("Broadcast" in j for j in joins(kept))
