@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planlines.functions import geometry as G
 from planlines.operators import spatial as S
 from planlines.operators.ranking import row_numbers
-from planlines.session import stage
+from planlines.session import fanout_partitions, stage
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -25,10 +25,14 @@ def normalize_detections(raw: DataFrame, record: str = "record", keep: list[str]
 
     Records without an id, with unparsable or empty boxes are dropped. A missing or
     zero confidence becomes 1.0 here (it counts as 0.0 in suppression).
+
+    Records are dealt over all tasks before they are parsed: a small file of them is
+    much work. The parsed map passes a generator, so that the final filter does not
+    parse each record again for every field it tests.
     """
     keep = keep or []
-    m = F.from_json(record, "map<string,string>")
-    df = raw.select(*keep, m.alias("m"))
+    dealt = raw.select(*keep, F.col(record).alias("record")).repartition(fanout_partitions(raw.sparkSession))
+    df = dealt.select(*keep, F.explode(F.array(F.from_json("record", "map<string,string>"))).alias("m"))
     rec = F.col("m")
     coords = [F.try_element_at(rec, F.lit(c)).try_cast("double").alias(c) for c in BOX]
     conf = F.when(F.map_contains_key(rec, "conf"), F.try_element_at(rec, F.lit("conf"))).otherwise(

@@ -239,3 +239,14 @@ def test_joins_by_cells_are_never_broadcast(spark):
     assert pairs and not any("Broadcast" in j for j in pairs)
     kept = B.nms(dets, ["image_id"], "det_id")
     assert any("SortMergeJoin" in j for j in joins(kept)) and not any("Broadcast" in j for j in joins(kept))
+
+
+def test_records_are_parsed_once(spark):
+    """The filter on parsed fields tests the parsed map: one parse in the whole plan, after the records are dealt."""
+    from planlines.operators import boxes as B
+
+    raw = spark.createDataFrame([(1, '{"id": "a", "x1": 0, "y1": 0, "x2": "3", "y2": 2, "conf": 0}'), (2, "no record"), (3, None)], "det_id long, record string")
+    out = B.normalize_detections(raw, keep=["det_id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "Repartition" in plan
+    assert [(r["det_id"], r["crop_id"], r["x2"], r["confidence"]) for r in out.collect()] == [(1, "a", 3.0, 1.0)]
