@@ -61,8 +61,10 @@ def cache_records(symbols: DataFrame, per_record: int = MAX_SYMBOLS) -> DataFram
     """Symbols ``(split, image, id, x1..y2, conf, embedding, near_gt)`` grouped into records.
 
     The block number comes from a hash of the id, over a block count taken from the
-    image's own size, so no record outgrows its bound even for a huge image.
+    image's own size, so no record outgrows its bound even for a huge image. Symbols are
+    read twice, so they are written out and their plan runs once.
     """
+    symbols = stage(symbols, "symbols")
     sizes = symbols.groupBy("split", "image").agg(F.ceil(F.count("*") / per_record).alias("blocks"))
     # the sizes are written first: both sides of the join are then plain exchanges, and an image with most symbols splits
     blocked = symbols.join(stage(sizes, "sizes"), ["split", "image"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))

@@ -4,6 +4,7 @@ import numpy as np
 
 from planlines.operators import raster as R
 from planlines.plans.inputs import Inputs
+from planlines.sources import symbol_cache as C
 
 
 def test_a_stroke_gives_one_span_a_row(spark):
@@ -31,3 +32,24 @@ def test_runs_are_drawn_once(spark):
     q = Inputs(spark, "/root/testdata/sf0.001")
     assert "explode" not in q.runs._jdf.queryExecution().analyzed().toString().lower()
     assert q.runs.exceptAll(R.rasterize(R.chord_segments(q.chords, q.images), 4)).isEmpty()
+
+
+def counted(df):
+    """``df`` with an accumulator of the rows that tasks made of it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_cached_records_run_their_symbols_once(spark):
+    rows = [("train", f"i{n % 3}", str(n), 0.0, 0.0, 1.0, 1.0, 0.5, [1.0, float(n)], n % 2 == 0) for n in range(40)]
+    plain = spark.createDataFrame(rows, "split string, image string, id string, x1 double, y1 double, x2 double, y2 double, conf double, embedding array<float>, near_gt boolean")
+    df, seen = counted(plain)
+    records = C.cache_records(df, per_record=5).collect()
+    assert sorted(int(s["id"]) for r in records for s in r["symbols"]) == list(range(40))
+    assert seen.value == 40  # 80 before
