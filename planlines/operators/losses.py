@@ -62,9 +62,9 @@ def lovasz_hinge(scored: DataFrame, by: list[str]) -> DataFrame:
     """
     sign = F.lit(2.0) * F.col("target") - 1
     errors = scored.select(*by, (F.lit(1.0) - F.col("logit") * sign).alias("err"), F.col("target").cast("long").alias("t"))
-    counts = errors.groupBy(*by, "err").agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg"))
-    # written first: read twice, and a group with most of the errors splits in the join below
-    sizes = stage(errors.groupBy(*by).agg(F.sum("t").alias("all_pos")), "sizes")
+    # written first: the pixels are read once, and a group with most of the errors splits in the join below
+    counts = stage(errors.groupBy(*by, "err").agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg")), "errors")
+    sizes = stage(counts.groupBy(*by).agg(F.sum("pos").alias("all_pos")), "sizes")
     steps = running(counts.filter("err > 0"), by, [F.col("err").desc()], {"cp": ("sum", "pos"), "cn": ("sum", "neg")})
     joined = steps.join(sizes, by)
 
