@@ -68,3 +68,20 @@ def test_lovasz_reads_the_pixels_once(spark):
     want = (np.maximum(errors[order], 0) * np.diff(jaccard, prepend=0)).sum()
     assert got[0]["lovasz"] == pytest.approx(want)
     assert seen.value == 6  # 12 before
+
+
+@pytest.mark.parametrize("width", [63, 64, 65, 200])
+def test_masks_meet_pixels_by_words(spark, width):
+    """Bits at word borders, shifts to both sides, rows without a run; no lambda over runs is left in the plan."""
+    mask = np.random.default_rng(width).random((6, width)) < 0.4
+    mask[2], mask[3] = False, True
+    px = spark.createDataFrame([(7, int(y), int(x)) for y, x in zip(*np.nonzero(mask))], "image_id long, y int, x int")
+    dense = spark.createDataFrame([(7, y, x) for y in range(6) for x in range(width)], "image_id long, y int, x int")
+    out = R.attach_mask(dense, R.pixels_to_runs(px), {"here": 0, "left": 1, "right": -70})
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 6 * width
+    for r in rows:
+        for name, shift in (("here", 0), ("left", 1), ("right", -70)):
+            x = r["x"] - shift
+            assert r[name] == (0 <= x < width and bool(mask[r["y"], x]))
