@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from planlines.functions import geometry as G
 from planlines.operators import losses as X
 from planlines.operators import raster as R
 from planlines.plans.inputs import Inputs
@@ -85,3 +87,15 @@ def test_masks_meet_pixels_by_words(spark, width):
         for name, shift in (("here", 0), ("left", 1), ("right", -70)):
             x = r["x"] - shift
             assert r[name] == (0 <= x < width and bool(mask[r["y"], x]))
+
+
+@pytest.mark.parametrize("tile, stride", [(32, 24), (32, 32), (5, 1), (8, 11)])
+def test_covering_tiles_are_one_sequence(spark, tile, stride):
+    """Every position of every side, shorter than a tile too; no arrays are joined for a pixel."""
+    df = spark.range(1, 100).selectExpr("cast(id as int) as side").selectExpr("side", "explode(sequence(0, side - 1)) as pos")
+    out = df.select("side", "pos", G.covering_tiles(F.col("pos"), F.col("side"), tile, stride).alias("t"))
+    assert "concat" not in out._jdf.queryExecution().analyzed().toString()
+    for r in out.collect():
+        n = max(1, -(-max(r["side"] - tile, 0) // stride) + 1)
+        origins = [min(k * stride, max(0, r["side"] - tile)) for k in range(n)]
+        assert r["t"] == [k for k, o in enumerate(origins) if o <= r["pos"] < o + tile]
