@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from planlines.functions import geometry as G
 from planlines.operators import losses as X
 from planlines.operators import raster as R
+from planlines.plans.fixtures import IMAGES_PER_TASK, relation
 from planlines.plans.inputs import Inputs
 from planlines.sources import symbol_cache as C
 
@@ -89,6 +90,12 @@ def test_masks_meet_pixels_by_words(spark, width):
             assert r[name] == (0 <= x < width and bool(mask[r["y"], x]))
 
 
+def test_partitions_of_pixels_follow_the_images(spark, tmp_path):
+    n = IMAGES_PER_TASK * 7
+    spark.range(n).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert relation(spark, str(tmp_path), "pixels").rdd.getNumPartitions() == 7
+
+
 @pytest.mark.parametrize("tile, stride", [(32, 24), (32, 32), (5, 1), (8, 11)])
 def test_covering_tiles_are_one_sequence(spark, tile, stride):
     """Every position of every side, shorter than a tile too; no arrays are joined for a pixel."""
