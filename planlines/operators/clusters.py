@@ -4,7 +4,8 @@ All restarts and all K advance together: a round is one pass in which every row
 meets the packed centroids of every fit that still moves, so ten restarts of five K
 cost as many passes as the slowest of them, not their sum. Tasks return one sum for
 each (fit, cluster); the driver holds centroids only. Copies of a vector are one row
-with a weight, so passes and pairs cost what the distinct vectors cost.
+with a weight, so passes and pairs cost what the distinct vectors cost. Fits read
+vectors as written matrices (``blocks``): a pass decodes no vector element by element.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ K_CANDIDATES = [15, 20, 30, 40, 50]
 START_ROUNDS, START_FACTOR = 3, 2
 #: Rows that a task multiplies at a time, and scored rows that a silhouette tile holds.
 SLAB, TILE_ROWS = 4096, 32768
+#: Rows of a written matrix, and matrices that make a task of a pass, about.
+BLOCK, BLOCKS_PER_TASK = 1024, 4
 
 
 @dataclass
@@ -48,12 +51,12 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _slabs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list]:
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Vectors, keys and weights of each of the ``blocks``."""
     for batch in batches:
-        for a in range(0, batch.num_rows, SLAB):
-            part = batch.slice(a, SLAB)
-            if part.num_rows:
-                yield [part.column(n) for n in names]
+        for units, keys, weights in zip(*(batch.column(c) for c in ("units", "keys", "weights"))):
+            key, weight = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(weights.as_buffer())
+            yield np.frombuffer(units.as_buffer()).reshape(len(key), -1), key, weight
 
 
 def added_up(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], slots: int) -> dict[int, np.ndarray]:
@@ -113,6 +116,37 @@ def collapsed(rows: DataFrame, *labels: str) -> DataFrame:
     return stage(rows.groupBy("unit", "key", *labels).agg(weight.cast("double").alias("weight")), "distinct")
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """``units, keys, weights``: the ``collapsed`` rows as matrices of BLOCK rows, in order of their keys, written out."""
+    if "units" in rows.columns:
+        return rows
+    rows = collapsed(rows)
+    parts = max(1, min(fanout_partitions(rows.sparkSession), -(-rows.count() // (BLOCK * BLOCKS_PER_TASK))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def matrices(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            table = pa.Table.from_batches(held).combine_chunks()
+            end = len(table) if last else len(table) // BLOCK * BLOCK
+            for a in range(0, end, BLOCK):
+                part = table.slice(a, min(BLOCK, end - a)).to_batches()[0]
+                flat = _matrix(part.column("unit")), *(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "weight"))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in flat], ["units", "keys", "weights"])
+            held = table.slice(end).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                yield from matrices(False)
+        if sum(b.num_rows for b in held):
+            yield from matrices(True)
+
+    dealt = rows.select("unit", "key", "weight").repartition(parts, "key").sortWithinPartitions("key", "unit")
+    return stage(dealt.mapInArrow(pack, "units binary, keys binary, weights binary"), "blocks")
+
+
 def unit_embeddings(symbols: DataFrame, *keep: str) -> DataFrame:
     """``packed_rows`` of the symbols' unit embeddings with the columns ``keep``."""
     return packed_rows(symbols.select(*keep, l2_normalize(F.col("embedding")).alias("v")), "v", *keep)
@@ -138,8 +172,7 @@ def _drawn(rows: DataFrame, sets: list[np.ndarray], most: list[int], turn: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.empty(0), None) for _ in send.value]
-        for unit, key, weight in _slabs(batches, "unit", "key", "weight"):
-            x, key, weight = _matrix(unit), key.to_numpy(zero_copy_only=False), weight.to_numpy(zero_copy_only=False)
+        for x, key, weight in _matrices(batches):
             for f, centres in enumerate(send.value):
                 far = _distances(x, centres).min(axis=1) if len(centres) else np.ones(len(x))
                 with np.errstate(divide="ignore"):
@@ -156,11 +189,22 @@ def _drawn(rows: DataFrame, sets: list[np.ndarray], most: list[int], turn: int)
                     "f": pa.array([f] * len(wait), pa.int32()), "wait": pa.array(wait), "x": pa.array([v.tobytes() for v in x], pa.binary()),
                 })
 
-    drawn = rows.mapInArrow(run, "f int, wait double, x binary")
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first ``most`` rows of each set, from rows in order."""
+        seen: dict[int, int] = {}
+        for batch in batches:
+            mine = []
+            for i, f in enumerate(batch.column("f").to_pylist()):
+                seen[f] = seen.get(f, 0) + 1
+                if seen[f] <= most[f]:
+                    mine.append(i)
+            yield batch.take(pa.array(mine, pa.int64()))
+
+    drawn = rows.mapInArrow(run, "f int, wait double, x binary")  # of each task at most ``most`` rows a set
+    dealt = drawn.repartition(max(1, min(len(sets), 16)), "f").sortWithinPartitions("f", "wait", "x")
     out: list[list] = [[] for _ in sets]
-    for r in drawn.orderBy("f", "wait", "x").toLocalIterator():  # of each task at most ``most`` rows a set
-        if len(out[r["f"]]) < most[r["f"]]:
-            out[r["f"]].append(np.frombuffer(r["x"]))
+    for r in sorted(dealt.mapInArrow(least, drawn.schema).collect(), key=lambda r: (r["f"], r["wait"], r["x"])):
+        out[r["f"]].append(np.frombuffer(r["x"]))
     send.destroy()
     return [np.array(v) for v in out]
 
@@ -182,7 +226,7 @@ def _spread(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.nda
 
 def starts(rows: DataFrame, wanted: list[tuple[int, int]]) -> list[np.ndarray]:
     """Start centroids for each (k, seed), all drawn in the same START_ROUNDS + 2 passes."""
-    rows = collapsed(rows)
+    rows = blocks(rows)
     sets = _drawn(rows, [np.empty((0, 0))] * len(wanted), [1] * len(wanted), wanted[0][1])
     if not len(sets[0]):
         return sets
@@ -194,25 +238,28 @@ def starts(rows: DataFrame, wanted: list[tuple[int, int]]) -> list[np.ndarray]:
 
 
 def advance(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """For each set of centroids: vector sum and number of the ``collapsed`` rows nearest to each, and the cost. One pass for all sets."""
+    """For each set of centroids: vector sum and number of the rows in ``blocks`` nearest to each, and the cost. One pass for all sets."""
     send = rows.sparkSession.sparkContext.broadcast(sets)
 
     def work(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         order = list(send.value)
         packed = np.concatenate([send.value[f] for f in order])
         ends = np.cumsum([len(send.value[f]) for f in order])
+        weights = np.concatenate([-2 * packed.T, (packed * packed).sum(axis=1)[None]])  # of (x, 1): squared distance less |x|²
         sums, counts, cost = np.zeros_like(packed), np.zeros(len(packed)), np.zeros(len(order))
-        for unit, weight in _slabs(batches, "unit", "weight"):
-            x, weight = _matrix(unit), weight.to_numpy(zero_copy_only=False)
-            far = _distances(x, packed)
-            for at, b in enumerate(ends):
-                a = ends[at - 1] if at else 0
-                near = far[:, a:b].argmin(axis=1)
-                cost[at] += weight @ far[np.arange(len(x)), a + near]
-                mine = np.zeros((len(x), b - a))
-                mine[np.arange(len(x)), near] = weight
-                sums[a:b] += mine.T @ x
-                counts[a:b] += mine.sum(axis=0)
+        far, mine = np.empty((0, len(packed))), np.zeros((0, len(packed)))  # kept from block to block
+        for x, _, weight in _matrices(batches):
+            n = len(x)
+            if len(far) < n:
+                far, mine = np.empty((n, len(packed))), np.zeros((n, len(packed)))
+            np.matmul(np.column_stack([x, np.ones(n)]), weights, out=far[:n])
+            rows_of = np.arange(n)[:, None]
+            near = np.column_stack([a + far[:n, a:b].argmin(axis=1) for a, b in zip([0, *ends[:-1]], ends)])
+            cost += weight @ np.maximum(far[rows_of, near] + (x * x).sum(axis=1)[:, None], 0.0)
+            mine[rows_of, near] = weight[:, None]
+            sums += mine[:n].T @ x
+            counts += mine[:n].sum(axis=0)
+            mine[rows_of, near] = 0.0
         return {f: np.append(np.column_stack([sums[b - len(send.value[f]) : b], counts[b - len(send.value[f]) : b]]).ravel(), cost[at])
                 for at, (f, b) in enumerate(zip(order, ends))}
 
@@ -228,8 +275,7 @@ def advance(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.
 def _mean_variance(rows: DataFrame) -> float:
     def work(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total = None
-        for unit, weight in _slabs(batches, "unit", "weight"):
-            x, weight = _matrix(unit), weight.to_numpy(zero_copy_only=False)
+        for x, _, weight in _matrices(batches):
             one = np.concatenate([weight @ x, weight @ (x * x), [weight.sum()]])
             total = one if total is None else total + one
         return {} if total is None else {0: total}
@@ -247,7 +293,7 @@ def lloyd(rows: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
     A cluster that loses all rows keeps its centroid. Costs and counts are those of
     the final centroids. Fits that reach ``max_iter`` give a warning.
     """
-    rows = collapsed(rows)
+    rows = blocks(rows)
     limit = tol * _mean_variance(rows)
     moving = {i: f for i, f in enumerate(fits) if len(f.centres)}
     while moving:
@@ -268,10 +314,12 @@ def lloyd(rows: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
 
 def fit_all(rows: DataFrame, ks: list[int], inits: int = 10, seed: int = 0, max_iter: int = 300, tol: float = 1e-4) -> list[Fit]:
     """``inits`` fits for each of ``ks`` over ``rows (unit, key)`` of ``packed_rows``; without rows they have no centroids."""
-    rows = collapsed(rows)
+    packed = blocks(rows)
     wanted = [(k, seed + i) for k in ks for i in range(inits)]
-    fits = [Fit(k, s, c) for (k, s), c in zip(wanted, starts(rows, wanted))]
-    return lloyd(rows, fits, max_iter, tol)
+    fits = [Fit(k, s, c) for (k, s), c in zip(wanted, starts(packed, wanted))]
+    lloyd(packed, fits, max_iter, tol)
+    release(packed)
+    return fits
 
 
 def best(fits: list[Fit], k: int) -> Fit:
