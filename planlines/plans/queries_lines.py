@@ -192,8 +192,8 @@ def radius_sweep(q: Inputs):
     radii = F.array(*[F.lit(r) for r in (0.0, 5.0, 10.0, 20.0, 40.0)])
     keys = ["image_id", "radius"]
     ends = q.ends.select("*", F.explode(radii).alias("radius"))
-    clusters = L.endpoint_clusters(ends, "radius", keys)
-    edges = L.merged_edges(clusters, keys)
+    clusters = stage(L.endpoint_clusters(ends, "radius", keys), "clusters")
+    edges = stage(L.merged_edges(clusters, keys), "links")
     vertices = clusters.select(*keys, "root").distinct().groupBy(*keys).agg(F.count("*").alias("n_vertices"))
     n_edges = edges.groupBy(*keys).agg(F.count("*").alias("n_edges"))
     ends_of = L.vertex_degree(edges, keys).filter("topology").groupBy(*keys).agg(F.sum("degree").alias("open_ends"))
@@ -223,7 +223,7 @@ def radius_sweep_loops(q: Inputs):
     """All polylines by merge radius, pure loops with them, without walking any chain."""
     radii = F.array(*[F.lit(r) for r in (0.0, 5.0, 10.0, 20.0, 40.0)])
     keys = ["image_id", "radius"]
-    clusters = L.endpoint_clusters(q.ends.select("*", F.explode(radii).alias("radius")), "radius", keys)
+    clusters = stage(L.endpoint_clusters(q.ends.select("*", F.explode(radii).alias("radius")), "radius", keys), "clusters")
     counts = L.polyline_counts(L.merged_edges(clusters, keys), keys)
     return clusters.select(*keys).distinct().join(counts, keys, "left").na.fill(0).select("radius", "image_id", "n_open", "n_loops", "n_polylines")
 
