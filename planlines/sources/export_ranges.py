@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlines.session import scratch_path, stage
+from planlines.session import fanout_partitions, scratch_path, stage
 from planlines.sources.annotations import FILE_NAME, _file_system, _split_documents
 
-#: Bytes of a range, and of a step beyond it.
+#: Bytes of a range (a task reads at least as many, in one range or several), and of a step beyond it.
 RANGE_BYTES, STEP_BYTES = 32 << 20, 64 << 10
+#: Bytes of found objects that a task holds before it hands them on.
+BATCH_BYTES = 8 << 20
 IMAGE = "id bigint, file_name string, height int, width int"
 ANNOTATION = "id bigint, image_id bigint, category_id int, keypoints array<double>"
 
@@ -76,10 +78,11 @@ def _effect(data: bytes, at: int | None) -> tuple[bool, int]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    opened: dict[str, Document] = {}
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            doc = Document(r["path"])
+            doc = opened.get(r["path"]) or opened.setdefault(r["path"], Document(r["path"]))
             data = doc.read(r["low"], r["high"])
             inside = _string_end(data, 1 if doc.escaped(r["low"]) else 0)
             rows.append((r["path"], r["low"], *_effect(data, 0), *_effect(data, inside)))
@@ -90,9 +93,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``path, at, name, text``: an array of the top level (its name), or an object in one (its text)."""
+    opened: dict[str, Document] = {}
+    held: list[tuple] = []
+    size = 0
+
+    def found() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], ["path", "at", "name", "text"])
+
     for batch in batches:
         for r in batch.to_pylist():
-            doc = Document(r["path"])
+            doc = opened.get(r["path"]) or opened.setdefault(r["path"], Document(r["path"]))
             low, high, depth = r["low"], r["high"], r["depth"]
             data = doc.read(low, high)
             at = _string_end(data, 1 if doc.escaped(low) else 0) if r["inside"] else 0
@@ -123,17 +134,21 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # the object goes on beyond what was read: read on, and go back to its start
                 data, depth, at = data[begin:] + doc.read(low + len(data), low + 2 * len(data) + STEP_BYTES - begin), 2, 0
                 low, begin = low + begin, None
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["path"]] * len(out), pa.string()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()),
-                 pa.array([o[2] for o in out], pa.string())], ["path", "at", "name", "text"],
-            )
+            held += [(r["path"], *o) for o in out]
+            size += sum(len(text or "") for _, _, text in out)
+            if size >= BATCH_BYTES:
+                yield found()
+                held, size = [], 0
+    if held:
+        yield found()
 
 
 def read_documents(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Images and raw annotations of the export document in every split folder below ``root``.
 
-    Same rows as ``read_export``; a document of any size is read by as many tasks as it
-    has ranges of ``range_bytes``. A missing array counts as empty.
+    Same rows as ``read_export``; a document of any size is read in ranges of
+    ``range_bytes`` by many tasks, which take several ranges each where ranges are short.
+    A missing array counts as empty.
     """
     names = _split_documents(root)
     ranges = []
@@ -141,7 +156,9 @@ def read_documents(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTE
         size = Document(path).size
         ranges += [(path, low, min(size, low + range_bytes)) for low in range(0, size, range_bytes)]
     schema = "path string, low long, high long"
-    table = spark.createDataFrame(ranges, schema).repartition(max(1, len(ranges)), "path", "low")
+    total = sum(high - low for _, low, high in ranges)
+    tasks = max(1, min(len(ranges), max(fanout_partitions(spark), -(-total // RANGE_BYTES))))
+    table = spark.createDataFrame(ranges, schema).repartition(tasks, "path", "low")
     effects = table.mapInArrow(_scan, "path string, low long, open0 boolean, depth0 long, open1 boolean, depth1 long").collect()
     found = {(e["path"], e["low"]): e for e in effects}  # one small row for each range
     known, state, last = [], (False, 0), None
@@ -151,7 +168,7 @@ def read_documents(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTE
         known.append((path, low, high, *state))
         e = found[path, low]
         state = (e["open1"], state[1] + e["depth1"]) if state[0] else (e["open0"], state[1] + e["depth0"])
-    placed = spark.createDataFrame(known, schema + ", inside boolean, depth long").repartition(max(1, len(known)), "path", "low")
+    placed = spark.createDataFrame(known, schema + ", inside boolean, depth long").repartition(tasks, "path", "low")
     rows = stage(placed.mapInArrow(_objects, "path string, at long, name string, text string"), "objects")
     arrays = rows.filter("name is not null").select("path", "at", "name").collect()  # a few for each document
     split = F.lit(None).cast("string")
