@@ -414,6 +414,7 @@ def silhouettes(rows: DataFrame, labels: list[str], sample: int | None = None) -
                     continue
                 if not filled:
                     x, filled = np.concatenate([_matrix(p.column("unit")) for p in held]), True
+                    x = np.column_stack([x, np.ones(len(x)), (x * x).sum(axis=1)])
                     sums = np.zeros((len(x), offset[-1]))
                 for c in range(0, part.num_rows, 1024):
                     piece = part.slice(c, 1024)
@@ -421,8 +422,11 @@ def silhouettes(rows: DataFrame, labels: list[str], sample: int | None = None) -
                     member = np.zeros((len(y), offset[-1]))
                     for k in range(n_labels):
                         member[np.arange(len(y)), offset[k] + others[:, k]] = weight
-                    for r in range(0, len(x), SLAB):
-                        sums[r : r + SLAB] += np.sqrt(_distances(x[r : r + SLAB], y)) @ member
+                    toward = np.concatenate([-2 * y.T, (y * y).sum(axis=1)[None], np.ones((1, len(y)))])  # of (x, 1, |x|²): squared distance
+                    for r in range(0, len(x), SLAB // 8):
+                        far = x[r : r + SLAB // 8] @ toward
+                        np.sqrt(np.maximum(far, 0.0, out=far), out=far)
+                        sums[r : r + SLAB // 8] += far @ member
         yield from done()
 
     def score(weight: np.ndarray, tags: np.ndarray, sums: np.ndarray) -> list[tuple[int, float, float]]:

@@ -22,8 +22,6 @@ from planlines.sources.rasters import stem
 from planlines.streaming import ingest as S
 
 BOX = ["x1", "y1", "x2", "y2"]
-#: Distinct vectors whose silhouette is taken when K is chosen (each against all symbols), about.
-SILHOUETTE_SAMPLE = 5000
 
 
 # --- features ---------------------------------------------------------------
@@ -254,7 +252,7 @@ def _cluster_artifact(q: Inputs, labelled: DataFrame) -> DataFrame:
     rows = KM.unit_embeddings(labelled.filter("near_gt is not null"), "crop_id", "near_gt")
     distinct = KM.collapsed(rows)
     fits = KM.fit_all(distinct, KM.K_CANDIDATES)
-    k, _ = KM.pick_k(distinct, fits, SILHOUETTE_SAMPLE)
+    k, _ = KM.pick_k(distinct, fits)
     centres = KM.best(fits, k).centres
     ids = q.spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     path = scratch_path(q.spark, "artifact")
