@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from planlines.operators import clusters as KM
 from planlines.plans import queries_symbols as Q
@@ -54,3 +53,13 @@ def test_cluster_artifact_scores_all_vectors(spark, many_vectors):
     assert Q.cluster_artifact(q).collect() == [(6500, 64, 0)]
     assert {k: r["n"] for k, r in seen.items()} == dict.fromkeys(want, 6500)
     assert {k: r["silhouette"] for k, r in seen.items()} == pytest.approx(want, abs=1e-7)
+
+
+def test_symbol_mining_scores_all_vectors(spark, monkeypatch, many_vectors):
+    """The K of the mined clusters is the one whose silhouette of all vectors is highest; before, of about 5,000."""
+    labelled, seen, want = many_vectors
+    monkeypatch.setattr(Q, "_mined", lambda q: labelled)
+    rows = Q.symbol_mining(Inputs(spark, "/root/testdata/sf0.001")).collect()
+    best = max(want, key=want.get)
+    assert {r["k"] for r in rows} == {best} and len(rows) == best and sum(r["n_members"] for r in rows) == 6500
+    assert {k: r["n"] for k, r in seen.items()} == dict.fromkeys(want, 6500)
