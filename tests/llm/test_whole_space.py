@@ -40,3 +40,14 @@ def share_of_best(spark, monkeypatch):
 def test_space_is_fitted_on_all_passages(share_of_best):
     """Before, on SAMPLE_PASSAGES of them, about."""
     assert share_of_best(lambda docs, items: latent.find(docs, items).collect()) > 0.95
+
+
+def test_pipeline_fits_its_space_on_all_passages(spark, share_of_best, tmp_path):
+    """The pipeline's fourth stage; before, on SAMPLE_PASSAGES of them, about."""
+    from corpus_pipeline import decontamination
+
+    def stage(docs, items):
+        items.write.parquet(str(tmp_path / "benchmark.parquet"))
+        decontamination(spark, docs, str(tmp_path)).collect()
+
+    assert share_of_best(stage) > 0.95
